@@ -33,7 +33,7 @@ def refit_epochs(
     last = F.lit(first) + F.col("epoch") * every
     return numbered_vectors.withColumn("epoch", epoch).withColumns({
         "train_to": last.cast("long"),
-        "train_from": (F.greatest(last - buffer, F.lit(0)) + 1).cast("long"),
+        "train_from": F.when(last.isNotNull(), F.greatest(last - buffer, F.lit(0)) + 1).cast("long"),
     })
 
 

@@ -11,13 +11,14 @@ from pulsegrid.sources.contracts import (
 
 _ENVELOPE_NAMES = [f.name for f in ENVELOPE]
 _CORRUPT = "_corrupt"
+# Fixed value: every white space character of Unicode, not only blanks.
+_SPACE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def split_frames(df: DataFrame, col: str, out: str = "line") -> DataFrame:
     """One row per non-blank line of a newline-delimited text batch."""
     lines = df.select(*[c for c in df.columns if c != col], F.explode(F.split(F.col(col), "\n")).alias(out))
-    # Any surrounding white space counts, not only blanks.
-    return lines.withColumn(out, F.regexp_replace(out, r"^\s+|\s+$", "")).where(F.col(out) != "")
+    return lines.withColumn(out, F.regexp_replace(out, f"^{_SPACE}+|{_SPACE}+$", "")).where(F.col(out) != "")
 
 
 def _complete() -> Column:
@@ -44,9 +45,11 @@ def _complete() -> Column:
 def parse_raw(df: DataFrame, col: str = "line") -> tuple[DataFrame, DataFrame]:
     """Parse JSON lines into ``(good events, bad lines)``; a bad line never fails the job."""
     schema = T.StructType([*RAW_EVENT.fields, T.StructField(_CORRUPT, T.StringType())])
-    parsed = df.withColumn(
-        "event", F.from_json(col, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    ).withColumn("_ok", F.col(f"event.{_CORRUPT}").isNull() & _complete())
+    event = F.from_json(col, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    # Without the generator Spark would parse the text again for every field read.
+    parsed = df.select("*", F.explode(F.array(event)).alias("event")).withColumn(
+        "_ok", F.col(f"event.{_CORRUPT}").isNull() & _complete()
+    )
     good = parsed.where("_ok").select(*[F.col(f"event.{f.name}") for f in RAW_EVENT])
     bad = parsed.where("NOT _ok").drop("event", "_ok")
     return good, bad
