@@ -17,6 +17,7 @@ from pulsegrid.operators import detectors, drift, evaluation, refit, rollups, sc
 from pulsegrid.operators import windows as win
 from pulsegrid.plans import training
 from pulsegrid.sources import adapters, contracts, raw, tables
+from pulsegrid.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -431,7 +432,7 @@ def _(spark, sf):
 @register("d8_refit_epochs", """
 SELECT domain, entity_key, window_end, n AS vector_no, coalesce(epoch, -1) AS epoch,
   CAST(coalesce(60 + 50 * epoch, 0) AS BIGINT) AS train_to,
-  CAST(coalesce(greatest(60 + 50 * epoch - 500, 0) + 1, 0) AS BIGINT) AS train_from
+  CAST(CASE WHEN epoch IS NULL THEN 0 ELSE greatest(60 + 50 * epoch - 500, 0) + 1 END AS BIGINT) AS train_from
 FROM (SELECT *, CASE WHEN n >= 60 THEN CAST(floor((n - 60) / 50.0) AS BIGINT) END AS epoch
   FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY window_end, entity_key) AS n FROM t_windows))""")
 def _(spark, sf):
@@ -906,3 +907,122 @@ def _(spark, sf):
 SELECT DISTINCT domain, entity_key FROM t_pay UNION ALL SELECT DISTINCT domain, entity_key FROM t_tick""")
 def _(spark, sf):
     return rollups.entities(adapters.all_events(spark, sf))
+
+
+# --- streams -------------------------------------------------------------
+# Each runs to the end of the given files; windows the watermark has not closed stay open.
+
+def _stream(spark, sf, name):
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def _folder(spark):
+    import uuid
+
+    return f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _to_table(df: DataFrame) -> DataFrame:
+    """Run a stream over all available input and return what it wrote."""
+    spark, at = df.sparkSession, _folder(df.sparkSession)
+    query = streams.write_stream(df, f"{at}/out", f"{at}/checkpoint", available_now=True)
+    query.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{at}/out")
+
+
+def _replay(df: DataFrame) -> DataFrame:
+    """A written table as a stream again."""
+    at = _folder(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.readStream.schema(df.schema).parquet(at)
+
+
+_CLOSED = "epoch_us(window_end) <= (SELECT floor((max(epoch_us(ts)) - 10000000) / 1000.0) * 1000 FROM events)"
+_TICKS_CLOSED = "epoch_us(window_end) <= (SELECT max(epoch_us(l_shipdate)) - 10000000 FROM lineitem)"
+
+
+def _payment_windows_stream(spark, sf):
+    events = adapters.payments_events(spark, sf, _stream(spark, sf, "events"))
+    return _to_table(streams.stream_windows(events, "payments", adapters.SIZES["payments"]))
+
+
+@register("x1_stream_windows", f"""
+SELECT entity_key, window_start, window_end, "count", {rnd('latency_p50_ms')}, {rnd('latency_p99_ms')}, {rnd('error_rate')},
+  {rnd('mean_amount')}, {rnd('decline_rate')}, distinct_accounts
+FROM t_windows WHERE domain = 'payments' AND {_CLOSED}""")
+def _(spark, sf):
+    return _payment_windows_stream(spark, sf).select(
+        "entity_key", "window_start", "window_end", "count", "latency_p50_ms", "latency_p99_ms", "error_rate",
+        "mean_amount", "decline_rate", "distinct_accounts",
+    )
+
+
+@register("x2_stream_state", f"""
+SELECT entity_key, window_end, velocity_count, {rnd('ewma_mean')}, {rnd('ewma_var')}, {rnd('zscore')}, {rnd('zscore_score')},
+  {rnd('ewma_score')}, {rnd('cusum_score')}
+FROM t_stat WHERE domain = 'payments' AND {_CLOSED}""")
+def _(spark, sf):
+    stated = streams.stream_state(_replay(_payment_windows_stream(spark, sf)))
+    return _to_table(stated).select("entity_key", "window_end", *streams.STATE_COLUMNS)
+
+
+@register("x3_stream_market", f"""
+SELECT entity_key, window_start, "count", {rnd('vwap')}, {rnd('realized_vol')}, {rnd('order_imbalance')}
+FROM t_windows WHERE domain = 'market' AND {_TICKS_CLOSED}""")
+def _(spark, sf):
+    ticks = adapters.market_events(spark, sf, _stream(spark, sf, "lineitem"))
+    paired = _to_table(streams.add_prev_price(ticks))
+    windows = streams.stream_windows(_replay(paired), "market", adapters.SIZES["market"])
+    return _to_table(windows).select("entity_key", "window_start", "count", "vwap", "realized_vol", "order_imbalance")
+
+
+@register("x4_stream_alerts", f"""
+SELECT alert_id, entity_key, window_end, severity, action, probable_cause, {rnd('anomaly_score')}
+FROM t_alerts WHERE domain = 'payments' AND {_CLOSED}""")
+def _(spark, sf):
+    stated = streams.stream_state(_replay(_payment_windows_stream(spark, sf)))
+    stated = _replay(_to_table(stated))
+    at = _folder(spark)
+    streams.stream_alerts(
+        stated, f"{at}/out", f"{at}/checkpoint", tb.closing_time(), rules=tb.UNTRAINED_RULES, available_now=True
+    ).awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(
+        "alert_id", "entity_key", "window_end", "severity", "action", "explanation.probable_cause", "anomaly_score"
+    )
+
+
+_ALERTS_CLOSED = "epoch_us(bucket) + {0}000000 <= (SELECT max(epoch_us({1})) - 10000000 FROM {2})"
+
+
+@register("x5_stream_alerts_5m", f"""
+SELECT bucket, domain, severity, alert_count, {rnd('sum_anomaly_score')}, {rnd('sum_latency_ms')} FROM {_R1}
+WHERE {_ALERTS_CLOSED.format(300, 'ts', 't_alerts')}""")
+def _(spark, sf):
+    return _to_table(streams.stream_rollup(_replay(tb.alerts(spark, sf)), "alerts_5m"))
+
+
+@register("x5_stream_throughput_1m", f"""
+SELECT * FROM {_R2} WHERE {_ALERTS_CLOSED.format(60, 'window_end', 't_windows')}""")
+def _(spark, sf):
+    return _to_table(streams.stream_rollup(_replay(tb.windows(spark, sf)), "throughput_1m"))
+
+
+@register("x5_stream_causes_1h", f"""
+SELECT * FROM {_R3} WHERE {_ALERTS_CLOSED.format(3600, 'ts', 't_alerts')}""")
+def _(spark, sf):
+    return _to_table(streams.stream_rollup(_replay(tb.alert_rows(spark, sf).drop("detectors")), "causes_1h"))
+
+
+@register("x7_observed", "SELECT count(*) AS seen, count(CASE WHEN status = 'declined' THEN 1 END) AS declined FROM t_pay")
+def _(spark, sf):
+    events = adapters.payments_events(spark, sf, _stream(spark, sf, "events"))
+    at = _folder(spark)
+    counted = streams.observed(events, "events_in", "p_status", contracts.STATUSES)
+    query = streams.write_stream(counted, f"{at}/out", f"{at}/checkpoint", available_now=True)
+    query.awaitTermination()
+    seen = [p["observedMetrics"]["events_in"] for p in query.recentProgress if "events_in" in p["observedMetrics"]]
+    rows = [(int(m["rows"]), int(m["declined"])) for m in seen]
+    return spark.createDataFrame(rows, "seen long, declined long").agg(
+        F.sum("seen").alias("seen"), F.sum("declined").alias("declined")
+    )

@@ -22,15 +22,20 @@ _OFFSET = 1100 * 64  # above 64 * 1074, so every positive double maps to a posit
 
 
 def value_block(x: Column) -> Column:
-    """Monotone bucket of a double: 64 buckets per power of two, sign aware."""
+    """Monotone bucket of a double: 64 buckets per power of two, sign aware.
+
+    Never null, so that both sides of the carry join keep the same plan and share
+    one exchange.
+    """
     scaled = F.floor(F.log2(F.abs(x)) * 64) + F.lit(_OFFSET)
-    return F.when(x == 0, F.lit(0)).when(x > 0, scaled).otherwise(-scaled).cast("long")
+    bucket = F.when(x == 0, F.lit(0)).when(x > 0, scaled).otherwise(-scaled).cast("long")
+    return F.coalesce(bucket, F.lit(0).cast("long"))
 
 
 def time_block(ts: Column, seconds: Column | float) -> Column:
     """Consecutive blocks of ``seconds`` length on a timestamp column."""
     width = F.lit(seconds) if isinstance(seconds, (int, float)) else seconds
-    return F.floor(F.unix_micros(ts) / (width * 1_000_000)).cast("long")
+    return F.coalesce(F.floor(F.unix_micros(ts) / (width * 1_000_000)).cast("long"), F.lit(0).cast("long"))
 
 
 def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None = None) -> DataFrame:

@@ -94,11 +94,9 @@ def market_windows(assigned: DataFrame, split: str = "time") -> DataFrame:
     else:
         raise ValueError("split must be 'time' or 'range'")
     in_run = Window.partitionBy(*WINDOW_KEYS, "_run").orderBy(*TICK_ORDER)
-    runs = runs.withColumns({
-        "_before": F.lag(price).over(in_run),
-        "_is_first": F.lag(F.lit(1)).over(in_run).isNull(),
-        "_is_last": F.lead(F.lit(1)).over(in_run).isNull(),
-    }).withColumn("_return", _log_return(price, F.col("_before")))
+    # A price is never null, so a missing neighbour marks the ends of a run.
+    runs = runs.withColumns({"_before": F.lag(price).over(in_run), "_after": F.lead(price).over(in_run)})
+    within = _log_return(price, F.col("_before"))
     spread = F.when(F.abs(price) > EPSILON, (F.col("m_ask") - F.col("m_bid")) / price * 1e4).otherwise(0.0)
     sums = ["_n", "_errors", "_pq", "_q", "_spread", "_buy", "_sell"]
     per_run = runs.groupBy(*WINDOW_KEYS, "_run").agg(
@@ -111,9 +109,9 @@ def market_windows(assigned: DataFrame, split: str = "time") -> DataFrame:
         F.sum(spread).alias("_spread"),
         F.sum(F.when(F.col("m_side") == "buy", size).otherwise(0.0)).alias("_buy"),
         F.sum(F.when(F.col("m_side") == "sell", size).otherwise(0.0)).alias("_sell"),
-        F.sum(F.col("_return") * F.col("_return")).alias("_ssq"),
-        F.max(F.when(F.col("_is_first"), price)).alias("_first_price"),
-        F.max(F.when(F.col("_is_last"), price)).alias("_last_price"),
+        F.sum(within * within).alias("_ssq"),
+        F.max(F.when(F.col("_before").isNull(), price)).alias("_first_price"),
+        F.max(F.when(F.col("_after").isNull(), price)).alias("_last_price"),
     )
     # Returns between the runs of a window; a window has few runs.
     run_order = Window.partitionBy(*WINDOW_KEYS).orderBy("_run")

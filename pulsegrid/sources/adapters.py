@@ -13,9 +13,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def payments_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as wide payment rows."""
-    e = _table(spark, sf_dir, "events")
+def payments_events(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+    """``events`` as wide payment rows; ``source`` may be a stream of the same table."""
+    e = _table(spark, sf_dir, "events") if source is None else source
     status = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "declined")
     return e.select(
         F.col("event_id").cast("string").alias("event_id"),
@@ -42,13 +42,14 @@ def payments_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def market_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def market_events(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     """``lineitem`` as wide market ticks; (seq, event_id) keeps the row order within a day."""
-    li = _table(spark, sf_dir, "lineitem")
+    li = _table(spark, sf_dir, "lineitem") if source is None else source
     price = F.col("l_extendedprice") / F.col("l_quantity")
 
-    def padded(col, width):
-        return F.lpad(col.cast("long").cast("string"), width, "0")
+    def padded(col, digits):
+        # Adding a power of ten fixes the width, so text order is number order.
+        return (col.cast("long") + 10**digits).cast("string")
 
     return li.select(
         F.concat_ws(
