@@ -88,7 +88,7 @@ SELECT entity_key, count(*) AS events, {rnd('sum(amount)', 'amount')}, min(ts_ev
   sum(CASE WHEN corrupted THEN 1 ELSE 0 END)::BIGINT AS corrupted
 FROM t_pay WHERE seq % 11 <> 0 AND seq % 13 <> 0 GROUP BY entity_key""")
 def _(spark, sf):
-    good, _bad = raw.parse_raw(_lines(spark, sf))
+    good, _bad = raw.parse_raw(_lines(spark, sf), strict_ids=False)
     return good.groupBy("entity_key").agg(
         F.count(F.lit(1)).alias("events"), F.sum("payload.amount").alias("amount"),
         F.min("ts_event").alias("first_event"), F.sum(F.col("corrupted").cast("long")).alias("corrupted"),
@@ -99,7 +99,7 @@ def _(spark, sf):
 SELECT entity_key, seq % 11 = 0 AS truncated, count(*) AS lines FROM t_pay
 WHERE seq % 11 = 0 OR seq % 13 = 0 GROUP BY 1, 2""")
 def _(spark, sf):
-    _good, bad = raw.parse_raw(_lines(spark, sf))
+    _good, bad = raw.parse_raw(_lines(spark, sf), strict_ids=False)
     return bad.groupBy("entity_key", (F.col("seq") % 11 == 0).alias("truncated")).agg(
         F.count(F.lit(1)).alias("lines")
     )
@@ -563,7 +563,7 @@ def _(spark, sf):
     return drift.psi(drift.long_features(base), drift.long_features(live))
 
 
-@register("m2_ks", f"SELECT domain, feature, {rnd('ks_stat')}, {rnd('ks_pvalue')} FROM t_ksp")
+@register("m2_ks", f"SELECT domain, feature, {rnd('ks_stat')}, {rnd('ks_pvalue')} FROM t_ksx")
 def _(spark, sf):
     base, live = _sides(spark, sf)
     return drift.ks_two_sample(drift.long_features(base), drift.long_features(live)).select(
@@ -571,9 +571,17 @@ def _(spark, sf):
     )
 
 
+@register("m3_ks_pvalue_limit", f"SELECT domain, feature, {rnd('ks_pvalue')} FROM t_ksp")
+def _(spark, sf):
+    base, live = _sides(spark, sf)
+    stats = drift.ks_two_sample(drift.long_features(base), drift.long_features(live))
+    limit = drift.ks_pvalue_limit(F.col("ks_stat"), F.col("n_b"), F.col("n_l"))
+    return stats.select("domain", "feature", limit.alias("ks_pvalue"))
+
+
 @register("m4_drift_check", """
 SELECT domain, bool_or(psi > 0.2 OR ks_pvalue < 0.01) AS drift_detected, count(*) AS features
-FROM t_psi JOIN t_ksp USING (domain, feature) GROUP BY domain""")
+FROM t_psi JOIN t_ksx USING (domain, feature) GROUP BY domain""")
 def _(spark, sf):
     base, live = _sides(spark, sf)
     return drift.drift_check(base, live).select(
@@ -587,7 +595,7 @@ SELECT 'ensemble-' || domain AS model_id, n AS events_scored, {rnd('n / 30.0::DO
   {rnd('v[CAST(least(floor(n * 0.99::DOUBLE), n - 1) AS INTEGER) + 1]', 'p99_inference_ms')}, drift_detected
 FROM (SELECT domain, count(*) AS n, list_sort(list(latency_p50_ms)) AS v FROM t_windows GROUP BY domain)
 JOIN (SELECT domain, bool_or(psi > 0.2 OR ks_pvalue < 0.01) AS drift_detected
-  FROM t_psi JOIN t_ksp USING (domain, feature) GROUP BY domain) USING (domain)""")
+  FROM t_psi JOIN t_ksx USING (domain, feature) GROUP BY domain) USING (domain)""")
 def _(spark, sf):
     base, live = _sides(spark, sf)
     return drift.model_metrics(

@@ -242,3 +242,18 @@ part("t_psi", """MATERIALIZED (
       SELECT b / greatest(sum(b) OVER (), 1)::DOUBLE + 1e-6::DOUBLE AS bp, l / greatest(sum(l) OVER (), 1)::DOUBLE + 1e-6::DOUBLE AS lp
       FROM t_bins t WHERE t.domain = e.domain AND t.feature = e.feature)) END AS psi
   FROM t_edges e)""")
+
+# Exact p-value: count the lattice paths that stay inside the observed gap.
+part("t_paths", """(
+  SELECT domain, feature, ks_stat, CAST(nb AS BIGINT) AS nb, CAST(nl AS BIGINT) AS nl, 0 AS i,
+    [CASE WHEN j / nb > q THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END for j in range(0, CAST(nb AS BIGINT) + 1)] AS u, q
+  FROM (SELECT *, (0.5 + floor(ks_stat * nb * nl - 1e-7)) / (nb * nl) AS q FROM t_ks)
+  UNION ALL
+  SELECT domain, feature, ks_stat, nb, nl, i + 1,
+    list_transform(range(0, nb + 1), lambda j: CASE WHEN abs((i + 1) / nl - j / nb) > q THEN 0.0::DOUBLE ELSE
+      list_sum(list_transform(range(0, j + 1), lambda t: CASE WHEN abs((i + 1) / nl - t / nb) > q THEN 0.0::DOUBLE
+        ELSE (i + 1)::DOUBLE / (i + 1 + nb) * u[t + 1] END)) END), q
+  FROM t_paths WHERE i < nl)""")
+
+part("t_ksx", """MATERIALIZED (
+  SELECT domain, feature, ks_stat, greatest(0, least(1, 1 - u[-1])) AS ks_pvalue FROM t_paths WHERE i = nl)""")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.functions.quantile import exact_quantiles
 from pulsegrid.functions.scan import BLOCK, running, value_block
@@ -15,6 +21,7 @@ BINS = 10
 PSI_LIMIT = 0.2
 KS_P_LIMIT = 0.01
 MIN_LIVE = 10
+EXACT_KS_ROWS = 10_000
 
 _KEYS = ["domain", "feature"]
 
@@ -85,7 +92,9 @@ def _side_counts(baseline: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def ks_two_sample(baseline: DataFrame, live: DataFrame) -> DataFrame:
-    """KS statistic and asymptotic p-value per (domain, feature) of long-form values.
+    """KS statistic and p-value per (domain, feature) of long-form values.
+
+    The p-value is exact while both samples have at most 10 000 rows, else asymptotic.
 
     Both samples are counted per distinct value, then run through value blocks, so
     one feature of a whole table is never sorted in one task.
@@ -99,26 +108,56 @@ def ks_two_sample(baseline: DataFrame, live: DataFrame) -> DataFrame:
     stats = steps.groupBy(*_KEYS).agg(
         F.max(gap).alias("ks_stat"), F.max("n_b").alias("n_b"), F.max("n_l").alias("n_l")
     )
-    return stats.withColumn("ks_pvalue", ks_pvalue(F.col("ks_stat"), F.col("n_b"), F.col("n_l")))
+    d, n, m = F.col("ks_stat"), F.col("n_b"), F.col("n_l")
+    # One row per feature is left here.
+    small = F.greatest(n, m) <= EXACT_KS_ROWS
+    return stats.withColumn("_exact", _exact_pvalues(d, n, m)).withColumn(
+        "ks_pvalue", F.when(small, F.col("_exact")).otherwise(ks_pvalue_limit(d, n, m))
+    ).drop("_exact")
 
 
-def ks_pvalue(d: Column, n: Column, m: Column) -> Column:
+def ks_pvalue_limit(d: Column, n: Column, m: Column) -> Column:
     """Kolmogorov's limiting survival function at ``sqrt(n m / (n + m)) d``.
 
     The alternating series converges fast for large arguments, its theta-function
     twin for small ones.
     """
     x = F.sqrt(n * m / (n + m)) * d
-    large = F.lit(0.0)
+    large = small = F.lit(0.0)
     for i in range(1, 11):
         large = large + F.lit(2.0 * (-1.0) ** (i - 1)) * F.exp(-2.0 * (i * i) * x * x)
-    small = F.lit(0.0)
-    for i in range(1, 11):
-        small = small + F.exp(-((2 * i - 1) ** 2) * F.lit(9.869604401089358) / (F.lit(8.0) * x * x))
-    small = F.lit(1.0) - F.sqrt(F.lit(6.283185307179586)) / x * small
+        small = small + F.exp(-((2 * i - 1) ** 2) * F.lit(math.pi**2) / (F.lit(8.0) * x * x))
+    small = F.lit(1.0) - F.sqrt(F.lit(2.0 * math.pi)) / x * small
     return F.when(x <= 0, 1.0).when(x < 1.0, small).otherwise(F.least(F.greatest(large, F.lit(0.0)), F.lit(1.0)))
 
 
+def exact_ks_pvalue(d: float, n: int, m: int) -> float:
+    """Chance of a gap of at least ``d`` between samples of ``n`` and ``m`` equal draws.
+
+    Sums lattice paths from (0, 0) to (n, m) that stay inside the gap, one row of
+    the lattice at a time, scaled so that all paths weigh one. Rows are kept near
+    one and their scale is kept apart, or long lattices would underflow.
+    """
+    gap = (0.5 + np.floor(d * n * m - 1e-7)) / (n * m)
+    across = np.arange(n + 1) / n
+    inside, scale = np.where(across > gap, 0.0, 1.0), 0.0
+    for step in range(1, m + 1):
+        open_cells = np.abs(step / m - across) <= gap
+        inside = np.where(open_cells, np.cumsum(np.where(open_cells, step / (step + n) * inside, 0.0)), 0.0)
+        peak = inside.max()
+        if peak == 0.0:
+            return 1.0
+        inside, scale = inside / peak, scale + math.log(peak)
+    return float(min(max(1.0 - inside[-1] * math.exp(scale), 0.0), 1.0))
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_pvalues(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    return pd.Series([
+        exact_ks_pvalue(a, int(b), int(c)) if max(b, c) <= EXACT_KS_ROWS else None for a, b, c in zip(d, n, m)
+    ], dtype=float)
+
+
 def drift_features(baseline: DataFrame, live: DataFrame, min_live: int = MIN_LIVE) -> DataFrame:
     """PSI, KS and p-value per (domain, feature) of two vector frames.
 
@@ -182,3 +221,22 @@ def model_metrics(
         F.coalesce("p50_inference_ms", F.lit(0.0)).alias("p50_inference_ms"),
         F.coalesce("p99_inference_ms", F.lit(0.0)).alias("p99_inference_ms"),
     )
+
+
+def freeze_baseline(vectors: DataFrame, path: str, n: int = FIRST_FIT) -> DataFrame:
+    """The saved baseline of each domain; domains that have none yet get their first ``n`` vectors.
+
+    A stored baseline never moves: drift against a refreshed one could not be seen.
+    """
+    spark = vectors.sparkSession
+    slim = vectors.select("domain", "entity_key", "window_end", "vector")
+    try:
+        stored = spark.read.schema(slim.schema).parquet(path)
+    except AnalysisException:  # nothing stored yet
+        stored = slim.limit(0)
+    # Few rows: at most n per domain, and a domain counts once its buffer is full.
+    full = Window.partitionBy("domain")
+    fresh = baseline_vectors(slim.join(stored.select("domain").distinct(), "domain", "left_anti"), n)
+    fresh = fresh.withColumn("_n", F.count(F.lit(1)).over(full)).where(F.col("_n") == n).drop("_n")
+    fresh.write.mode("append").parquet(path)
+    return spark.read.schema(slim.schema).parquet(path)

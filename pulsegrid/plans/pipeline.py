@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from pulsegrid.operators.scoring import (
     Tier, apply_rules, build_alerts, drift_asof, ensemble, probable_cause, top_features,
 )
 from pulsegrid.operators.sequence import cusum, feature_vector, run_rules, velocity
+from pulsegrid.operators.supervised import shapley, supervised_score
 from pulsegrid.operators.windows import window_features
 
 
@@ -52,6 +55,20 @@ def score_windows(
     return probable_cause(top_features(apply_rules(ensemble(scored), rules)))
 
 
+def supervised_frame(scored: DataFrame, models: dict[str, tuple]) -> DataFrame:
+    """Supervised scores and attributions for ``score_windows``.
+
+    ``models`` maps a domain to ``(model, calibration)`` as ``train_supervised``
+    returns them; a domain without a model keeps null scores.
+    """
+    keys = ["domain", "entity_key", "window_end"]
+    parts = []
+    for domain, (model, calibration) in models.items():
+        mine = scored.where(F.col("domain") == domain).select(*keys, "vector")
+        parts.append(shapley(supervised_score(mine, model, calibration), model).select(*keys, "xgboost", "shap"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def score_pipeline(
     features: DataFrame, now: Column, model_version: str = "v1", rules: dict[str, list[Tier]] | None = None,
     models: bool = True, supervised: DataFrame | None = None, drift_checks: DataFrame | None = None,

@@ -144,11 +144,11 @@ def alert_contract() -> Contract:
     )
     c.pattern("alert_id", UUID_PATTERN).enum("domain", DOMAINS).between("anomaly_score", 0, 1)
     c.enum("severity", SEVERITIES).enum("action", ACTIONS).enum("explanation.probable_cause", CAUSES)
+    def lacks(name: str) -> Column:
+        return F.exists("explanation.top_features", lambda t: t[name].isNull())
+
     for name in ("feature", "value", "baseline", "contribution"):
-        c._add(
-            f"explanation.top_features.{name}", "required",
-            F.exists("explanation.top_features", lambda t, n=name: t[n].isNull()), None,
-        )
+        c._add(f"explanation.top_features.{name}", "required", lacks(name), None)
     return c
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.sources.contracts import (
-    CHANNELS, ENVELOPE, MARKET_PAYLOAD, PAYMENTS_PAYLOAD, RAW_EVENT, SIDES, STATUSES, T,
+    CHANNELS, ENVELOPE, MARKET_PAYLOAD, PAYMENTS_PAYLOAD, RAW_EVENT, SIDES, STATUSES, T, UUID_PATTERN,
 )
 
 _ENVELOPE_NAMES = [f.name for f in ENVELOPE]
@@ -21,7 +21,7 @@ def split_frames(df: DataFrame, col: str, out: str = "line") -> DataFrame:
     return lines.withColumn(out, F.regexp_replace(out, f"^{_SPACE}+|{_SPACE}+$", "")).where(F.col(out) != "")
 
 
-def _complete() -> Column:
+def _complete(strict_ids: bool) -> Column:
     """True where every field that the event's domain needs is present and legal."""
     p = F.col("event.payload")
 
@@ -32,25 +32,32 @@ def _complete() -> Column:
         return cond
 
     e = F.col("event")
-    head = present(e, [n for n in _ENVELOPE_NAMES if n not in ("ts_ingest", "scenario_label")])
+    head = present(e, [n for n in _ENVELOPE_NAMES if n not in ("ts_ingest", "scenario_label", "corrupted")])
     market = present(p, [f.name for f in MARKET_PAYLOAD]) & p["side"].isin(*SIDES)
     pay = (
         present(p, [f.name for f in PAYMENTS_PAYLOAD])
         & p["channel"].isin(*CHANNELS) & p["status"].isin(*STATUSES)
     )
+    if strict_ids:
+        head = head & e["event_id"].rlike(UUID_PATTERN)
+        pay = pay & p["txn_id"].rlike(UUID_PATTERN)
     by_domain = F.when(e["domain"] == "market", market).when(e["domain"] == "payments", pay).otherwise(F.lit(False))
     return F.coalesce(head & (e["seq"] >= 0) & by_domain, F.lit(False))
 
 
-def parse_raw(df: DataFrame, col: str = "line") -> tuple[DataFrame, DataFrame]:
-    """Parse JSON lines into ``(good events, bad lines)``; a bad line never fails the job."""
+def parse_raw(df: DataFrame, col: str = "line", strict_ids: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Parse JSON lines into ``(good events, bad lines)``; a bad line never fails the job.
+
+    Unknown keys are ignored and a missing ``corrupted`` means false. With
+    ``strict_ids`` an event or transaction id that is no UUID makes the line bad.
+    """
     schema = T.StructType([*RAW_EVENT.fields, T.StructField(_CORRUPT, T.StringType())])
     event = F.from_json(col, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
     # Without the generator Spark would parse the text again for every field read.
     parsed = df.select("*", F.explode(F.array(event)).alias("event")).withColumn(
-        "_ok", F.col(f"event.{_CORRUPT}").isNull() & _complete()
+        "_ok", F.col(f"event.{_CORRUPT}").isNull() & _complete(strict_ids)
     )
-    good = parsed.where("_ok").select(*[F.col(f"event.{f.name}") for f in RAW_EVENT])
+    good = parsed.where("_ok").select(*[F.col(f"event.{f.name}") for f in RAW_EVENT]).na.fill(False, ["corrupted"])
     bad = parsed.where("NOT _ok").drop("event", "_ok")
     return good, bad
 
