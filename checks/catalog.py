@@ -950,9 +950,16 @@ _CLOSED = "epoch_us(window_end) <= (SELECT floor((max(epoch_us(ts)) - 10000000)
 _TICKS_CLOSED = "epoch_us(window_end) <= (SELECT max(epoch_us(l_shipdate)) - 10000000 FROM lineitem)"
 
 
+def _windows_stream(events, domain):
+    spark, at = events.sparkSession, _folder(events.sparkSession)
+    streams.stream_windows(
+        events, domain, adapters.SIZES[domain], f"{at}/out", f"{at}/checkpoint", available_now=True
+    ).awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("batch")
+
+
 def _payment_windows_stream(spark, sf):
-    events = adapters.payments_events(spark, sf, _stream(spark, sf, "events"))
-    return _to_table(streams.stream_windows(events, "payments", adapters.SIZES["payments"]))
+    return _windows_stream(adapters.payments_events(spark, sf, _stream(spark, sf, "events")), "payments")
 
 
 @register("x1_stream_windows", f"""
@@ -981,8 +988,31 @@ FROM t_windows WHERE domain = 'market' AND {_TICKS_CLOSED}""")
 def _(spark, sf):
     ticks = adapters.market_events(spark, sf, _stream(spark, sf, "lineitem"))
     paired = _to_table(streams.add_prev_price(ticks))
-    windows = streams.stream_windows(_replay(paired), "market", adapters.SIZES["market"])
-    return _to_table(windows).select("entity_key", "window_start", "count", "vwap", "realized_vol", "order_imbalance")
+    return _windows_stream(_replay(paired), "market").select(
+        "entity_key", "window_start", "count", "vwap", "realized_vol", "order_imbalance"
+    )
+
+
+@register("x3_stream_prev_price", f"""
+SELECT entity_key, seq, {rnd('price')}, {rnd('before', 'previous_price')} FROM t_return""")
+def _(spark, sf):
+    ticks, at = adapters.market_events(spark, sf, _stream(spark, sf, "lineitem")), _folder(spark)
+    streams.stream_prev_price(
+        ticks, f"{at}/out", f"{at}/checkpoint", slice_seconds=86_400.0, available_now=True
+    ).awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(
+        "entity_key", "seq", F.col("m_price").alias("price"), "previous_price"
+    )
+
+
+@register("x1_stream_windows_approx", f"""
+SELECT entity_key, window_start, "count", {rnd('error_rate')}, {rnd('mean_amount')}, {rnd('decline_rate')}
+FROM t_windows WHERE domain = 'payments' AND {_CLOSED}""")
+def _(spark, sf):
+    events = adapters.payments_events(spark, sf, _stream(spark, sf, "events"))
+    return _to_table(streams.stream_windows_approx(events, "payments", adapters.SIZES["payments"])).select(
+        "entity_key", "window_start", "count", "error_rate", "mean_amount", "decline_rate"
+    )
 
 
 @register("x4_stream_alerts", f"""

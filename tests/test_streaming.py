@@ -33,6 +33,15 @@ def drain(df, path, name="q"):
     return query, df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}/out")
 
 
+def drain_windows(events_, path, domain, name="windows"):
+    """Exact stream windows as a table."""
+    at_ = f"{path}/{name}"
+    query = streams.stream_windows(
+        events_, domain, SIZES[domain], f"{at_}/out", f"{at_}/checkpoint", "1 second", available_now=True)
+    query.awaitTermination()
+    return query, events_.sparkSession.read.parquet(f"{at_}/out").drop("batch")
+
+
 def transactions(n=400):
     rng = np.random.default_rng(14)
     return [txn("hot" if rng.random() < 0.7 else "b", i, i * 0.2 + float(rng.random()) * 0.1, float(rng.integers(1, 90)),
@@ -56,8 +65,7 @@ def assert_same(got, want, columns):
 def test_payment_stream_equals_batch(spark, tmp_path):
     rows = transactions()
     frames = [events(spark, rows[i:i + 100]) for i in range(0, 400, 100)]
-    stream = streams.stream_windows(feed(spark, str(tmp_path / "in"), frames), "payments", 5.0, "1 second")
-    _, windows = drain(stream, str(tmp_path), "windows")
+    _, windows = drain_windows(feed(spark, str(tmp_path / "in"), frames), str(tmp_path), "payments")
     batch = window_features(events(spark, rows), SIZES, domains=("payments",))
     closed = batch.where(F.col("window_end") <= F.lit(max(r[4] for r in rows)) - F.expr("INTERVAL 1 SECOND"))
     assert_same(windows, closed, ["count", "latency_p50_ms", "latency_p99_ms", "error_rate", "mean_amount",
@@ -75,27 +83,38 @@ def test_market_stream_carries_prices_over_batches(spark, tmp_path):
     _, paired = drain(streams.add_prev_price(feed(spark, str(tmp_path / "in"), frames)), str(tmp_path), "paired")
     assert paired.where("previous_price IS NULL").count() == 2
     halves = [paired.where("seq < 150"), paired.where("seq >= 150")]
-    stream = streams.stream_windows(feed(spark, str(tmp_path / "p"), halves), "market", 2.0, "1 second")
-    _, got = drain(stream, str(tmp_path), "windows")
+    _, got = drain_windows(feed(spark, str(tmp_path / "p"), halves), str(tmp_path), "market")
     batch = window_features(events(spark, rows), SIZES, domains=("market",))
     closed = batch.where(F.col("window_end") <= F.lit(rows[-1][4]) - F.expr("INTERVAL 1 SECOND"))
     assert_same(got, closed, ["count", "vwap", "spread_bps", "realized_vol", "order_imbalance", "latency_p99_ms"])
 
 
+def test_both_price_streams_agree(spark, tmp_path):
+    rows = ticks()
+    frames = [events(spark, rows[i:i + 75]) for i in range(0, 300, 75)]
+    _, one = drain(streams.add_prev_price(feed(spark, str(tmp_path / "a"), frames)), str(tmp_path), "one")
+    streams.stream_prev_price(
+        feed(spark, str(tmp_path / "b"), frames), str(tmp_path / "two"), str(tmp_path / "check"), available_now=True
+    ).awaitTermination()
+    got = rows_by(spark.read.parquet(str(tmp_path / "two")), "seq")
+    want = rows_by(one, "seq")
+    assert len(got) == 300 and got["previous_price"].isna().sum() == 2
+    np.testing.assert_array_equal(got["previous_price"], want["previous_price"])
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     # Spark compares rows with the watermark of the batch before.
     frames = [events(spark, [txn("m", 1, 1, 1.0), txn("m", 2, 100, 1.0)]), events(spark, [txn("m", 6, 101, 1.0)]),
               events(spark, [txn("m", 3, 2, 1.0)]), events(spark, [txn("m", 5, 200, 1.0)])]
-    stream = streams.stream_windows(feed(spark, str(tmp_path / "in"), frames), "payments", 5.0, "1 second")
-    query, got = drain(stream, str(tmp_path))
+    query, got = drain_windows(feed(spark, str(tmp_path / "in"), frames), str(tmp_path), "payments")
     assert {r["window_start"]: r["count"] for r in got.collect()} == {at(0): 1, at(100): 2}
     assert streams.late_rows(query) == 1
 
 
 def test_sketches_stay_close(spark, tmp_path):
     rows = transactions()
-    stream = streams.stream_windows(
-        feed(spark, str(tmp_path / "in"), [events(spark, rows)]), "payments", 5.0, "1 second", approximate=True)
+    stream = streams.stream_windows_approx(
+        feed(spark, str(tmp_path / "in"), [events(spark, rows)]), "payments", 5.0, "1 second")
     _, got = drain(stream, str(tmp_path))
     batch = window_features(events(spark, rows), SIZES, domains=("payments",))
     both = got.alias("g").join(batch.alias("b"), ["entity_key", "window_start"]).selectExpr(
