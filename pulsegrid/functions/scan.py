@@ -63,7 +63,7 @@ def running(
     the row before, null for the first row) or ``total`` (sum over the whole key).
     """
     keys, order = list(keys), list(order)
-    bkeys = [*keys, block]
+    bkeys = [block, *keys]  # a number first: sorts then rarely compare text
     ordered = Window.partitionBy(*bkeys).orderBy(*order)
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     position = F.struct(*order)
