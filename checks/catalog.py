@@ -29,7 +29,8 @@ def finish(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DoubleType):
-            c = F.round(c * 1.000000000001, 6)
+            nudged = c * 1.000000000001
+            c = F.when(F.abs(c) >= 1000, F.round(nudged, 3)).otherwise(F.round(nudged, 6))
         elif isinstance(f.dataType, T.TimestampType):
             c = c.cast("timestamp_ntz")
         cols.append(c.alias(f.name))

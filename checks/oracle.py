@@ -12,8 +12,13 @@ def part(name: str, body: str) -> None:
 
 
 def rnd(expr: str, name: str | None = None) -> str:
-    """Round like the Spark side: decimal ties are nudged the same way first."""
-    return f"round(({expr}) * 1.000000000001, 6) AS {name or expr}"
+    """Round like the Spark side: decimal ties are nudged the same way first.
+
+    Sums differ in their last bits with the order of addition, so values from 1000
+    up, where six decimals would show those bits, keep three.
+    """
+    x = f"({expr}) * 1.000000000001"
+    return f"CASE WHEN abs({expr}) >= 1000 THEN round({x}, 3) ELSE round({x}, 6) END AS {name or expr}"
 
 
 def query(select: str) -> str:

@@ -16,8 +16,9 @@ def _label_hits(windows: DataFrame, events: DataFrame) -> DataFrame:
     """Windows that hold labelled events, with the first label of each window.
 
     Windows and events meet on (entity, time bucket of one window length); a window
-    touches at most two buckets. Events are cut down to one row per instant first,
-    and both sides carry a salt, so a busy entity is spread over tasks.
+    touches at most two buckets. Events are cut down to one row per instant first.
+    Labels are rare, so windows without any in their buckets leave early; the rest
+    carry a salt, and a busy entity is spread over tasks.
     """
     labelled = (
         events.where(F.coalesce("scenario_label", F.lit("")) != "")
@@ -31,14 +32,18 @@ def _label_hits(windows: DataFrame, events: DataFrame) -> DataFrame:
         *WINDOW_KEYS, "window_end",
         F.explode(F.sequence(F.floor(start / size_us).cast("long"), F.floor((end - 1) / size_us).cast("long")))
         .alias("_slot"),
-    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    )
     sizes = windows.groupBy("domain").agg(F.first("window_size_s").alias("window_size_s"))  # one row per domain
     slotted = labelled.join(F.broadcast(sizes), "domain").withColumn(
         "_slot", F.floor(F.unix_micros("ts_event") / size_us).cast("long")
     ).drop("window_size_s")
+    slot = ["domain", "entity_key", "_slot"]
+    touched = spans.join(slotted.select(*slot).distinct(), slot, "left_semi").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+    )
     inside = (F.col("ts_event") >= F.col("window_start")) & (F.col("ts_event") < F.col("window_end"))
     return (
-        slotted.join(spans, ["domain", "entity_key", "_slot", "_salt"])
+        slotted.join(touched, [*slot, "_salt"])
         .where(inside)
         .groupBy(*WINDOW_KEYS)
         .agg(F.min(F.struct("ts_event", "_e.event_id", "_e.scenario_label")).alias("_first"))

@@ -49,6 +49,18 @@ def ensemble(df: DataFrame, name: str = "anomaly_score") -> DataFrame:
     return df.withColumn(name, clamp(F.when(supervised.isNull(), base).otherwise(blended)))
 
 
+def rules_from_config(config: dict) -> dict[str, list[Tier]]:
+    """Rules from a parsed configuration file: ``default`` and ``domains``, each with ``thresholds``.
+
+    Tiers keep their order; the first one reached wins.
+    """
+    def tiers(block: dict) -> list[Tier]:
+        return [Tier(float(t["min_score"]), t["severity"], t["action"]) for t in block["thresholds"]]
+
+    blocks = {"default": config["default"], **config.get("domains", {})}
+    return {name: tiers(block) for name, block in blocks.items()}
+
+
 def apply_rules(df: DataFrame, rules: dict[str, list[Tier]] | None = None) -> DataFrame:
     """Add ``severity`` and ``action`` of the first tier reached; null when none is.
 

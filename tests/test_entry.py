@@ -40,3 +40,15 @@ def test_query_equals_its_sql_twin(spark, duck, name):
     got = entry_point.queries()[name](spark, SF).toPandas()
     assert compare(got, duck.execute(entry_point.oracle_sql()[name]).df()) == "ok"
     assert len(got)
+
+
+def test_scans_read_only_the_columns_they_need(spark):
+    plan = entry_point.queries()["w4_latency_quantiles"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert scans and not any("l_extendedprice" in s or "value#" in s for s in scans)
+
+
+def test_no_query_plans_a_cross_join(spark):
+    for name in ("w1_window_counts", "e9_drift_asof", "m1_psi", "t1_label_any", "r11_latency_quantiles", "r16_kpis"):
+        plan = entry_point.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name

@@ -11,7 +11,7 @@ from builders import at
 from pulsegrid.functions.expr import rfc3339
 from pulsegrid.operators.scoring import (
     ALERT_NAMESPACE, BASE_WEIGHTS, Tier, alert_id, apply_rules, drift_asof, ensemble, latest_alerts, probable_cause,
-    top_features,
+    rules_from_config, top_features,
 )
 
 
@@ -43,6 +43,16 @@ def test_rules_pick_the_first_tier(spark):
         "severity = 'watch'").count() == 10
 
 
+def test_rules_can_come_from_a_file(spark):
+    config = {
+        "default": {"thresholds": [{"min_score": 0.9, "severity": "critical", "action": "block"}]},
+        "domains": {"market": {"thresholds": [{"min_score": 0.2, "severity": "watch", "action": "watch"}]}},
+    }
+    df = spark.createDataFrame([("market", 0.95), ("payments", 0.95), ("payments", 0.5)], "domain string, anomaly_score double")
+    got = apply_rules(df, rules_from_config(config)).collect()
+    assert [r["severity"] for r in got] == ["watch", "critical", None]
+
+
 def explained(spark, vector, mean=None, std=None, shap=None, domain="market"):
     schema = ("domain string, vector array<double>, base_mean array<double>, base_std array<double>, "
               "shap array<double>")
