@@ -407,7 +407,7 @@ def _(spark, sf):
 def _training_rows(spark, sf):
     pay = _vectors(spark, sf).where("domain = 'payments'")
     labels = evaluation.label_windows_any(
-        tb.windows(spark, sf).where("domain = 'payments'"), adapters.payments_events(spark, sf)
+        tb.windows(spark, sf).where("domain = 'payments'"), adapters.payments_events(spark, sf), adapters.SIZES
     ).select("domain", "entity_key", "window_end", "label")
     return materialize(pay.join(labels, ["domain", "entity_key", "window_end"]))
 
@@ -610,7 +610,7 @@ def _(spark, sf):
 SELECT entity_key, window_start, CAST(scenario_label IS NOT NULL AS INTEGER) AS label FROM t_marked""")
 def _(spark, sf):
     return evaluation.label_windows_any(
-        tb.windows(spark, sf).where("domain = 'payments'"), adapters.payments_events(spark, sf)
+        tb.windows(spark, sf).where("domain = 'payments'"), adapters.payments_events(spark, sf), adapters.SIZES
     ).select("entity_key", "window_start", "label")
 
 
@@ -625,7 +625,7 @@ def _(spark, sf):
         "scenario_label", F.when(F.col("scenario_label").isNotNull(), parity)
     )
     return evaluation.label_windows_first(
-        tb.windows(spark, sf).where("domain = 'payments'"), events
+        tb.windows(spark, sf).where("domain = 'payments'"), events, adapters.SIZES
     ).select("entity_key", "window_start", "scenario_label")
 
 

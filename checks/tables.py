@@ -84,7 +84,7 @@ def alert_rows(spark, sf_dir):
 def marked(spark, sf_dir):
     """Payment windows with ground truth and alert mark."""
     pay = windows(spark, sf_dir).where("domain = 'payments'")
-    labelled = label_windows_first(pay, payments_events(spark, sf_dir))
+    labelled = label_windows_first(pay, payments_events(spark, sf_dir), SIZES)
     return mark_alerted(labelled, alerts(spark, sf_dir))
 
 

@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.scan import BLOCK, numbered, running
-from pulsegrid.operators.windows import WINDOW_KEYS
+from pulsegrid.operators.windows import DEFAULT_SIZES, WINDOW_KEYS, size_of
 
 CV_FOLDS = 3
 _SALTS = 16
 
 
-def _label_hits(windows: DataFrame, events: DataFrame) -> DataFrame:
+def _label_hits(windows: DataFrame, events: DataFrame, slots: dict[str, float] | None) -> DataFrame:
     """Windows that hold labelled events, with the first label of each window.
 
-    Windows and events meet on (entity, time bucket of one window length); a window
-    touches at most two buckets. Events are cut down to one row per instant first.
+    Windows and events meet on (entity, time slot). Slots of one window length
+    (``slots``, seconds per domain) are cheapest, as a window then touches at most
+    two; any other length gives the same labels. Events are cut down to one row per instant first.
     Labels are rare, so windows without any in their buckets leave early; the rest
     carry a salt, and a busy entity is spread over tasks.
     """
@@ -26,17 +27,14 @@ def _label_hits(windows: DataFrame, events: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("event_id", "scenario_label")).alias("_e"))
         .withColumn("_salt", F.pmod(F.xxhash64("ts_event"), F.lit(_SALTS)).cast("int"))
     )
-    size_us = (F.col("window_size_s") * 1_000_000).cast("long")
+    size_us = (size_of(slots or DEFAULT_SIZES) * 1_000_000).cast("long")
     start, end = F.unix_micros("window_start"), F.unix_micros("window_end")
     spans = windows.select(
         *WINDOW_KEYS, "window_end",
         F.explode(F.sequence(F.floor(start / size_us).cast("long"), F.floor((end - 1) / size_us).cast("long")))
         .alias("_slot"),
     )
-    sizes = windows.groupBy("domain").agg(F.first("window_size_s").alias("window_size_s"))  # one row per domain
-    slotted = labelled.join(F.broadcast(sizes), "domain").withColumn(
-        "_slot", F.floor(F.unix_micros("ts_event") / size_us).cast("long")
-    ).drop("window_size_s")
+    slotted = labelled.withColumn("_slot", F.floor(F.unix_micros("ts_event") / size_us).cast("long"))
     slot = ["domain", "entity_key", "_slot"]
     touched = spans.join(slotted.select(*slot).distinct(), slot, "left_semi").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
@@ -50,15 +48,19 @@ def _label_hits(windows: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def label_windows_any(windows: DataFrame, events: DataFrame) -> DataFrame:
+def label_windows_any(
+    windows: DataFrame, events: DataFrame, slots: dict[str, float] | None = None
+) -> DataFrame:
     """Add ``label``: 1 where any labelled event of the entity lies in [start, end)."""
-    hits = _label_hits(windows, events).select(*WINDOW_KEYS, F.lit(1).alias("label"))
+    hits = _label_hits(windows, events, slots).select(*WINDOW_KEYS, F.lit(1).alias("label"))
     return windows.join(hits, WINDOW_KEYS, "left").na.fill(0, ["label"])
 
 
-def label_windows_first(windows: DataFrame, events: DataFrame) -> DataFrame:
+def label_windows_first(
+    windows: DataFrame, events: DataFrame, slots: dict[str, float] | None = None
+) -> DataFrame:
     """Add ``scenario_label``: the window's earliest label, null where it has none."""
-    hits = _label_hits(windows, events).select(*WINDOW_KEYS, F.col("_first.scenario_label").alias("scenario_label"))
+    hits = _label_hits(windows, events, slots).select(*WINDOW_KEYS, F.col("_first.scenario_label").alias("scenario_label"))
     return windows.drop("scenario_label").join(hits, WINDOW_KEYS, "left")
 
 

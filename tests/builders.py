@@ -23,13 +23,14 @@ def at(seconds: float) -> datetime:
 
 
 def tick(entity, seq, seconds, price, size=1.0, side="buy", latency=1.0, corrupted=False):
+    price = float(price)
     return (f"e{seq:09d}", "market", entity, seq, at(seconds), corrupted, price, size, side, price - 1, price + 1,
             latency, None, None, None, None)
 
 
 def txn(entity, seq, seconds, amount, status="approved", account="a", latency=1.0, corrupted=False):
     return (f"e{seq:09d}", "payments", entity, seq, at(seconds), corrupted, None, None, None, None, None, None,
-            amount, account, latency, status)
+            float(amount), account, latency, status)
 
 
 def events(spark, rows):

@@ -68,8 +68,8 @@ def test_mean_delay_and_report(spark):
     assert missed["episode_detection_rate"] == 0.0 and missed["mean_detection_delay_s"] is None
 
 
-@pytest.mark.parametrize("offset", [0.0, 1.3])
-def test_interval_labels_match_brute_force(spark, offset):
+@pytest.mark.parametrize("offset,slots", [(0.0, None), (1.3, None), (1.3, {"payments": 1.7})])
+def test_interval_labels_match_brute_force(spark, offset, slots):
     rng = np.random.default_rng(9)
     size = 5.0
     wins = [("payments", e, at(offset + i * size), at(offset + (i + 1) * size), size)
@@ -79,8 +79,8 @@ def test_interval_labels_match_brute_force(spark, offset):
     w = spark.createDataFrame(wins, "domain string, entity_key string, window_start timestamp, window_end timestamp, window_size_s double")
     lab = spark.createDataFrame(list(labels.items()), "event_id string, scenario_label string")
     ev = events(spark, rows).join(lab, "event_id")
-    any_ = {(r["entity_key"], r["window_start"]): r["label"] for r in label_windows_any(w, ev).collect()}
-    first = {(r["entity_key"], r["window_start"]): r["scenario_label"] for r in label_windows_first(w, ev).collect()}
+    any_ = {(r["entity_key"], r["window_start"]): r["label"] for r in label_windows_any(w, ev, slots).collect()}
+    first = {(r["entity_key"], r["window_start"]): r["scenario_label"] for r in label_windows_first(w, ev, slots).collect()}
     assert len(any_) == len(first) == len(wins) and sum(any_.values()) > 5
     for _, entity, start, end, _ in wins:
         hits = sorted((r[4], r[0]) for r in rows if r[2] == entity and start <= r[4] < end and labels[r[0]])
