@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -932,11 +933,30 @@ def _folder(spark):
     return f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _state_partitions(spark):
+    """One state partition per core: a stream keeps the number it starts with."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _finished(spark, start: Callable):
+    """Start a stream, wait for its end and return it."""
+    with _state_partitions(spark):
+        query = start()
+        query.awaitTermination()
+    return query
+
+
 def _to_table(df: DataFrame) -> DataFrame:
     """Run a stream over all available input and return what it wrote."""
     spark, at = df.sparkSession, _folder(df.sparkSession)
-    query = streams.write_stream(df, f"{at}/out", f"{at}/checkpoint", available_now=True)
-    query.awaitTermination()
+    _finished(spark, lambda: streams.write_stream(df, f"{at}/out", f"{at}/checkpoint", available_now=True))
     return spark.read.schema(df.schema).parquet(f"{at}/out")
 
 
@@ -953,9 +973,9 @@ _TICKS_CLOSED = "epoch_us(window_end) <= (SELECT max(epoch_us(l_shipdate)) - 100
 
 def _windows_stream(events, domain):
     spark, at = events.sparkSession, _folder(events.sparkSession)
-    streams.stream_windows(
+    _finished(spark, lambda: streams.stream_windows(
         events, domain, adapters.SIZES[domain], f"{at}/out", f"{at}/checkpoint", available_now=True
-    ).awaitTermination()
+    ))
     return spark.read.parquet(f"{at}/out").drop("batch")
 
 
@@ -998,9 +1018,9 @@ def _(spark, sf):
 SELECT entity_key, seq, {rnd('price')}, {rnd('before', 'previous_price')} FROM t_return""")
 def _(spark, sf):
     ticks, at = adapters.market_events(spark, sf, _stream(spark, sf, "lineitem")), _folder(spark)
-    streams.stream_prev_price(
+    _finished(spark, lambda: streams.stream_prev_price(
         ticks, f"{at}/out", f"{at}/checkpoint", slice_seconds=86_400.0, available_now=True
-    ).awaitTermination()
+    ))
     return spark.read.parquet(f"{at}/out").select(
         "entity_key", "seq", F.col("m_price").alias("price"), "previous_price"
     )
@@ -1023,9 +1043,9 @@ def _(spark, sf):
     stated = streams.stream_state(_replay(_payment_windows_stream(spark, sf)))
     stated = _replay(_to_table(stated))
     at = _folder(spark)
-    streams.stream_alerts(
+    _finished(spark, lambda: streams.stream_alerts(
         stated, f"{at}/out", f"{at}/checkpoint", tb.closing_time(), rules=tb.UNTRAINED_RULES, available_now=True
-    ).awaitTermination()
+    ))
     return spark.read.parquet(f"{at}/out").select(
         "alert_id", "entity_key", "window_end", "severity", "action", "explanation.probable_cause", "anomaly_score"
     )
@@ -1058,8 +1078,7 @@ def _(spark, sf):
     events = adapters.payments_events(spark, sf, _stream(spark, sf, "events"))
     at = _folder(spark)
     counted = streams.observed(events, "events_in", "p_status", contracts.STATUSES)
-    query = streams.write_stream(counted, f"{at}/out", f"{at}/checkpoint", available_now=True)
-    query.awaitTermination()
+    query = _finished(spark, lambda: streams.write_stream(counted, f"{at}/out", f"{at}/checkpoint", available_now=True))
     seen = [p["observedMetrics"]["events_in"] for p in query.recentProgress if "events_in" in p["observedMetrics"]]
     rows = [(int(m["rows"]), int(m["declined"])) for m in seen]
     return spark.createDataFrame(rows, "seen long, declined long").agg(
