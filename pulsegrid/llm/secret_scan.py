@@ -98,9 +98,10 @@ def fit_models(samples: DataFrame) -> list[float]:
     """
     side = len(ALPHABET) + 1
     counts = {True: [0.5] * (side * side), False: [0.5] * (side * side)}
-    grouped = samples.select("random", F.explode(_bigrams(F.col("token"))).alias("pair")).groupBy("random", "pair").count()
-    for row in grouped.collect():
-        counts[row["random"]][row["pair"]] += row["count"]
+    tokens = samples.groupBy("random", "token").count()
+    pairs = tokens.select("random", "count", F.explode(_bigrams(F.col("token"))).alias("pair"))
+    for row in pairs.groupBy("random", "pair").agg(F.sum("count").alias("n")).collect():
+        counts[row["random"]][row["pair"]] += row["n"]
     totals = {k: [sum(v[a * side:(a + 1) * side]) for a in range(side)] for k, v in counts.items()}
     return [
         math.log(counts[True][p] / totals[True][p // side]) - math.log(counts[False][p] / totals[False][p // side])

@@ -2,8 +2,8 @@
 
 A word enters as a hashed word vector, the mean of its hashed character n-gram vectors and its evidence (shrunk log-odds
 of document frequencies in toxic and other texts). Windows of ``WINDOW`` words at steps of half a window cover the whole text; each is read in
-both directions, pooled by attention and scored, and a document's score is that of its worst window, calibrated to the
-share of toxic documents.
+both directions, pooled by attention and scored, and a document's score is that of its worst window, moved from the equal
+classes of training to the share of toxic documents (between 1 and 50 %).
 
 Training takes ``SAMPLE_DOCS`` labelled documents of either class at most (chosen by a hash of the id, null ids and held-out rows never) and at most
 ``SAMPLE_CHARS`` characters of each at a hashed place. Evidence that a training document gives itself is taken out
@@ -31,7 +31,10 @@ SAMPLE_CHARS = 30_000
 WINDOW, STEP = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN = 6, 6, 8
 BUCKETS = 1 << 14
-BATCH, EPOCHS = 64, 400
+BATCH, ROUNDS = 64, 200
+RATE, DECAY = 0.02, 0.02
+#: Share of words whose learnt vectors enter while training; evidence always does.
+KEEP = 0.3
 LEAST_DOCS = 3
 _CACHE_WORDS = 400_000
 
@@ -42,8 +45,7 @@ Params = dict[str, np.ndarray]
 class Model:
     params: Params
     evidence: dict[str, float]
-    slope: float
-    shift: float
+    shift: float  # from equal classes, as in training, to the share of toxic documents
 
 
 def _places(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,9 +54,10 @@ def _places(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (whole_word % np.uint64(BUCKETS)).astype(np.int32), grams
 
 
-def _inputs(p: Params, word: np.ndarray, grams: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+def _inputs(p: Params, word: np.ndarray, grams: np.ndarray, evidence: np.ndarray, keep: np.ndarray | float = KEEP) -> np.ndarray:
+    """What enters for each word. ``keep`` scales the learnt vectors: their mean by default, 0 or 1 per row while training."""
     count = np.maximum((grams != BUCKETS).sum(axis=1, keepdims=True), 1)
-    return np.concatenate((p["word"][word], p["char"][grams].sum(axis=1) / count, evidence[:, None]), axis=1)
+    return np.concatenate((p["word"][word] * keep, p["char"][grams].sum(axis=1) / count * keep, evidence[:, None]), axis=1)
 
 
 def start_params(seed: int = 3) -> Params:
@@ -108,9 +111,9 @@ def window_logits(p: Params, gates_f: np.ndarray, gates_b: np.ndarray, index: np
 
 
 def gradient(p: Params, word: np.ndarray, grams: np.ndarray, evidence: np.ndarray, index: np.ndarray, mask: np.ndarray,
-             label: np.ndarray, weight: np.ndarray) -> tuple[float, Params]:
+             label: np.ndarray, weight: np.ndarray, keep: np.ndarray | float = 1.0) -> tuple[float, Params]:
     """Weighted log loss of windows and its gradient, by back-propagation through time."""
-    x = _inputs(p, word, grams, evidence)
+    x = _inputs(p, word, grams, evidence, keep)
     traces: dict[str, list] = {"f": [], "b": []}
     halves = [_read(x @ p[f"in_{d}"] + p[f"bias_{d}"], index, mask, p[f"back_{d}"], d == "b", traces[d]) for d in ("f", "b")]
     states = np.concatenate(halves, axis=2)
@@ -144,9 +147,12 @@ def gradient(p: Params, word: np.ndarray, grams: np.ndarray, evidence: np.ndarra
             d_h = np.where(live, d_new * z, d_h) + back @ p[f"back_{d}"].T
         g[f"in_{d}"], g[f"bias_{d}"] = x.T @ d_gates, d_gates.sum(axis=0)
         d_x += d_gates @ p[f"in_{d}"].T
-    np.add.at(g["word"], word, d_x[:, :WORD_DIM])
+    d_word, d_char = d_x[:, :WORD_DIM] * keep, d_x[:, WORD_DIM:WORD_DIM + CHAR_DIM] * keep
     count = np.maximum((grams != BUCKETS).sum(axis=1, keepdims=True), 1)
-    np.add.at(g["char"], grams, np.repeat((d_x[:, WORD_DIM:WORD_DIM + CHAR_DIM] / count)[:, None], grams.shape[1], axis=1))
+    for j in range(WORD_DIM):
+        g["word"][:, j] = np.bincount(word, weights=d_word[:, j], minlength=BUCKETS)
+    for j in range(CHAR_DIM):
+        g["char"][:, j] = np.bincount(grams.ravel(), weights=np.repeat(d_char[:, j] / count[:, 0], grams.shape[1]), minlength=BUCKETS + 1)
     g["char"][BUCKETS] = 0
     return loss, g
 
@@ -164,10 +170,10 @@ def _log_odds(toxic: int, other: int, n_toxic: int, n_other: int) -> float:
     if seen < LEAST_DOCS:
         return 0.0
     odds = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((other + 0.5) / (n_other + 1))
-    return odds * seen / (seen + 3)
+    return odds * seen / (seen + 5)
 
 
-def train(texts: list[str], labels: list[int], toxic_share: float, rounds: int = EPOCHS, seed: int = 11) -> Model | None:
+def train(texts: list[str], labels: list[int], toxic_share: float, rounds: int = ROUNDS, seed: int = 11) -> Model | None:
     """A model of labelled texts, None unless both classes have words."""
     docs = [(find_words(t.lower()), y) for t, y in zip(texts, labels, strict=True)]
     docs = [(ws, y) for ws, y in docs if ws]
@@ -197,6 +203,14 @@ def train(texts: list[str], labels: list[int], toxic_share: float, rounds: int =
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
     by_class = [np.flatnonzero(label == y) for y in (0, 1)]
     for step in range(1, rounds + 1):
+        if step in (rounds // 3, 2 * rounds // 3):
+            # From here on other documents show the windows that the model so far finds worst.
+            table = np.concatenate([_inputs(params, word[i:i + 8192], grams[i:i + 8192], np.zeros(len(word[i:i + 8192]))) for i in range(0, len(word), 8192)])
+            gates = [table @ params[f"in_{d}"] + params[f"bias_{d}"] for d in ("f", "b")]
+            for d in by_class[0]:
+                local = [gt[lists[d]] + own[d][:, None] * params[f"in_{s}"][-1] for s, gt in zip("fb", gates, strict=True)]
+                grid, mask, _ = _grid([np.arange(len(lists[d]))])
+                strength[first[d]:first[d + 1]] = window_logits(params, local[0], local[1], grid, mask)
         chosen = np.concatenate([rng.choice(c, BATCH // 2) for c in by_class])
         # A toxic document is shown by its strongest window, another one by its strongest or by any.
         rows = [first[d] + (strength[first[d]:first[d + 1]].argmax() if label[d] or rng.random() < 0.5 else rng.integers(first[d + 1] - first[d])) for d in chosen]
@@ -210,41 +224,19 @@ def train(texts: list[str], labels: list[int], toxic_share: float, rounds: int =
         mask = at >= 0
         flat = np.where(mask, at, 0).ravel()
         place = np.arange(at.size).reshape(at.shape)
-        loss, grad = gradient(params, word[flat], grams[flat], ev.ravel(), place, mask, label[chosen].astype(float), np.ones(len(rows)))
+        loss, grad = gradient(params, word[flat], grams[flat], ev.ravel(), place, mask, label[chosen].astype(float), np.ones(len(rows)),
+                              (rng.random((at.size, 1)) < KEEP).astype(float))
         for k, v in grad.items():
             m, s2 = moments[k]
             m += 0.1 * (v - m)
             s2 += 0.01 * (v * v - s2)
-            params[k] -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(s2 / (1 - 0.99**step)) + 1e-8)
-
-    worst = np.full(len(docs), -np.inf)
-    x = np.concatenate([_inputs(params, word[i:i + 8192], grams[i:i + 8192], np.zeros(len(word[i:i + 8192]))) for i in range(0, len(word), 8192)])
-    gates = [x @ params[f"in_{d}"] + params[f"bias_{d}"] for d in ("f", "b")]
-    for d, ids in enumerate(lists):
-        # Calibrate on evidence that does not come from the document itself.
-        extra = [own[d][:, None] * params[f"in_{s}"][-1] for s in ("f", "b")]
-        local = [gt[ids] + e for gt, e in zip(gates, extra, strict=True)]
-        grid, mask = _grid([np.arange(len(ids))])[:2]
-        worst[d] = window_logits(params, local[0], local[1], grid, mask).max()
-    slope, shift = _calibrate(worst, label, toxic_share)
-    return Model({k: v.astype(np.float32) for k, v in params.items()}, {w: e for w, e in evidence.items() if e}, slope, shift)
-
-
-def _calibrate(logit: np.ndarray, label: np.ndarray, share: float) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, with classes weighted to the share of toxic documents (between 1 and 50 %)."""
-    share = min(0.5, max(0.01, share))
-    weight = np.where(label == 1, share / max(1, label.sum()), (1 - share) / max(1, (1 - label).sum()))
-    x = np.clip(logit, -15, 15)
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        r, w = weight * (p - label), weight * p * (1 - p) + 1e-9 * weight
-        g = np.array([(r * x).sum() + 1e-3 * (a - 1), r.sum()])
-        h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-9]])
-        step = np.linalg.solve(h, g)
-        step *= min(1.0, 1.0 / max(1e-12, np.abs(step).max()))
-        a, b = a - step[0], b - step[1]
-    return float(max(a, 1e-3)), float(b)
+            # Tables of vectors move slowly and decay: there are more of them than documents to tell them apart.
+            table = k in ("word", "char")
+            params[k] -= (RATE / 10 if table else RATE) * (m / (1 - 0.9**step)) / (np.sqrt(s2 / (1 - 0.99**step)) + 1e-8)
+            params[k] *= 1 - (DECAY if table else DECAY / 10)
+
+    share = min(0.5, max(0.01, toxic_share))
+    return Model({k: v.astype(np.float32) for k, v in params.items()}, {w: e for w, e in evidence.items() if e}, math.log(share / (1 - share)))
 
 
 def _grid(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -311,7 +303,7 @@ def score_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
                     logit = window_logits(model.params, gates[0], gates[1], index[:, at:at + 2048], mask[:, at:at + 2048])
                     np.maximum.at(worst, owner[at:at + 2048], logit)
                 count = np.bincount(owner, minlength=len(texts))
-            scores = 1 / (1 + np.exp(-np.clip(model.slope * np.clip(worst, -15, 15) + model.shift, -30, 30)))
+            scores = 1 / (1 + np.exp(-np.clip(worst + model.shift, -30, 30)))
             return np.where(count > 0, scores, 0.0), count
 
         for batch in batches:
