@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy, over all overlapping windows.
 
-A word enters as a hashed word vector, the mean of its hashed character n-gram vectors and its evidence (shrunk log-odds
-of document frequencies in toxic and other texts). Windows of ``WINDOW`` words at steps of half a window cover the whole text; each is read in
+A word enters as a hashed word vector, the mean of its hashed character n-gram vectors and the evidence of the word and of its
+first five letters (shrunk log-odds of document frequencies in toxic and other texts). Windows of ``WINDOW`` words at steps of half a window cover the whole text; each is read in
 both directions, pooled by attention and scored, and a document's score is that of its worst window, moved from the equal
 classes of training to the share of toxic documents (between 1 and 50 %).
 
@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import held_out, learnable, whole
 from pulsegrid.llm.word_features import find_words, word_features
 
-SAMPLE_DOCS = 1000
+SAMPLE_DOCS = 800
 SAMPLE_CHARS = 30_000
 WINDOW, STEP = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN = 6, 6, 8
 BUCKETS = 1 << 14
-BATCH, ROUNDS = 64, 200
+BATCH, ROUNDS, RESELECT = 64, 200, 50
 RATE, DECAY = 0.02, 0.02
 #: Share of words whose learnt vectors enter while training; evidence always does.
 KEEP = 0.3
@@ -57,12 +57,12 @@ def _places(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _inputs(p: Params, word: np.ndarray, grams: np.ndarray, evidence: np.ndarray, keep: np.ndarray | float = KEEP) -> np.ndarray:
     """What enters for each word. ``keep`` scales the learnt vectors: their mean by default, 0 or 1 per row while training."""
     count = np.maximum((grams != BUCKETS).sum(axis=1, keepdims=True), 1)
-    return np.concatenate((p["word"][word] * keep, p["char"][grams].sum(axis=1) / count * keep, evidence[:, None]), axis=1)
+    return np.concatenate((p["word"][word] * keep, p["char"][grams].sum(axis=1) / count * keep, evidence), axis=1)
 
 
 def start_params(seed: int = 3) -> Params:
     rng = np.random.default_rng(seed)
-    size = WORD_DIM + CHAR_DIM + 1
+    size = WORD_DIM + CHAR_DIM + 2
     p = {"word": rng.normal(0, 0.05, (BUCKETS, WORD_DIM)), "char": rng.normal(0, 0.05, (BUCKETS + 1, CHAR_DIM))}
     p["char"][BUCKETS] = 0
     for d in ("f", "b"):
@@ -157,6 +157,16 @@ def gradient(p: Params, word: np.ndarray, grams: np.ndarray, evidence: np.ndarra
     return loss, g
 
 
+def _stem(word: str) -> str:
+    """The first five letters, marked as such."""
+    return word[:5] + "*"
+
+
+def evidence_of(words: list[str], evidence: dict[str, float]) -> np.ndarray:
+    """Evidence of each word and of its stem."""
+    return np.array([(evidence.get(w, 0.0), evidence.get(_stem(w), 0.0)) for w in words], np.float32).reshape(-1, 2)
+
+
 def window_starts(n: int) -> list[int]:
     """Starts of the windows over n words; the last one ends with the text."""
     if n <= WINDOW:
@@ -182,7 +192,7 @@ def train(texts: list[str], labels: list[int], toxic_share: float, rounds: int =
         return None
     seen = {0: Counter(), 1: Counter()}
     for ws, y in docs:
-        seen[y].update(set(ws))
+        seen[y].update({k for w in ws for k in (w, _stem(w))})
     evidence = {w: _log_odds(seen[1][w], seen[0][w], n[1], n[0]) for w in seen[0] | seen[1] if seen[0][w] + seen[1][w] >= LEAST_DOCS}
 
     rng = np.random.default_rng(seed)
@@ -192,8 +202,8 @@ def train(texts: list[str], labels: list[int], toxic_share: float, rounds: int =
     own = []
     for ws, y in docs:
         # What the document itself adds to the counts is left out.
-        less = {w: _log_odds(seen[1][w] - y, seen[0][w] - (1 - y), n[1] - y, n[0] - (1 - y)) for w in set(ws)}
-        own.append(np.array([less[w] for w in ws]))
+        less = {w: _log_odds(seen[1][w] - y, seen[0][w] - (1 - y), n[1] - y, n[0] - (1 - y)) for w in {k for w in ws for k in (w, _stem(w))}}
+        own.append(np.array([(less[w], less[_stem(w)]) for w in ws]))
     windows = [(d, s) for d, ids in enumerate(lists) for s in window_starts(len(ids))]
     first = np.cumsum([0] + [len(window_starts(len(ids))) for ids in lists])
     strength = np.array([own[d][s:s + WINDOW].clip(min=0).sum() for d, s in windows])
@@ -203,19 +213,19 @@ def train(texts: list[str], labels: list[int], toxic_share: float, rounds: int =
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
     by_class = [np.flatnonzero(label == y) for y in (0, 1)]
     for step in range(1, rounds + 1):
-        if step in (rounds // 3, 2 * rounds // 3):
+        if step % RESELECT == 0:
             # From here on other documents show the windows that the model so far finds worst.
-            table = np.concatenate([_inputs(params, word[i:i + 8192], grams[i:i + 8192], np.zeros(len(word[i:i + 8192]))) for i in range(0, len(word), 8192)])
+            table = np.concatenate([_inputs(params, word[i:i + 8192], grams[i:i + 8192], np.zeros((len(word[i:i + 8192]), 2))) for i in range(0, len(word), 8192)])
             gates = [table @ params[f"in_{d}"] + params[f"bias_{d}"] for d in ("f", "b")]
             for d in by_class[0]:
-                local = [gt[lists[d]] + own[d][:, None] * params[f"in_{s}"][-1] for s, gt in zip("fb", gates, strict=True)]
+                local = [gt[lists[d]] + own[d] @ params[f"in_{s}"][-2:] for s, gt in zip("fb", gates, strict=True)]
                 grid, mask, _ = _grid([np.arange(len(lists[d]))])
                 strength[first[d]:first[d + 1]] = window_logits(params, local[0], local[1], grid, mask)
         chosen = np.concatenate([rng.choice(c, BATCH // 2) for c in by_class])
         # A toxic document is shown by its strongest window, another one by its strongest or by any.
-        rows = [first[d] + (strength[first[d]:first[d + 1]].argmax() if label[d] or rng.random() < 0.5 else rng.integers(first[d + 1] - first[d])) for d in chosen]
+        rows = [first[d] + (strength[first[d]:first[d + 1]].argmax() if label[d] or rng.random() < 0.7 else rng.integers(first[d + 1] - first[d])) for d in chosen]
         at = np.full((WINDOW, len(rows)), -1)
-        ev = np.zeros((WINDOW, len(rows)))
+        ev = np.zeros((WINDOW, len(rows), 2))
         for j, r in enumerate(rows):
             d, s = windows[r]
             ids = lists[d][s:s + WINDOW]
@@ -224,7 +234,7 @@ def train(texts: list[str], labels: list[int], toxic_share: float, rounds: int =
         mask = at >= 0
         flat = np.where(mask, at, 0).ravel()
         place = np.arange(at.size).reshape(at.shape)
-        loss, grad = gradient(params, word[flat], grams[flat], ev.ravel(), place, mask, label[chosen].astype(float), np.ones(len(rows)),
+        loss, grad = gradient(params, word[flat], grams[flat], ev.reshape(-1, 2), place, mask, label[chosen].astype(float), np.ones(len(rows)),
                               (rng.random((at.size, 1)) < KEEP).astype(float))
         for k, v in grad.items():
             m, s2 = moments[k]
@@ -284,7 +294,7 @@ def score_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
                 gates[:] = [np.concatenate((g, np.zeros_like(g))) for g in gates]
             for at in range(0, len(words), 8192):
                 part = words[at:at + 8192]
-                evidence = np.array([model.evidence.get(w, 0.0) for w in part], np.float32)
+                evidence = evidence_of(part, model.evidence)
                 x = _inputs(model.params, *_places(part), evidence)
                 for g, d in zip(gates, "fb", strict=True):
                     g[first + at:first + at + len(part)] = x @ model.params[f"in_{d}"] + model.params[f"bias_{d}"]
