@@ -22,8 +22,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +33,9 @@ from pulsegrid.functions.scratch import materialize
 from pulsegrid.llm.common import whole
 from pulsegrid.llm.token_counts import pieces
 
-HOT_WORDS = 1 << 19
-#: A worker remembers the pre-tokens of so many pieces of text.
-CACHE_PIECES = 300_000
+HOT_WORDS = 1 << 20
+#: A task remembers the codes of so many pieces of text.
+CACHE_PIECES = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -45,21 +47,36 @@ def make_encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
-class _Cutter(dict):
-    """Pre-tokens of a piece of text, looked up or made. Pieces end in front of white space, where pre-tokens end too."""
+class HotWords:
+    """The most frequent words with their ids, in flat arrays; code k + 1 is the k-th word."""
 
-    def __init__(self, pattern: str):
-        super().__init__()
-        self.find = regex.compile(pattern).findall
+    def __init__(self, parts: tuple):
+        self.words, self.hashes, self.order, self.pool, self.starts, self.sizes = parts
 
-    def __missing__(self, piece: str) -> tuple[str, ...]:
-        made = tuple(self.find(piece))
-        if len(self) < CACHE_PIECES and len(piece) <= 48:
-            self[piece] = made
-        return made
+    @classmethod
+    def parts_of(cls, table: pa.Table) -> tuple:
+        """What to share with tasks: plain arrays."""
+        words = table.column("word").combine_chunks()
+        ids = [np.frombuffer(x, "<i4") for x in table.column("ids").to_pylist()]
+        sizes = np.array([0, *map(len, ids)], np.int64)
+        hashes = cls._hash(words.to_pylist())
+        order = np.argsort(hashes).astype(np.int32)
+        pool = np.concatenate(ids) if ids else np.empty(0, "<i4")
+        return words, hashes[order], order, pool, np.cumsum(sizes) - sizes, sizes
 
-    def cut(self, text: str) -> Iterator[str]:
-        return chain.from_iterable(map(self.__getitem__, pieces(text)))
+    @staticmethod
+    def _hash(words: list[str]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+    def codes(self, words: list[str]) -> np.ndarray:
+        """Codes of words, 0 for those that are not here."""
+        if not len(self.hashes) or not words:
+            return np.zeros(len(words), np.int32)
+        h = self._hash(words)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        place = self.order[at]
+        same = pc.equal(pa.array(words, self.words.type), self.words.take(pa.array(place))).to_numpy(zero_copy_only=False)
+        return np.where((self.hashes[at] == h) & same.astype(bool), place + 1, 0)
 
 
 def distinct_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
@@ -138,13 +155,6 @@ def _unpack(data: bytes) -> np.ndarray:
     return value
 
 
-class _Codes(dict):
-    """Code of a hot word, from 1; 0 for any other."""
-
-    def __missing__(self, word: str) -> int:
-        return 0
-
-
 def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The stretches ``pool[start:start + size]`` one behind the other."""
     ends = np.cumsum(sizes)
@@ -160,54 +170,59 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     vocabulary = materialize(encode_words(distinct_words(docs, pattern, text_col), path, pattern))
     least = _hot_threshold(vocabulary, hot_words)
-    hot = vocabulary.where(F.col("n") >= least).orderBy(F.desc("n"), "word").select("word", "ids").collect()
-    shared = spark.sparkContext.broadcast(([r["word"] for r in hot], [bytes(r["ids"]) for r in hot]))
+    hot = vocabulary.where(F.col("n") >= least).orderBy(F.desc("n"), "word").select("word", "ids").toArrow()
+    shared = spark.sparkContext.broadcast(HotWords.parts_of(hot))
 
     keyed = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     id_type = keyed.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]):
-        codes = _Codes(zip(shared.value[0], range(1, 1 << 21), strict=False))
-        cutter = _Cutter(pattern)
+        """Some documents at a time: their rows, the codes of all their words, and the words with code 0 in order."""
+        find, hot = regex.compile(pattern).findall, HotWords(shared.value)
+        known: dict[str, tuple[int, ...]] = {}
+        rare: dict[str, list[str]] = {}
         for batch in batches:
-            found = []
-            for text in batch.column("text").to_pylist():
-                words = list(cutter.cut(text))
-                found.append((words, np.fromiter(map(codes.__getitem__, words), np.int32, len(words))))
-                if len(found) == 256:
-                    yield batch.slice(0, 256), found
-                    batch, found = batch.slice(256), []
-            if found:
-                yield batch, found
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                cut_texts = [pieces(t) for t in part.column("text").to_pylist()]
+                new = list({p for ps in cut_texts for p in ps} - known.keys())
+                found = [find(p) for p in new]
+                codes = hot.codes(list(chain.from_iterable(found))).tolist()
+                first = 0
+                for p, words in zip(new, found, strict=True):
+                    known[p] = own = tuple(codes[first:first + len(words)])
+                    first += len(words)
+                    if 0 in own:
+                        rare[p] = [w for w, c in zip(words, own, strict=True) if not c]
+                yield (part, [np.fromiter(chain.from_iterable(map(known.__getitem__, ps)), np.int32) for ps in cut_texts],
+                       lambda i, ps=cut_texts: list(chain.from_iterable(rare[p] for p in ps[i] if p in rare)))
+                if len(known) > CACHE_PIECES:
+                    known, rare = {}, {}
 
     def hot_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in cut(batches):
-            packed = pa.array([_pack(codes) for _, codes in found], pa.binary())
+        for part, codes, _ in cut(batches):
+            packed = pa.array([_pack(c) for c in codes], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), packed], ["doc_id", "text_hash", "codes"])
+                [part.column("doc_id"), part.column("text_hash"), packed], ["doc_id", "text_hash", "codes"])
 
     def rare_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in cut(batches):
+        for part, codes, rare_words in cut(batches):
             row, place, word = [], [], []
-            for i, (words, codes) in enumerate(found):
-                at = np.flatnonzero(codes == 0).tolist()
-                row += [i] * len(at)
-                place += at
-                word += map(words.__getitem__, at)
+            for i, c in enumerate(codes):
+                at = np.flatnonzero(c == 0).tolist()
+                if at:
+                    row += [i] * len(at)
+                    place += at
+                    word += rare_words(i)
             rows = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array(place, pa.int32()), pa.array(word, pa.string())],
+                [part.column("doc_id").take(rows), part.column("text_hash").take(rows), pa.array(place, pa.int32()), pa.array(word, pa.string())],
                 ["doc_id", "text_hash", "place", "word"])
 
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stored = [np.frombuffer(x, "<i4") for x in shared.value[1]]
-        sizes = np.array([0, *map(len, stored)], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        pool = np.concatenate(stored) if stored else np.empty(0, "<i4")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield _assemble(part, pool, starts, sizes)
+                yield _assemble(batch.slice(at, 256), HotWords(shared.value))
 
     coded = keyed.mapInArrow(hot_part, f"doc_id {id_type}, text_hash long, codes binary")
     rare = keyed.mapInArrow(rare_part, f"doc_id {id_type}, text_hash long, place int, word string")
@@ -219,7 +234,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         reassemble, f"doc_id {id_type}, text_hash long, ids binary")
 
 
-def _assemble(part: pa.RecordBatch, pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+def _assemble(part: pa.RecordBatch, hot: HotWords) -> pa.RecordBatch:
     codes = [_unpack(c) for c in part.column("codes").to_pylist()]
     extra: list[bytes] = []
     for c, found in zip(codes, part.column("rare").to_pylist(), strict=True):
@@ -230,12 +245,12 @@ def _assemble(part: pa.RecordBatch, pool: np.ndarray, starts: np.ndarray, sizes:
         extra += [by_place[p] for p in sorted(by_place)]
     every = np.concatenate(codes) if codes else np.empty(0, np.int64)
     own = [len(x) // 4 for x in extra]
-    first, size = starts[every], sizes[every]
+    first, size = hot.starts[every], hot.sizes[every]
     gap = every == 0
     size[gap] = own
-    first[gap] = len(pool) + np.cumsum(own) - own
+    first[gap] = len(hot.pool) + np.cumsum(own) - own
     rare_ids = np.frombuffer(b"".join(extra), "<i4")
-    flat = _gather(np.concatenate((pool, rare_ids)), first, size)
+    flat = _gather(np.concatenate((hot.pool, rare_ids)), first, size)
     cut = np.cumsum(np.concatenate(([0], size)))[np.cumsum([0, *map(len, codes)])]
     ids = [flat[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
     return pa.RecordBatch.from_arrays(
