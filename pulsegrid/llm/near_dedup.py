@@ -6,12 +6,11 @@ key; documents that share a band key are candidates, and a candidate counts as a
 compared: 100 * common >= 75 * union. With 40 bands a link at the very threshold is missed with a probability of
 2.5e-7, above it far less.
 
-Hot groups: equal sets become one class (one row) before anything is paired. In a bucket all members are first
-compared with its smallest id; what this links becomes one component. Only members of different components are
-paired after that, in small buckets by a join, in large ones block by block inside tasks, where pairs must share two
-bands (missed with 5e-6 at the threshold) before they are emitted. Links and labels stay tables throughout. Texts of documents
-without a candidate are read once; which ones are read again is told by a bitmap of fixed size, and only as a
-filter before an exact join.
+Hot groups: equal sets become one class (one row) before anything is paired. Each document is first
+compared with one smaller id out of its buckets; what this links becomes one component. Only members of different components are
+paired after that: with the smallest id of each bucket, and then all with all, block by block inside tasks that hold
+full sets and return links only. Links and labels stay tables throughout. Texts of documents without a candidate are
+read once; which ones are read again is told by a bitmap of fixed size, and only as a filter before an exact join.
 
 Null and empty texts have no shingles and link with nothing. Rows with a null id are their own component, null.
 Rows that share an id count as one document. Other columns do not matter.
@@ -24,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +36,8 @@ SIMILARITY = 75
 PERMUTATIONS = 80
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Buckets up to this size are paired by a join, larger ones in blocks of this size.
-BLOCK = 256
+#: Blocks of a unit of work have about so many rows and shingles at most.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 _BITMAP_BITS = 1 << 23
 _CACHE_WORDS = 1_000_000
 
@@ -176,31 +176,61 @@ def _comparable(x: str, y: str):
     return 100 * small >= SIMILARITY * large
 
 
-def _blocked_pairs(members: DataFrame, bands: DataFrame) -> DataFrame:
-    """Pairs of different components within large buckets, found block against block."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = members.join(bands, "rep").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "component", "bands")
+def _exhaustive_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links between different components among documents that share a bucket.
+
+    Buckets with the same hub are one unit of work. A unit is cut into blocks, every pair of blocks is compared on
+    full sets inside one task, and only links leave it.
+    """
+    units = rows.select(F.col("hub.rep").alias("hub"), "rep", "n", "component").distinct()
+    blocks = units.groupBy("hub").agg(F.ceil(F.greatest(
+        F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sets = materialize(full_sets(docs, units.select(F.col("rep").alias("id")).distinct(), id_col, text_col))
+    dealt = units.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.join(sets.withColumnRenamed("id", "rep"), "rep").select(
+        "hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "shingles")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        rep, n, comp, own = (table.column(c).to_numpy() for c in ("rep", "n", "component", "own"))
-        keys = np.array(table.column("bands").to_pylist(), np.int64)
+        rep, comp, own = (table.column(c).to_numpy() for c in ("rep", "component", "own"))
+        lists = table.column("shingles").combine_chunks()
+        flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        ends = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+        sizes = np.diff(ends)
         i, j = key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out_a, out_b = [], []
+        mark = np.zeros(len(flat) and flat.max() + 1, np.int64)
+        out = []
         for x in left:
-            ok = (comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= SIMILARITY * np.maximum(n[right], n[x]))
+            y = right[(comp[right] != comp[x]) & (100 * np.minimum(sizes[right], sizes[x]) >= SIMILARITY * np.maximum(sizes[right], sizes[x]))]
             if i == j:
-                ok &= rep[right] > rep[x]
-            y = right[ok]
-            if len(y):
-                y = y[(keys[y] == keys[x]).sum(axis=1) >= 2]
-                out_a += np.minimum(rep[y], rep[x]).tolist()
-                out_b += np.maximum(rep[y], rep[x]).tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+                y = y[y > x]
+            if not len(y):
+                continue
+            mark[flat[ends[x]:ends[x + 1]]] = 1
+            span = np.repeat(ends[y] - (np.cumsum(sizes[y]) - sizes[y]), sizes[y]) + np.arange(sizes[y].sum())
+            common = np.add.reduceat(mark[flat[span]], np.cumsum(sizes[y]) - sizes[y])
+            mark[flat[ends[x]:ends[x + 1]]] = 0
+            out += [(int(rep[x]), int(rep[z])) for z in y[100 * common >= SIMILARITY * (sizes[x] + sizes[y] - common)]]
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+    return dealt.groupBy("hub", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Bucket members with their component, of buckets that hold more than one."""
+    label = labels.select(F.col("id").alias("rep"), "component")
+    rows = members.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = rows.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
+        F.min(F.struct("rep", "component")).alias("first")).where("low < high")
+    return materialize(rows.join(mixed.select("key", "size", F.col("first.component").alias("hub_component")), "key"))
+
+
+def _hub_pairs(rows: DataFrame) -> DataFrame:
+    """Members that are not of their hub's component, with the hub."""
+    apart = rows.where((F.col("component") != F.col("hub_component")) & _comparable("n", "hub.n"))
+    return apart.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,24 +245,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("last")).where("last > hub.rep")
     members = materialize(rows.join(buckets.select("key", "hub"), "key"))
 
-    by_hub = members.where((F.col("rep") != F.col("hub.rep")) & _comparable("n", "hub.n")).select(
-        F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    checked = materialize(by_hub)
+    # First each document with one hub, the smallest: large groups become one component by as many pairs as they have members.
+    to_hub = members.where((F.col("rep") != F.col("hub.rep")) & _comparable("n", "hub.n")).select(
+        F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
+    checked = materialize(to_hub.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = materialize(confirm(docs, checked, id_col, text_col))
     labels = components(links)
-
-    labelled = members.select("key", "rep", "n").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-    rest = materialize(labelled.join(mixed.select("key", "size"), "key"))
-    small = rest.where(F.col("size") <= BLOCK)
-    other = small.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    joined = small.join(other, "key").where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("cb")) & _comparable("n", "nb"))
-    blocked = _blocked_pairs(rest.where(F.col("size") > BLOCK), reps.select("rep", "bands"))
-    pairs = joined.select(F.col("rep").alias("a"), "b").unionAll(blocked).distinct().join(checked, ["a", "b"], "left_anti")
-    more = confirm(docs, materialize(pairs), id_col, text_col)
-    final = components(links.unionAll(more)).select(F.col("id").alias("group_id"), "component")
+    # Then with the hubs of its other buckets, and last with all members, as far as components still differ.
+    pairs = materialize(_hub_pairs(_labelled(members, labels)).distinct().join(checked, ["a", "b"], "left_anti"))
+    links = materialize(links.unionAll(confirm(docs, pairs, id_col, text_col)))
+    rest = _exhaustive_links(docs, _labelled(members, components(links)), id_col, text_col)
+    labels = components(links.unionAll(rest))
+    final = labels.select(F.col("id").alias("group_id"), "component")
 
     out = signed.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left").withColumn(
         "class_id", F.coalesce("class_id", "doc_id"))
