@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and Markov models of random strings against ordinary identifiers.
 
 Two character bigram models are counted from labelled samples: random strings (what the fixed patterns find, and
-hash digests in hexadecimal, base 32 and base 64) and ordinary identifiers (the words of the documents). A token of 20 or
+hash digests in hexadecimal, base 32 and base 64) and ordinary identifiers (the words of the documents, shorter than what is looked for). A token of 20 or
 more characters outside the fixed findings becomes a finding of its own when its log-likelihood ratio favours the
 random model by ``THRESHOLD`` nats or more.
 
@@ -32,6 +32,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 SAMPLE_DOCS = 20_000
 THRESHOLD = 12.0
 LEAST_DISTINCT = 8
+#: Weight, in pairs, of single-character frequencies in the models.
+BACK_OFF = 20.0
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -86,27 +88,33 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     base64 = F.translate(F.base64(F.unhex(digest)), "=", "")
     generated = F.array(digest, base64, F.translate(base64, "+/", "-_"), F.upper(F.conv(F.substring(digest, 1, 15), 16, 36)))
     ordinary = F.filter(F.split(F.regexp_replace("t", "|".join([ASSIGN, ACCESS, HEX]), " "), r"[^A-Za-z0-9+/_-]+", -1),
-                        lambda w: F.length(w) >= 4)
+                        lambda w: F.length(w).between(4, 19))
     return parts.select(F.explode(F.concat(F.col("found"), generated)).alias("token"), F.lit(True).alias("random")).unionAll(
         picked.select(F.explode(ordinary).alias("token"), F.lit(False).alias("random")))
 
 
 def fit_models(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratios of all character pairs, random against ordinary, smoothed by half a count.
+    """Log-likelihood ratios of all character pairs, random against ordinary.
 
-    Only 2 x 65 x 65 counts reach the driver. Without samples every ratio is zero.
+    Pairs are smoothed towards the frequency of their second character, so a model that has hardly met the first one falls
+    back on that. Only 2 x 65 x 65 counts reach the driver. Without samples every ratio is zero.
     """
     side = len(ALPHABET) + 1
-    counts = {True: [0.5] * (side * side), False: [0.5] * (side * side)}
+    counts = {True: [0.0] * (side * side), False: [0.0] * (side * side)}
     tokens = samples.groupBy("random", "token").count()
     pairs = tokens.select("random", "count", F.explode(_bigrams(F.col("token"))).alias("pair"))
     for row in pairs.groupBy("random", "pair").agg(F.sum("count").alias("n")).collect():
         counts[row["random"]][row["pair"]] += row["n"]
-    totals = {k: [sum(v[a * side:(a + 1) * side]) for a in range(side)] for k, v in counts.items()}
-    return [
-        math.log(counts[True][p] / totals[True][p // side]) - math.log(counts[False][p] / totals[False][p // side])
-        for p in range(side * side)
-    ]
+
+    def log_likelihood(n: list[float]) -> list[float]:
+        seconds = [1.0 + sum(n[b::side]) for b in range(side)]
+        firsts = [sum(n[a * side:(a + 1) * side]) for a in range(side)]
+        return [
+            math.log((n[a * side + b] + BACK_OFF * seconds[b] / sum(seconds)) / (firsts[a] + BACK_OFF))
+            for a in range(side) for b in range(side)
+        ]
+
+    return [x - y for x, y in zip(log_likelihood(counts[True]), log_likelihood(counts[False]), strict=True)]
 
 
 def _ratio(token: Column, table: Column) -> Column:
