@@ -15,8 +15,7 @@ from pyspark.sql import SparkSession
 from checks import tables
 from checks.catalog import QUERIES
 from pulsegrid.operators.rollups import alerts_5m
-from pulsegrid.operators.scoring import build_alerts
-from pulsegrid.plans.pipeline import feature_table, score_windows
+from pulsegrid.plans.pipeline import feature_table, score_pipeline
 from pulsegrid.sources.adapters import SIZES, all_events
 
 HEADLINES = [
@@ -51,8 +50,7 @@ def main() -> None:
 
     def end_to_end(folder):
         # Nothing is reused here: raw events to alert rollup in one plan.
-        scored = score_windows(feature_table(all_events(spark, folder), SIZES), tables.UNTRAINED_RULES, models=False)
-        _run(alerts_5m(build_alerts(scored, tables.closing_time(), "v1")))
+        _run(alerts_5m(score_pipeline(feature_table(all_events(spark, folder), SIZES), tables.closing_time())))
 
     small = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     end_to_end(small if os.path.isdir(small) else sf_dir)

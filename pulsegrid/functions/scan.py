@@ -24,11 +24,15 @@ _OFFSET = 1100 * 64  # above 64 * 1074, so every positive double maps to a posit
 def value_block(x: Column) -> Column:
     """Monotone bucket of a double: 64 buckets per power of two, sign aware.
 
+    Infinities have end blocks of their own; NaN, which sorts last, has the last.
     Never null, so that both sides of the carry join keep the same plan and share
     one exchange.
     """
-    scaled = F.floor(F.log2(F.abs(x)) * 64) + F.lit(_OFFSET)
-    bucket = F.when(x == 0, F.lit(0)).when(x > 0, scaled).otherwise(-scaled).cast("long")
+    infinite = F.abs(x) == float("inf")
+    scaled = F.floor(F.log2(F.when(infinite | F.isnan(x), None).otherwise(F.abs(x))) * 64) + F.lit(_OFFSET)
+    end = F.lit(4 * _OFFSET)
+    bucket = F.when(F.isnan(x), end + 1).when(infinite, F.when(x > 0, end).otherwise(-end)).when(
+        x == 0, F.lit(0)).when(x > 0, scaled).otherwise(-scaled).cast("long")
     return F.coalesce(bucket, F.lit(0).cast("long"))
 
 

@@ -21,7 +21,6 @@ BINS = 10
 PSI_LIMIT = 0.2
 KS_P_LIMIT = 0.01
 MIN_LIVE = 10
-EXACT_KS_ROWS = 10_000
 
 _KEYS = ["domain", "feature"]
 
@@ -52,7 +51,7 @@ def psi(baseline: DataFrame, live: DataFrame, bins: int = BINS) -> DataFrame:
     """Population stability index per (domain, feature) of long-form values.
 
     Edges are the distinct interpolated quantiles of the baseline; live values
-    outside them are ignored; fewer than three edges give 0.
+    outside them are ignored; fewer than three edges give 0. Every feature of the baseline has a row.
     """
     probs = {f"q{i}": i / bins for i in range(bins + 1)}
     edges = exact_quantiles(baseline, _KEYS, "value", probs, "linear").select(
@@ -63,10 +62,9 @@ def psi(baseline: DataFrame, live: DataFrame, bins: int = BINS) -> DataFrame:
     reached = F.size(F.filter("edges", lambda e: e <= F.col("value")))
     last = F.size("edges")
     slot = F.when((reached == last) & (F.col("value") == F.element_at("edges", -1)), last - 1).otherwise(reached)
-    # The edge table has one row per domain and feature. A bin without rows on
-    # either side adds nothing, so only filled bins are kept.
+    # A bin without rows on either side adds nothing, so only filled bins are kept.
     filled = (
-        counted.join(F.broadcast(edges), _KEYS)
+        counted.join(edges, _KEYS)
         .withColumns({"bin": slot, "_edges": last})
         .where((F.col("bin") >= 1) & ((F.col("bin") < F.col("_edges")) | (F.col("_edges") < 3)))
         .groupBy(*_KEYS, "bin").agg(F.sum("b").alias("b"), F.sum("l").alias("l"), F.max("_edges").alias("_edges"))
@@ -78,9 +76,10 @@ def psi(baseline: DataFrame, live: DataFrame, bins: int = BINS) -> DataFrame:
 
     parts = filled.withColumns({"_b": share("b"), "_l": share("l")})
     index = F.sum((F.col("_l") - F.col("_b")) * F.log(F.col("_l") / F.col("_b")))
-    return parts.groupBy(*_KEYS).agg(
+    found = parts.groupBy(*_KEYS).agg(
         F.when(F.max("_edges") < 3, 0.0).otherwise(index).alias("psi")
     )
+    return edges.select(*_KEYS).join(found, _KEYS, "left").select(*_KEYS, F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
 
 def _side_counts(baseline: DataFrame, live: DataFrame) -> DataFrame:
@@ -91,10 +90,11 @@ def _side_counts(baseline: DataFrame, live: DataFrame) -> DataFrame:
     return tagged.groupBy(*_KEYS, "value").agg(F.sum("b").alias("b"), F.sum("l").alias("l"))
 
 
-def ks_two_sample(baseline: DataFrame, live: DataFrame) -> DataFrame:
+def ks_two_sample(baseline: DataFrame, live: DataFrame, method: str = "exact") -> DataFrame:
     """KS statistic and p-value per (domain, feature) of long-form values.
 
-    The p-value is exact while both samples have at most 10 000 rows, else asymptotic.
+    ``method`` is ``exact`` (time grows with the product of the sample sizes: for samples
+    of a frozen baseline and a live buffer) or ``limit`` (Kolmogorov's law, for any size).
 
     Both samples are counted per distinct value, then run through value blocks, so
     one feature of a whole table is never sorted in one task.
@@ -110,10 +110,9 @@ def ks_two_sample(baseline: DataFrame, live: DataFrame) -> DataFrame:
     )
     d, n, m = F.col("ks_stat"), F.col("n_b"), F.col("n_l")
     # One row per feature is left here.
-    small = F.greatest(n, m) <= EXACT_KS_ROWS
-    return stats.withColumn("_exact", _exact_pvalues(d, n, m)).withColumn(
-        "ks_pvalue", F.when(small, F.col("_exact")).otherwise(ks_pvalue_limit(d, n, m))
-    ).drop("_exact")
+    if method not in ("exact", "limit"):
+        raise ValueError(f"unknown method {method!r}")
+    return stats.withColumn("ks_pvalue", _exact_pvalues(d, n, m) if method == "exact" else ks_pvalue_limit(d, n, m))
 
 
 def ks_pvalue_limit(d: Column, n: Column, m: Column) -> Column:
@@ -154,7 +153,7 @@ def exact_ks_pvalue(d: float, n: int, m: int) -> float:
 @F.pandas_udf(T.DoubleType())
 def _exact_pvalues(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     return pd.Series([
-        exact_ks_pvalue(a, int(b), int(c)) if max(b, c) <= EXACT_KS_ROWS else None for a, b, c in zip(d, n, m)
+        exact_ks_pvalue(a, int(b), int(c)) if b > 0 and c > 0 else None for a, b, c in zip(d, n, m)
     ], dtype=float)
 
 
@@ -168,7 +167,7 @@ def drift_features(baseline: DataFrame, live: DataFrame, min_live: int = MIN_LIV
         baseline.select("domain").distinct().withColumn("_based", F.lit(True)), "domain", "left"
     )
     base, now = long_features(baseline), long_features(live)
-    measured = psi(base, now).join(ks_two_sample(base, now), _KEYS)
+    measured = psi(base, now).join(ks_two_sample(base, now), _KEYS, "full")
     valid = F.coalesce("_based", F.lit(False)) & (F.col("_live") >= min_live)
     names = enough.withColumn("feature", F.explode(feature_names_of(F.col("domain"))))
     return names.join(measured, _KEYS, "left").select(
@@ -232,7 +231,9 @@ def freeze_baseline(vectors: DataFrame, path: str, n: int = FIRST_FIT) -> DataFr
     slim = vectors.select("domain", "entity_key", "window_end", "vector")
     try:
         stored = spark.read.schema(slim.schema).parquet(path)
-    except AnalysisException:  # nothing stored yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         stored = slim.limit(0)
     # Few rows: at most n per domain, and a domain counts once its buffer is full.
     full = Window.partitionBy("domain")

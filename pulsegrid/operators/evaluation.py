@@ -84,7 +84,7 @@ def ts_folds(df: DataFrame, n: int = CV_FOLDS, order: tuple[str, ...] = ("window
     train_end = F.col("_rows") - (F.lit(n) - fold) * test
     role = F.when(F.col("row_no") <= train_end, "train").when(F.col("row_no") <= train_end + test, "test")
     return (
-        ranked.join(F.broadcast(sizes), "domain")  # one row per domain
+        ranked.join(sizes, "domain")
         .withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         .withColumn("role", role)
         .where(F.col("role").isNotNull())

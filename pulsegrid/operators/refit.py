@@ -54,7 +54,7 @@ def refit_groups(
         F.floor((n + (buffer - 1 - first)) / every), F.floor((F.col("_latest") - first) / every)
     )
     training = (
-        numbered_vectors.join(F.broadcast(newest), "domain")  # one row per domain
+        numbered_vectors.join(newest, "domain")
         .where((last_epoch >= first_epoch) & (F.col("_latest") >= first))
         .withColumn("epoch", F.explode(F.sequence(first_epoch.cast("long"), last_epoch.cast("long"))))
         .drop("_latest")

@@ -43,7 +43,7 @@ def supervised_score(
     """Add the model's probability, calibrated if a calibration is given; null without a model."""
     if model is None:
         return df.withColumn(out, F.lit(None).cast("double"))
-    scored = model.setFeaturesCol("_features").transform(df.withColumn("_features", array_to_vector("vector")))
+    scored = model.copy().setFeaturesCol("_features").transform(df.withColumn("_features", array_to_vector("vector")))
     raw = scored.withColumn("_raw", vector_to_array("probability")[1])
     return calibrate(raw, calibration, "_raw", out).drop(
         "_raw", "_features", "rawPrediction", "probability", "prediction"
@@ -128,7 +128,7 @@ def shapley(df: DataFrame, model: GBTClassificationModel | None, out: str = "sha
 
 def margin(df: DataFrame, model: GBTClassificationModel, out: str = "margin") -> DataFrame:
     """Add the booster's weighted tree sum, half the log-odds it reports."""
-    scored = model.setFeaturesCol("_features").transform(df.withColumn("_features", array_to_vector("vector")))
+    scored = model.copy().setFeaturesCol("_features").transform(df.withColumn("_features", array_to_vector("vector")))
     odds = vector_to_array("probability")
     return scored.withColumn(out, F.log(odds[1] / odds[0]) / 2.0).drop(
         "_features", "rawPrediction", "probability", "prediction"

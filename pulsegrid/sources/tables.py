@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,14 +15,23 @@ _TIME_COLUMN = {"raw_events": "ts_ingest", "features": "window_end", "alerts": "
 
 
 def since(df: DataFrame, col: str, interval: timedelta, now: datetime) -> DataFrame:
-    """Rows newer than ``now - interval``; also prunes ``ingest_date`` partitions if present."""
-    start = now - interval
-    recent = df.where(F.col(col) > F.lit(start))
+    """Rows newer than ``now - interval``; also prunes ``ingest_date`` partitions if present.
+
+    A ``now`` without a zone is read in the session's zone, never in the driver's.
+    """
+    start = _instant(now - interval)
+    recent = df.where(F.col(col) > start)
     if "ingest_date" in df.columns:
-        recent = recent.where(F.col("ingest_date") >= F.lit(start.date()))
+        recent = recent.where(F.col("ingest_date") >= F.to_date(start))
     return recent
 
 
+def _instant(at: datetime) -> Column:
+    if at.tzinfo is None:
+        return F.lit(at.isoformat(sep=" ")).cast("timestamp")
+    return F.timestamp_micros(F.lit((at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)))
+
+
 def write_table(df: DataFrame, path: str, table: str, mode: str = "append") -> None:
     """Append to a date-partitioned table, clustered so scans of one entity skip files.
 

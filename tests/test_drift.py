@@ -141,3 +141,11 @@ def test_metrics_event(spark):
     assert (row["model_id"], row["events_scored"], row["throughput_eps"]) == ("ensemble-market", 100, 2.0)
     assert (row["p50_inference_ms"], row["p99_inference_ms"]) == (51.0, 100.0)
     assert row["precision"] is None and not row["drift_detected"]
+
+
+def test_constant_feature_reports_zero(spark):
+    rows = [("payments", "error_rate", 0.0)] * 20
+    frame = spark.createDataFrame(rows, "domain string, feature string, value double")
+    assert [r["psi"] for r in psi(frame, frame).collect()] == [0.0]
+    with pytest.raises(ValueError):
+        ks_two_sample(frame, frame, method="other")

@@ -106,3 +106,10 @@ def test_segments_repeat_only_the_halo(spark):
 
 def test_scratch_folder_is_the_configured_one(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_value_blocks_take_infinities_and_nan(spark):
+    values = [float("-inf"), -1e308, -1.0, 0.0, 1e-320, 1.0, 1e308, float("inf"), float("nan")]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r["b"] for r in frame.select("i", value_block(F.col("v")).alias("b")).orderBy("i").collect()]
+    assert got == sorted(got) and len(set(got)) == len(got)

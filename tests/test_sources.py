@@ -144,3 +144,17 @@ def test_alert_rows_round_trip_and_satisfy_the_contract(spark):
 def test_adapter_order_key_follows_the_rows(spark):
     df = adapters.market_events(spark, "/root/testdata/sf0.001")
     assert df.select("entity_key", "ts_event", "seq", "event_id").distinct().count() == df.count()
+
+
+def test_since_reads_the_session_zone_not_the_drivers(spark, monkeypatch):
+    import time
+
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        rows = spark.sql("SELECT TIMESTAMP '2024-01-01 10:00:00' AS t UNION ALL SELECT TIMESTAMP '2024-01-01 11:30:00'")
+        assert tables.since(rows, "t", timedelta(hours=1), datetime(2024, 1, 1, 12)).count() == 1
+        assert tables.since(rows, "t", timedelta(hours=3), datetime(2024, 1, 1, 12)).count() == 2
+    finally:
+        monkeypatch.undo()
+        time.tzset()
