@@ -33,6 +33,23 @@ def ewma_columns(x: pd.Series, alpha: float) -> tuple[np.ndarray, np.ndarray, np
     return mean, var, z
 
 
+def ewma_carried(
+    x: pd.Series, alpha: float, start: tuple[float, float] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[float, float]]:
+    """As ``ewma_columns`` with the variance not floored, going on from ``start``; also mean and variance after the last value.
+
+    Both recurrences are linear filters, so carried state is one more value in front of the series.
+    """
+    value = x.to_numpy(dtype=float)
+    begin = (value[0], 0.0) if start is None else start
+    mean = pd.Series(np.concatenate([[begin[0]], value])).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+    delta = value - mean[:-1]
+    spread = np.concatenate([[begin[1]], (1.0 - alpha) * delta * delta])
+    var = pd.Series(spread).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+    z = delta / np.sqrt(np.maximum(var[:-1], MIN_VARIANCE))
+    return mean[:-1], var[:-1], z, (float(mean[-1]), float(var[-1]))
+
+
 def ewma_zscore(features: DataFrame, alpha: float = ALPHA, segment: int = _SEGMENT) -> DataFrame:
     """Add ``ewma_mean``, ``ewma_var`` and ``zscore`` of ``primary_metric``.
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,32 @@ def test_alerts_are_written_once_when_a_batch_repeats(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "alerts")).count() == 4
 
 
+def test_a_reader_sees_a_repeated_batch_once(spark, tmp_path):
+    df = spark.createDataFrame([(1,), (2,)], "v int")
+    write = streams.write_batches(str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    seen = []
+    for batch_id in (0, 0, 1, 0):
+        write(df, batch_id)
+        stream = spark.readStream.schema("v int").parquet(str(tmp_path / "out"))
+        _, got = drain(stream, str(tmp_path), "reader")
+        seen.append(got.count())
+    assert seen == [2, 2, 4, 4]
+
+
+def test_run_scores_over_cut_sequences(spark):
+    rng = np.random.default_rng(3)
+    z = pd.Series(np.round(rng.normal(0, 2, 200), 1))
+    whole = streams.run_scores(z)
+    for cut in (1, 3, 50):
+        carried = z[max(0, cut - streams.RUN_ROWS + 1):]
+        np.testing.assert_array_equal(streams.run_scores(carried)[-(200 - cut):], whole[cut:])
+    # By hand: two of three above 2, four of five below -1, one beyond 3.
+    assert streams.run_scores(pd.Series([2.5, 0.0, 2.5]))[-1] == 0.8
+    assert streams.run_scores(pd.Series([-1.5, -1.5, 0.0, -1.5, -1.5]))[-1] == 0.6
+    assert streams.run_scores(pd.Series([-3.5]))[-1] == 1.0
+    assert streams.run_scores(pd.Series([2.5, 2.5]))[-1] < 0.5
+
+
 def test_observed_counts(spark, tmp_path):
     stream = feed(spark, str(tmp_path / "in"), [events(spark, transactions(50) + ticks(20))])
     query, _ = drain(streams.observed(stream, "seen"), str(tmp_path))
