@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 1. Texts are cut into pre-tokens; distinct ones are counted over all documents and each is encoded exactly once.
-2. Ids join back. The most frequent words, ``HOT_WORDS`` at most, are sent to every task, so the words that make up
+2. Ids join back. The most frequent words, ``HOT_WORDS`` at most (some 80 MB), are sent to every task, so the words that make up
    most rows are never shuffled. Every other occurrence is exploded with its position, joined on the word and brought
    back to its document, where all words are reassembled by position.
 3. Decoding looks every id up in the table of token bytes.
@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -33,9 +34,16 @@ from pulsegrid.functions.scratch import materialize
 from pulsegrid.llm.common import whole
 from pulsegrid.llm.token_counts import pieces
 
-HOT_WORDS = 1 << 20
+HOT_WORDS = (1 << 21) - 1
 #: A task remembers the codes of so many pieces of text.
 CACHE_PIECES = 250_000
+#: Texts are worked on together up to so many bytes.
+GROUP_BYTES = 1 << 22
+
+_LETTERS = r" ?\p{L}+|"
+
+# A blank after other white space is no safe place to cut.
+_UNSAFE_BLANK = r"[\s\v\x1c-\x1f\x85\pZ] "
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -62,7 +70,7 @@ class HotWords:
         hashes = cls._hash(words.to_pylist())
         order = np.argsort(hashes).astype(np.int32)
         pool = np.concatenate(ids) if ids else np.empty(0, "<i4")
-        return words, hashes[order], order, pool, np.cumsum(sizes) - sizes, sizes
+        return words, hashes[order], order, pool, (np.cumsum(sizes) - sizes).astype(np.int32), sizes.astype(np.int32)
 
     @staticmethod
     def _hash(words: list[str]) -> np.ndarray:
@@ -79,11 +87,71 @@ class HotWords:
         return np.where((self.hashes[at] == h) & same.astype(bool), place + 1, 0)
 
 
+def word_finder(pattern: str) -> Callable[[str], list[str]]:
+    """The pre-tokens of a piece of text.
+
+    A pattern with the branch ``_LETTERS`` takes a run of letters with one blank in front whole, provided that
+    the branches before it start with an apostrophe; most pieces are such runs and need no search.
+    """
+    find = regex.compile(pattern).findall
+    if not pattern.startswith("'") or _LETTERS not in pattern or not _before_letters(pattern):
+        return find
+
+    def words(piece: str) -> list[str]:
+        bare = piece[1:] if piece[:1] == " " else piece
+        return [piece] if bare.isascii() and bare.isalpha() else find(piece)
+
+    return words
+
+
+def _before_letters(pattern: str) -> bool:
+    """Whether what stands before the letters is one group behind an apostrophe, or words that each have one."""
+    head = pattern[:pattern.index(_LETTERS)].rstrip("|")
+    return bool(re.fullmatch(r"'\(\?:[^()]*\)|'\w+(\|'\w+)*", head))
+
+
+def byte_groups(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows that hold about ``GROUP_BYTES`` of text, or one longer text."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        done = int(ends[at - 1]) if at else 0
+        stop = max(int(np.searchsorted(ends, done + GROUP_BYTES, "right")), at + 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def cut_texts(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as numbers of pieces: the pieces, their numbers text by text, where each text starts, and the order of texts.
+
+    Where every blank is a safe place, Arrow cuts the texts; the others come last and are cut one by one.
+    """
+    unsafe = pc.match_substring_regex(texts, _UNSAFE_BLANK).to_numpy(zero_copy_only=False)
+    plain, odd = np.flatnonzero(~unsafe), np.flatnonzero(unsafe)
+    lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    heads = np.cumsum(sizes) - sizes
+    coded = flat.dictionary_encode()
+    # A first piece has no blank in front, all others have one.
+    strings = [" " + w for w in coded.dictionary.to_pylist()]
+    numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    numbers[heads] = len(strings) + np.arange(len(heads))
+    strings += flat.take(pa.array(heads)).to_pylist()
+    if len(odd):
+        own = [pieces(t) for t in texts.take(pa.array(odd)).to_pylist()]
+        place = {w: len(strings) + k for k, w in enumerate(dict.fromkeys(chain.from_iterable(own)))}
+        strings += place
+        numbers = np.concatenate((numbers, np.fromiter(map(place.__getitem__, chain.from_iterable(own)), np.int64)))
+        sizes = np.concatenate((sizes, [len(x) for x in own]))
+    return strings, numbers, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), np.concatenate((plain, odd))
+
+
 def distinct_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
     """``word``, ``n``: every distinct pre-token of the corpus with its count, summed per task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
+        find = word_finder(pattern)
         held: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
@@ -95,8 +163,11 @@ def distinct_words(docs: DataFrame, pattern: str, text_col: str = "text") -> Dat
             return pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(pieces(text))
+            for part in byte_groups(batch, "text"):
+                strings, numbers, _, _ = cut_texts(part.column("text"))
+                for piece, n in zip(strings, np.bincount(numbers, minlength=len(strings)).tolist(), strict=True):
+                    if n:
+                        held[piece] += n
                 if len(held) > 400_000:
                     yield flush()
         if held:
@@ -142,6 +213,17 @@ def _pack(codes: np.ndarray) -> bytes:
     return out[keep].tobytes()
 
 
+def _packed(codes: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """One packed value per stretch of ``bounds``."""
+    sizes = 1 + (codes > 127).astype(np.int64) + (codes > 16383)
+    return _binary(_pack(codes), np.concatenate(([0], np.cumsum(sizes)))[bounds])
+
+
+def _binary(data: bytes, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [
+        None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(data)]).cast(pa.binary())
+
+
 def _unpack(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     ends = np.flatnonzero(raw < 128)
@@ -155,6 +237,14 @@ def _unpack(data: bytes) -> np.ndarray:
     return value
 
 
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all values of a column, one behind the other, and where each value starts and the last ends."""
+    data = b"".join(packed.to_pylist())
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) < 128)
+    cuts = np.cumsum(np.concatenate(([0], pc.binary_length(packed).to_numpy(zero_copy_only=False))))
+    return _unpack(data), np.searchsorted(ends, cuts)
+
+
 def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The stretches ``pool[start:start + size]`` one behind the other."""
     ends = np.cumsum(sizes)
@@ -177,15 +267,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     id_type = keyed.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]):
-        """Some documents at a time: their rows, the codes of all their words, and the words with code 0 in order."""
-        find, hot = regex.compile(pattern).findall, HotWords(shared.value)
+        """Some documents at a time: their rows, the codes of all their words, where each starts, and the words with code 0 in order."""
+        find, hot = word_finder(pattern), HotWords(shared.value)
         known: dict[str, tuple[int, ...]] = {}
         rare: dict[str, list[str]] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                cut_texts = [pieces(t) for t in part.column("text").to_pylist()]
-                new = list({p for ps in cut_texts for p in ps} - known.keys())
+            for part in byte_groups(batch, "text"):
+                strings, numbers, bounds, order = cut_texts(part.column("text"))
+                new = list(set(strings) - known.keys())
                 found = [find(p) for p in new]
                 codes = hot.codes(list(chain.from_iterable(found))).tolist()
                 first = 0
@@ -194,67 +283,66 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     first += len(words)
                     if 0 in own:
                         rare[p] = [w for w, c in zip(words, own, strict=True) if not c]
-                yield (part, [np.fromiter(chain.from_iterable(map(known.__getitem__, ps)), np.int32) for ps in cut_texts],
-                       lambda i, ps=cut_texts: list(chain.from_iterable(rare[p] for p in ps[i] if p in rare)))
+                each = [known[p] for p in strings]
+                sizes = np.fromiter(map(len, each), np.int64, len(each))
+                pool = np.fromiter(chain.from_iterable(each), np.int32)
+                every = _gather(pool, (np.cumsum(sizes) - sizes)[numbers], sizes[numbers])
+                ends = np.concatenate(([0], np.cumsum(sizes[numbers])))[bounds]
+                scarce = np.fromiter((p in rare for p in strings), bool, len(strings))
+                words = [w for k in numbers[scarce[numbers]].tolist() for w in rare[strings[k]]]
+                yield part.select(["doc_id", "text_hash"]).take(pa.array(order)), every, ends, words
                 if len(known) > CACHE_PIECES:
                     known, rare = {}, {}
 
     def hot_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, codes, _ in cut(batches):
-            packed = pa.array([_pack(c) for c in codes], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text_hash"), packed], ["doc_id", "text_hash", "codes"])
+        for part, codes, bounds, _ in cut(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, _packed(codes, bounds)], ["doc_id", "text_hash", "codes"])
 
     def rare_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, codes, rare_words in cut(batches):
-            row, place, word = [], [], []
-            for i, c in enumerate(codes):
-                at = np.flatnonzero(c == 0).tolist()
-                if at:
-                    row += [i] * len(at)
-                    place += at
-                    word += rare_words(i)
-            rows = pa.array(row, pa.int32())
+        for part, codes, bounds, words in cut(batches):
+            at = np.flatnonzero(codes == 0)
+            row = np.searchsorted(bounds, at, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(rows), part.column("text_hash").take(rows), pa.array(place, pa.int32()), pa.array(word, pa.string())],
+                [*part.take(pa.array(row)).columns, pa.array(at - bounds[row], pa.int32()), pa.array(words, pa.string())],
                 ["doc_id", "text_hash", "place", "word"])
 
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = HotWords(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                yield _assemble(batch.slice(at, 256), HotWords(shared.value))
+            for at in range(0, batch.num_rows, 1024):
+                yield _assemble(batch.slice(at, 1024), hot)
 
     coded = keyed.mapInArrow(hot_part, f"doc_id {id_type}, text_hash long, codes binary")
     rare = keyed.mapInArrow(rare_part, f"doc_id {id_type}, text_hash long, place int, word string")
     encoded = rare.join(vocabulary.where(F.col("n") < least).select("word", "ids"), "word")
-    back = encoded.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "ids")).alias("rare"))
-    back = back.select(F.col("doc_id").alias("rare_id"), F.col("text_hash").alias("rare_hash"), "rare")
-    whole_docs = coded.join(back, F.col("doc_id").eqNullSafe(F.col("rare_id")) & (F.col("text_hash") == F.col("rare_hash")), "left")
-    return whole_docs.select("doc_id", "text_hash", "codes", "rare").mapInArrow(
+    # One key for grouping and joining, so that grouped rows are not dealt out again; in a struct, null ids are equal.
+    key = F.struct("doc_id", "text_hash").alias("key")
+    back = encoded.select(key, F.struct("place", "ids").alias("at")).groupBy("key").agg(F.collect_list("at").alias("rare"))
+    whole_docs = coded.select(key, "codes").join(back, "key", "left")
+    return whole_docs.select("key.doc_id", "key.text_hash", "codes", "rare").mapInArrow(
         reassemble, f"doc_id {id_type}, text_hash long, ids binary")
 
 
 def _assemble(part: pa.RecordBatch, hot: HotWords) -> pa.RecordBatch:
-    codes = [_unpack(c) for c in part.column("codes").to_pylist()]
+    every, bounds = _unpacked(part.column("codes"))
+    gap = every == 0
+    wanted = np.diff(np.concatenate(([0], np.cumsum(gap)))[bounds]).tolist()
     extra: list[bytes] = []
-    for c, found in zip(codes, part.column("rare").to_pylist(), strict=True):
+    for n, found in zip(wanted, part.column("rare").to_pylist(), strict=True):
         # A row that repeats brings its rare words several times, each at its place.
         by_place = {x["place"]: x["ids"] for x in found or ()}
-        if len(by_place) != int((c == 0).sum()):
+        if len(by_place) != n:
             raise ValueError("a rare word has no ids")
         extra += [by_place[p] for p in sorted(by_place)]
-    every = np.concatenate(codes) if codes else np.empty(0, np.int64)
     own = [len(x) // 4 for x in extra]
-    first, size = hot.starts[every], hot.sizes[every]
-    gap = every == 0
+    first, size = hot.starts[every].astype(np.int64), hot.sizes[every].astype(np.int64)
     size[gap] = own
     first[gap] = len(hot.pool) + np.cumsum(own) - own
     rare_ids = np.frombuffer(b"".join(extra), "<i4")
-    flat = _gather(np.concatenate((hot.pool, rare_ids)), first, size)
-    cut = np.cumsum(np.concatenate(([0], size)))[np.cumsum([0, *map(len, codes)])]
-    ids = [flat[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    flat = _gather(np.concatenate((hot.pool, rare_ids)) if len(rare_ids) else hot.pool, first, size)
+    cut = 4 * np.concatenate(([0], np.cumsum(size)))[bounds]
     return pa.RecordBatch.from_arrays(
-        [part.column("doc_id"), part.column("text_hash"), pa.array(ids, pa.binary())], ["doc_id", "text_hash", "ids"])
+        [part.column("doc_id"), part.column("text_hash"), _binary(flat.tobytes(), cut)], ["doc_id", "text_hash", "ids"])
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
