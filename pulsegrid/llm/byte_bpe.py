@@ -40,6 +40,9 @@ CACHE_PIECES = 250_000
 #: Texts are worked on together up to so many bytes.
 GROUP_BYTES = 1 << 22
 
+#: Which characters below are letters is the same in every edition of Unicode in use.
+_SETTLED = "\u0250"
+_ENDS = frozenset(".,;:!?")
 _LETTERS = r" ?\p{L}+|"
 
 # A blank after other white space is no safe place to cut.
@@ -91,7 +94,8 @@ def word_finder(pattern: str) -> Callable[[str], list[str]]:
     """The pre-tokens of a piece of text.
 
     A pattern with the branch ``_LETTERS`` takes a run of letters with one blank in front whole, provided that
-    the branches before it start with an apostrophe; most pieces are such runs and need no search.
+    the branches before it start with an apostrophe; most pieces are such runs, or one with a mark behind it, and
+    need no search.
     """
     find = regex.compile(pattern).findall
     if not pattern.startswith("'") or _LETTERS not in pattern or not _before_letters(pattern):
@@ -99,7 +103,11 @@ def word_finder(pattern: str) -> Callable[[str], list[str]]:
 
     def words(piece: str) -> list[str]:
         bare = piece[1:] if piece[:1] == " " else piece
-        return [piece] if bare.isascii() and bare.isalpha() else find(piece)
+        if bare.isalpha() and (bare.isascii() or max(bare) < _SETTLED):
+            return [piece]
+        if bare[-1:] in _ENDS and bare[:-1].isalpha() and (bare.isascii() or max(bare) < _SETTLED):
+            return [piece[:-1], piece[-1]]
+        return find(piece)
 
     return words
 
