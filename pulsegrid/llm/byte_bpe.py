@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 1. Texts are cut into pre-tokens; distinct ones are counted over all documents and each is encoded exactly once.
-2. Ids join back. The most frequent words, ``HOT_WORDS`` at most (some 80 MB), are sent to every task, so the words that make up
+2. Ids join back. The most frequent words, ``HOT_WORDS`` at most (some 50 MB), are sent to every task, so the words that make up
    most rows are never shuffled. Every other occurrence is exploded with its position, joined on the word and brought
    back to its document, where all words are reassembled by position.
 3. Decoding looks every id up in the table of token bytes.
@@ -34,7 +34,7 @@ from pulsegrid.functions.scratch import materialize
 from pulsegrid.llm.common import whole
 from pulsegrid.llm.token_counts import pieces
 
-HOT_WORDS = (1 << 21) - 1
+HOT_WORDS = 1 << 20
 #: A task remembers the codes of so many pieces of text.
 CACHE_PIECES = 250_000
 #: Texts are worked on together up to so many bytes.
