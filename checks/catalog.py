@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable
 from contextlib import contextmanager
 from datetime import timedelta
@@ -22,6 +24,8 @@ from pulsegrid.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+SELECTS: dict[str, str] = {}
+DOMAINS = ("market", "payments")
 
 
 def finish(df: DataFrame) -> DataFrame:
@@ -42,6 +46,7 @@ def register(name: str, sql: str | None = None):
     def wrap(build):
         QUERIES[name] = lambda spark, sf_dir: finish(build(spark, sf_dir))
         if sql is not None:
+            SELECTS[name] = sql
             ORACLES[name] = query(sql)
         return build
     return wrap
@@ -406,25 +411,44 @@ def _(spark, sf):
 
 
 def _training_rows(spark, sf):
-    pay = _vectors(spark, sf).where("domain = 'payments'")
+    """Vectors of both domains with their labels: every window, no sample."""
     labels = evaluation.label_windows_any(
-        tb.windows(spark, sf).where("domain = 'payments'"), adapters.payments_events(spark, sf), adapters.SIZES
+        tb.windows(spark, sf), adapters.labelled_events(spark, sf), adapters.SIZES
     ).select("domain", "entity_key", "window_end", "label")
-    return materialize(pay.join(labels, ["domain", "entity_key", "window_end"]))
+    return materialize(_vectors(spark, sf).join(labels, ["domain", "entity_key", "window_end"]))
+
+
+_trained_once: dict[tuple[str, str], tuple] = {}
+
+
+def _trained(spark, sf):
+    """Labelled rows and, per domain, what ``train_supervised`` makes of them by its own defaults; once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _trained_once:
+        rows = _training_rows(spark, sf)
+        _trained_once[key] = rows, {d: training.train_supervised(rows, d) for d in DOMAINS}
+    return _trained_once[key]
+
+
+def _per_domain(rows, trained, build):
+    parts = [build(rows.where(F.col("domain") == d), *made[:2]) for d, made in trained.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @register("d6_supervised_score")
 def _(spark, sf):
-    rows = _training_rows(spark, sf)
-    model = supervised.fit_booster(rows, rounds=10)
-    return supervised.supervised_score(rows, model).select("domain", "entity_key", "window_end", "xgboost")
+    return _per_domain(*_trained(spark, sf), supervised.supervised_score).select(
+        "domain", "entity_key", "window_end", "xgboost"
+    )
 
 
 @register("d7_shapley")
 def _(spark, sf):
-    rows = _training_rows(spark, sf)
-    model = supervised.fit_booster(rows, rounds=10)
-    explained = supervised.margin(supervised.shapley(rows, model), model)
+    def explain(rows, model, _curve):
+        explained = supervised.shapley(rows, model)
+        return explained.withColumn("margin", F.lit(None).cast("double")) if model is None else supervised.margin(explained, model)
+
+    explained = _per_domain(*_trained(spark, sf), explain)
     total = F.aggregate("shap", F.lit(0.0), lambda a, x: a + x) + F.col("shap_bias")
     return explained.select(
         "domain", "entity_key", "window_end", "shap_bias", "margin", (F.abs(total - F.col("margin")) < 1e-6).alias("adds_up")
@@ -653,8 +677,8 @@ def _(spark, sf):
     )
 
 
-def _scored_labels(spark, sf):
-    labels = tb.marked(spark, sf).select(
+def _scored_labels(spark, sf, marked=tb.marked):
+    labels = marked(spark, sf).select(
         "domain", "entity_key", "window_end", F.col("scenario_label").isNotNull().cast("int").alias("label")
     )
     return tb.scored(spark, sf).select(
@@ -665,14 +689,17 @@ def _scored_labels(spark, sf):
 @register("t5_grid_search")
 def _(spark, sf):
     folds = materialize(evaluation.ts_folds(_training_rows(spark, sf)))
-    best, score = training.grid_search(folds, supervised.param_grid(depths=(3,), steps=(0.1, 0.2), children=(5,)), rounds=5)
-    return spark.createDataFrame([{**best, "cv_mean_val_aucpr": score}])
+    found = []
+    for domain in DOMAINS:
+        best, score = training.grid_search(folds.where(F.col("domain") == domain))
+        found.append({"domain": domain, **best, "cv_mean_val_aucpr": score})
+    return spark.createDataFrame(found)
 
 
 @register("t6_train_supervised")
 def _(spark, sf):
-    grid = supervised.param_grid(depths=(3,), steps=(0.1,), children=(5,))
-    return training.train_supervised(_training_rows(spark, sf), "payments", grid=grid, rounds=5)[2]
+    _rows, trained = _trained(spark, sf)
+    return functools.reduce(DataFrame.unionByName, [report for _model, _curve, report in trained.values()])
 
 
 _SCORED = """(SELECT s.anomaly_score AS score, CAST(m.scenario_label IS NOT NULL AS INTEGER) AS label, s.entity_key, s.window_end
@@ -754,6 +781,76 @@ def _(spark, sf):
     return evaluation.evaluation_report(tb.marked(spark, sf))
 
 
+# The market half of T1, T2 and T7-T15.
+
+def register_market(name: str, sql: str | None = None):
+    """Register over market windows; the SQL is the payments query's over the market parts unless given."""
+    sql = sql or SELECTS.get(name)
+    return register(f"{name}_market", sql and re.sub(r"\bt_(marked|episodes)\b", r"t_\1_market", sql))
+
+
+def _market_scored(spark, sf):
+    return _scored_labels(spark, sf, tb.marked_market)
+
+
+@register_market("t1_label_any")
+def _(spark, sf):
+    return evaluation.label_windows_any(
+        tb.windows(spark, sf).where("domain = 'market'"), adapters.labelled_events(spark, sf), adapters.SIZES
+    ).select("entity_key", "window_start", "label")
+
+
+@register_market("t2_label_first", "SELECT entity_key, window_start, scenario_label FROM t_marked")
+def _(spark, sf):
+    return tb.marked_market(spark, sf).select("entity_key", "window_start", "scenario_label")
+
+
+@register_market("t7_average_precision")
+def _(spark, sf):
+    return evaluation.average_precision(_market_scored(spark, sf))
+
+
+@register_market("t8_brier")
+def _(spark, sf):
+    return evaluation.brier(_market_scored(spark, sf))
+
+
+@register_market("t9_isotonic")
+def _(spark, sf):
+    curve = supervised.fit_isotonic(_market_scored(spark, sf))
+    return spark.createDataFrame(list(zip(curve["x"], curve["y"])), "x double, y double")
+
+
+@register_market("t10_calibrate")
+def _(spark, sf):
+    return evaluation.calibrate(_market_scored(spark, sf), _CURVE).select("entity_key", "window_end", "calibrated")
+
+
+@register_market("t11_confusion")
+def _(spark, sf):
+    return evaluation.confusion(tb.marked_market(spark, sf))
+
+
+@register_market("t12_confusion_by")
+def _(spark, sf):
+    return evaluation.confusion_by(tb.marked_market(spark, sf))
+
+
+@register_market("t13_episodes")
+def _(spark, sf):
+    return evaluation.episodes(tb.marked_market(spark, sf))
+
+
+@register_market("t14_mean_delay")
+def _(spark, sf):
+    return evaluation.mean_delay(evaluation.episodes(tb.marked_market(spark, sf)))
+
+
+@register_market("t15_evaluation_report")
+def _(spark, sf):
+    return evaluation.evaluation_report(tb.marked_market(spark, sf))
+
+
 # --- rollups and reads ---------------------------------------------------
 
 def _bucket(ts: str, seconds: int) -> str:

@@ -262,3 +262,19 @@ part("t_paths", """(
 
 part("t_ksx", """MATERIALIZED (
   SELECT domain, feature, ks_stat, greatest(0, least(1, 1 - u[-1])) AS ks_pvalue FROM t_paths WHERE i = nl)""")
+
+# The market half of labels and evaluation; payments keep their own parts.
+part("t_label_market", """MATERIALIZED (
+  SELECT entity_key, ts_event, CASE (date_diff('day', DATE '1970-01-01', CAST(ts_event AS DATE))
+      + 53 * CAST(substr(entity_key, 5, 1) AS INTEGER)) % 97
+    WHEN 0 THEN 'volatility_spike' WHEN 1 THEN 'volume_spike' WHEN 2 THEN 'regime_change' END AS scenario_label
+  FROM t_tick)""")
+
+part("t_marked_market", """MATERIALIZED (
+  SELECT w.domain, w.entity_key, w.window_start, w.window_end,
+    (SELECT arg_min(p.scenario_label, p.ts_event) FROM t_label_market p WHERE p.entity_key = w.entity_key
+      AND p.ts_event >= w.window_start AND p.ts_event < w.window_end AND p.scenario_label IS NOT NULL) AS scenario_label,
+    EXISTS (SELECT 1 FROM t_alerts a WHERE a.entity_key = w.entity_key AND a.window_end = w.window_end) AS alerted
+  FROM t_windows w WHERE w.domain = 'market')""")
+
+part("t_episodes_market", PARTS["t_episodes"].replace("t_marked", "t_marked_market"))

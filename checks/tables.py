@@ -14,7 +14,7 @@ from pulsegrid.operators.windows import window_features
 from pulsegrid.operators.ewma import ewma_zscore
 from pulsegrid.operators.sequence import velocity
 from pulsegrid.plans.pipeline import score_windows
-from pulsegrid.sources.adapters import SIZES, all_events, payments_events
+from pulsegrid.sources.adapters import SIZES, all_events, labelled_events, payments_events
 from pulsegrid.sources.tables import to_alert_table
 
 NOW = datetime(2024, 1, 30)
@@ -88,6 +88,14 @@ def marked(spark, sf_dir):
     return mark_alerted(labelled, alerts(spark, sf_dir))
 
 
+@_once("marked_market")
+def marked_market(spark, sf_dir):
+    """Market windows with ground truth and alert mark."""
+    ticks = windows(spark, sf_dir).where("domain = 'market'")
+    labelled = label_windows_first(ticks, labelled_events(spark, sf_dir), SIZES)
+    return mark_alerted(labelled, alerts(spark, sf_dir))
+
+
 @_once("metrics")
 def metrics(spark, sf_dir):
     """Daily metrics rows per model, from the scored windows of the day."""

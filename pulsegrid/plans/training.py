@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,25 +36,32 @@ def _fit_fold(folds: DataFrame, fold: int, params: dict, rounds: int) -> tuple[G
 
 
 def grid_search(
-    folds: DataFrame, grid: list[dict] | None = None, rounds: int = 300
+    folds: DataFrame, grid: list[dict] | None = None, rounds: int = 300, parallelism: int = 8
 ) -> tuple[dict, float]:
     """Parameters with the best mean held-out average precision over the folds.
 
     Folds without positives on either side are skipped; early stopping watches the
-    held-out rows. ``folds`` comes from ``ts_folds`` and holds one domain.
+    held-out rows. ``folds`` comes from ``ts_folds`` and holds one domain; all its rows
+    are used. ``parallelism`` fits run at a time, which does not change the result.
     """
     grid = grid or param_grid()
     sizes = _fold_sizes(folds)
     usable = [
         k for k in range(CV_FOLDS) if sizes.get((k, "train"), (0, 0))[1] and sizes.get((k, "test"), (0, 0))[1]
     ]
+
+    @inheritable_thread_target(folds.sparkSession)
+    def score(job: tuple[int, int]) -> float:
+        held_out = _fit_fold(folds, job[1], grid[job[0]], rounds)[1]
+        return average_precision(held_out).first()["average_precision"]
+
+    with ThreadPool(parallelism) as pool:
+        scores = pool.map(score, [(i, k) for i in range(len(grid)) for k in usable], chunksize=1)
     best, best_score = grid[0], -1.0
-    for params in grid:
-        scores = [
-            average_precision(_fit_fold(folds, k, params, rounds)[1]).first()["average_precision"] for k in usable
-        ]
-        if scores and sum(scores) / len(scores) > best_score:
-            best, best_score = params, sum(scores) / len(scores)
+    for i, params in enumerate(grid):
+        mine = scores[i * len(usable):(i + 1) * len(usable)]
+        if mine and sum(mine) / len(mine) > best_score:
+            best, best_score = params, sum(mine) / len(mine)
     return best, best_score
 
 

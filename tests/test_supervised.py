@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from builders import at
+from checks import catalog
 from pulsegrid.operators.evaluation import ts_folds
 from pulsegrid.operators.supervised import (
-    fit_booster, margin, param_grid, shapley, supervised_score, tree_shapley, tree_table,
+    best_round, fit_booster, margin, param_grid, shapley, supervised_score, tree_shapley, tree_table,
 )
+from pulsegrid.plans import training
 from pulsegrid.plans.pipeline import supervised_frame
 from pulsegrid.plans.training import grid_search, train_supervised
 
@@ -89,3 +91,26 @@ def test_search_without_usable_folds_keeps_the_first_choice(spark):
     folds = ts_folds(labelled(spark, positives=False))
     best, score = grid_search(folds, rounds=1)
     assert best == param_grid()[0] and score == -1.0
+
+
+def test_early_stopping_is_patient(spark):
+    # One round without a gain, or with a small one, does not end the training.
+    assert best_round([1.0, 0.995, 0.999, 0.8, 0.9, 0.9, 0.1], 3) == (7, False)
+    assert best_round([1.0, 0.995, 0.999, 0.8, 0.9, 0.9, 0.9, 0.1], 3) == (4, True)
+    rows = labelled(spark).withColumn("held_out", F.col("window_end") >= F.lit(at(180))).cache()
+    slow = fit_booster(rows, step_size=0.02, rounds=40, validation="held_out")
+    assert len(slow.treeWeights) > 16
+    short = fit_booster(rows.where("not held_out"), step_size=0.02, rounds=3)
+    assert tree_table(slow, spark)[:3] == tree_table(short, spark)
+
+
+def test_both_domains_are_trained(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    rows = catalog._training_rows(spark, sf)
+    counts = {r["domain"]: (r["n"], r["p"]) for r in rows.groupBy("domain").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).collect()}
+    assert set(counts) == {"market", "payments"} and all(0 < p < n for n, p in counts.values())
+    asked = []
+    monkeypatch.setattr(training, "grid_search", lambda folds, *a, **b: asked.append((a, b)) or (param_grid()[0], 0.5))
+    got = catalog.QUERIES["t5_grid_search"](spark, sf).collect()
+    assert {r["domain"] for r in got} == {"market", "payments"} and asked == [((), {})] * 2
