@@ -1176,8 +1176,5 @@ def _(spark, sf):
     at = _folder(spark)
     counted = streams.observed(events, "events_in", "p_status", contracts.STATUSES)
     query = _finished(spark, lambda: streams.write_stream(counted, f"{at}/out", f"{at}/checkpoint", available_now=True))
-    seen = [p["observedMetrics"]["events_in"] for p in query.recentProgress if "events_in" in p["observedMetrics"]]
-    rows = [(int(m["rows"]), int(m["declined"])) for m in seen]
-    return spark.createDataFrame(rows, "seen long, declined long").agg(
-        F.sum("seen").alias("seen"), F.sum("declined").alias("declined")
-    )
+    seen = streams.observed_counts(query, "events_in")
+    return spark.createDataFrame([(seen.get("rows", 0), seen.get("declined", 0))], "seen long, declined long")

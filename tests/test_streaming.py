@@ -192,3 +192,24 @@ def test_text_lines_become_events(spark, tmp_path):
 def test_unknown_rollup_is_an_error(spark, tmp_path):
     with pytest.raises(KeyError):
         streams.stream_rollup(feed(spark, str(tmp_path / "in"), [events(spark, ticks(2))]), "alerts_1d")
+
+
+def test_counts_cover_more_batches_than_progress_keeps(spark, tmp_path):
+    frames = [events(spark, [txn("m", 1, 1, 1.0), txn("m", 2, 100, 1.0)]), events(spark, [txn("m", 6, 101, 1.0)]),
+              *[events(spark, [txn("m", 10 + i, 2, 1.0)]) for i in range(3)], events(spark, [txn("m", 5, 200, 1.0)])]
+    kept = "spark.sql.streaming.numRecentProgressUpdates"
+    spark.conf.set(kept, "2")
+    try:
+        seen = streams.observed(feed(spark, str(tmp_path / "in"), frames), "seen")
+        query, _ = drain_windows(seen, str(tmp_path), "payments")
+        assert len(query.recentProgress) <= 2
+        assert streams.late_rows(query) == 3
+        assert streams.observed_counts(query, "seen") == {"rows": 7, "market": 0, "payments": 7}
+        # A restart goes on from the checkpoint and keeps the counts of earlier batches.
+        feed(spark, str(tmp_path / "in"), [events(spark, [txn("m", 20, 3, 1.0)])])
+        again = streams.observed(
+            spark.readStream.schema(frames[0].schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")), "seen")
+        query, _ = drain_windows(again, str(tmp_path), "payments")
+        assert streams.late_rows(query) == 4 and streams.observed_counts(query, "seen")["rows"] == 8
+    finally:
+        spark.conf.unset(kept)
