@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 1. Texts are cut into pre-tokens; distinct ones are counted over all documents and each is encoded exactly once.
-2. Ids join back. The most frequent words, ``HOT_WORDS`` at most (some 50 MB), are sent to every task, so the words that make up
+2. Ids join back. The most frequent words, ``HOT_WORDS`` and ``HOT_BYTES`` at most, are sent to every task, so the words that make up
    most rows are never shuffled. Every other occurrence is exploded with its position, joined on the word and brought
    back to its document, where all words are reassembled by position.
 3. Decoding looks every id up in the table of token bytes.
@@ -35,6 +35,9 @@ from pulsegrid.llm.common import whole
 from pulsegrid.llm.token_counts import pieces
 
 HOT_WORDS = 1 << 20
+#: Bytes of words and ids that are sent to every task, and the longest word among them; all others are shuffled.
+HOT_BYTES = 64 << 20
+LONG_WORD = 64
 #: A task remembers the codes of so many pieces of text.
 CACHE_PIECES = 250_000
 #: Texts are worked on together up to so many bytes.
@@ -197,14 +200,15 @@ def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
     return words.select("word", "n").mapInArrow(encode, "word string, n long, ids binary")
 
 
-def _hot_threshold(vocabulary: DataFrame, limit: int) -> int:
-    """The least count from which on there are at most ``limit`` words; read from a histogram of at most some 1000 rows."""
+def _hot_threshold(vocabulary: DataFrame, limit: int, most_bytes: int = HOT_BYTES) -> int:
+    """The least count from which on there are at most ``limit`` words of at most ``most_bytes`` with their ids; read from a histogram of at most some 1000 rows."""
     step = F.when(F.col("n") < 256, F.col("n")).otherwise(256 + F.floor(F.log2(F.col("n").cast("double") / 256) * 16)).cast("int")
-    bins = vocabulary.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect()
-    total, least = 0, 1 << 62
+    bins = vocabulary.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least"),
+        F.sum(F.octet_length("word").cast("long") + F.octet_length("ids")).alias("bytes")).collect()
+    total, taken, least = 0, 0, 1 << 62
     for row in sorted(bins, key=lambda r: -r["step"]):
-        total += row["words"]
-        if total > limit:
+        total, taken = total + row["words"], taken + row["bytes"]
+        if total > limit or taken > most_bytes:
             break
         least = row["least"]
     return least
@@ -267,8 +271,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         raise ValueError("hot_words must be below 2^21")
     spark = docs.sparkSession
     vocabulary = materialize(encode_words(distinct_words(docs, pattern, text_col), path, pattern))
-    least = _hot_threshold(vocabulary, hot_words)
-    hot = vocabulary.where(F.col("n") >= least).orderBy(F.desc("n"), "word").select("word", "ids").toArrow()
+    short = F.octet_length("word") <= LONG_WORD
+    is_hot = short & (F.col("n") >= _hot_threshold(vocabulary.where(short), hot_words))
+    hot = vocabulary.where(is_hot).orderBy(F.desc("n"), "word").select("word", "ids").toArrow()
     shared = spark.sparkContext.broadcast(HotWords.parts_of(hot))
 
     keyed = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -322,7 +327,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     coded = keyed.mapInArrow(hot_part, f"doc_id {id_type}, text_hash long, codes binary")
     rare = keyed.mapInArrow(rare_part, f"doc_id {id_type}, text_hash long, place int, word string")
-    encoded = rare.join(vocabulary.where(F.col("n") < least).select("word", "ids"), "word")
+    encoded = rare.join(vocabulary.where(~is_hot).select("word", "ids"), "word")
     # One key for grouping and joining, so that grouped rows are not dealt out again; in a struct, null ids are equal.
     key = F.struct("doc_id", "text_hash").alias("key")
     back = encoded.select(key, F.struct("place", "ids").alias("at")).groupBy("key").agg(F.collect_list("at").alias("rare"))

@@ -1,0 +1,31 @@
+from __future__ import annotations
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from pulsegrid.llm import byte_bpe
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TEXTS = {1: "the cat sat on the mat", 2: "x" * 5000 + " the cat", 3: "", 4: "\u0e01" * 100 + " the"}
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string")
+
+
+def test_long_words_are_never_shared(spark, docs, monkeypatch):
+    shared, parts_of = [], byte_bpe.HotWords.parts_of
+    monkeypatch.setattr(byte_bpe.HotWords, "parts_of", lambda hot: shared.extend(hot["word"].to_pylist()) or parts_of(hot))
+    rows = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN).collect()
+    encoding = byte_bpe.make_encoding(RANKS, public_tokenizers.PATTERN)
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<i4").tolist() for r in rows} == {
+        i: encoding.encode_ordinary(t) for i, t in TEXTS.items()}
+    assert shared and max(len(w.encode()) for w in shared) <= byte_bpe.LONG_WORD
+
+
+def test_hot_words_are_bounded_by_bytes(spark):
+    words = spark.createDataFrame([("a" * 50, 9, b"1234"), ("b" * 50, 8, b"1234"), ("c", 7, b"1234")], "word string, n long, ids binary")
+    assert byte_bpe._hot_threshold(words, 10) == 7
+    assert byte_bpe._hot_threshold(words, 10, 60) == 9
