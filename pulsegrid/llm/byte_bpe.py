@@ -358,17 +358,27 @@ def _assemble(part: pa.RecordBatch, hot: HotWords) -> pa.RecordBatch:
         [part.column("doc_id"), part.column("text_hash"), _binary(flat.tobytes(), cut)], ["doc_id", "text_hash", "ids"])
 
 
+def checked(encoded: DataFrame, path: str) -> DataFrame:
+    """``ids`` beside the digests of what ``encode`` returned; fails where the ids do not decode to the text that was encoded."""
+    row = F.struct("doc_id", "text_hash", "ids").alias("row")
+    back = _with_bytes(encoded.select(row, "ids"), path, "row", "ids", ("ids_sha256", "decoded_sha256", "data")).select(
+        "doc_id.*", "n_tokens", "ids_sha256", "decoded_sha256", "data")
+    wrong = F.concat(F.lit("ids do not decode to the text of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    ids = F.when(F.xxhash64("data") == F.col("text_hash"), F.col("ids")).otherwise(F.raise_error(wrong))
+    return back.select("doc_id", "n_tokens", ids.alias("ids"), "ids_sha256", "decoded_sha256")
+
+
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``n_tokens`` and ``data``, the bytes that the ids stand for, per encoded document."""
-    return _with_bytes(encoded, path, id_col, ids_col, False)
+    return _with_bytes(encoded, path, id_col, ids_col, ("data",))
 
 
 def digests(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of encoded documents."""
-    return _with_bytes(encoded, path, id_col, ids_col, True)
+    return _with_bytes(encoded, path, id_col, ids_col, ("ids_sha256", "decoded_sha256"))
 
 
-def _with_bytes(encoded: DataFrame, path: str, id_col: str, ids_col: str, digest: bool) -> DataFrame:
+def _with_bytes(encoded: DataFrame, path: str, id_col: str, ids_col: str, wanted: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(path)
         token_bytes = {i: b for b, i in ranks.items()}
@@ -376,22 +386,20 @@ def _with_bytes(encoded: DataFrame, path: str, id_col: str, ids_col: str, digest
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                counts, id_hashes, data = [], [], []
+                counts, made = [], {c: [] for c in wanted}
                 for raw in part.column(1).to_pylist():
                     ids = np.frombuffer(raw or b"", "<i4").tolist()
                     counts.append(len(ids))
                     plain = b"".join(map(token_bytes.__getitem__, ids))
-                    if digest:
-                        id_hashes.append(hashlib.sha256(" ".join(map(text.__getitem__, ids)).encode()).hexdigest())
-                        data.append(hashlib.sha256(plain).hexdigest())
-                    else:
-                        data.append(plain)
-                columns = [part.column(0), pa.array(counts, pa.int64())]
-                if digest:
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(id_hashes), pa.array(data)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                else:
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary())], ["doc_id", "n_tokens", "data"])
+                    if "ids_sha256" in made:
+                        made["ids_sha256"].append(hashlib.sha256(" ".join(map(text.__getitem__, ids)).encode()).hexdigest())
+                    if "decoded_sha256" in made:
+                        made["decoded_sha256"].append(hashlib.sha256(plain).hexdigest())
+                    if "data" in made:
+                        made["data"].append(plain)
+                columns = [pa.array(v, pa.binary() if c == "data" else pa.string()) for c, v in made.items()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), *columns], ["doc_id", "n_tokens", *made])
 
     id_type = encoded.schema[id_col].dataType.simpleString()
-    kind = "ids_sha256 string, decoded_sha256 string" if digest else "data binary"
-    return encoded.select(F.col(id_col).alias("doc_id"), ids_col).mapInArrow(run, f"doc_id {id_type}, n_tokens long, {kind}")
+    kinds = ", ".join(f"{c} {'binary' if c == 'data' else 'string'}" for c in wanted)
+    return encoded.select(F.col(id_col).alias("doc_id"), ids_col).mapInArrow(run, f"doc_id {id_type}, n_tokens long, {kinds}")
