@@ -24,7 +24,7 @@ def canonical(df: pd.DataFrame) -> pd.DataFrame:
         elif pd.api.types.is_float_dtype(df[c]):
             df[c] = df[c].map(lambda v: "null" if pd.isna(v) else repr(float(v) + 0.0))
         else:
-            df[c] = df[c].map(lambda v: "null" if v is None or v is pd.NA or v is pd.NaT else str(v))
+            df[c] = df[c].map(lambda v: "null" if pd.api.types.is_scalar(v) and pd.isna(v) else str(v))
     return df.sort_values(list(df.columns), ignore_index=True)
 
 
