@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import (
     byte_bpe,
+    chat_format,
+    fill_middle,
+    hard_negatives,
     language_id,
     mixing,
     near_dedup,
@@ -77,6 +80,25 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_mask", "n_lines")
 
 
+def negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine_hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat_format.read_back(chat_format.format_conversations(said.unionByName(marks)))
+
+
+def middle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs = fill_middle.fill_in_middle(fill_middle.store_frames(_table(spark, sf_dir, "documents")))
+    return fill_middle.digests(outputs).drop("n_frames")
+
+
 QUERIES = {
     "op1_toxicity": toxicity_query,
     "op2_secret_scan": secret_query,
@@ -88,6 +110,9 @@ QUERIES = {
     "op8_warc": warc_query,
     "op9_exact_topk": topk_query,
     "op10_quality_rules": quality_query,
+    "op11_hard_negatives": negatives_query,
+    "op12_chat_format": chat_query,
+    "op13_fill_middle": middle_query,
 }
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -151,4 +176,58 @@ m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id < last THEN CAST(last AS BIGINT) END AS refers_to FROM m""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, d.vec_id AS id, a.label = d.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v d ON a.vec_id % 50 = 0 AND d.vec_id <> a.vec_id),
+pos AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 3""",
+    "op12_chat_format": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, row_number() OVER w - 1 AS i, lag(role) OVER w AS before,
+    regexp_replace(regexp_replace(role || chr(10) || text, '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*/?(?:INST|SYS|ROLE)\])', '[\\\1', 'g') AS escaped
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (
+  SELECT *, length(escaped) - 1 + CASE role WHEN 'system' THEN 8 WHEN 'user' THEN 12 WHEN 'assistant' THEN 1 ELSE 22 END AS size,
+    NOT coalesce(before IS NULL AND role IN ('system', 'user') OR before IN ('system', 'assistant') AND role = 'user'
+      OR before = 'user' AND role = 'assistant', FALSE) AS bad FROM e),
+g AS (
+  SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS learnt, CAST(sum(size) AS BIGINT) AS formatted_chars,
+    min(i) FILTER (bad) AS fault, max_by(role, i) AS last FROM f GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars,
+  fault IS NULL AND last = 'assistant' AS valid,
+  CAST(CASE WHEN fault IS NOT NULL THEN fault WHEN last <> 'assistant' THEN n_turns END AS BIGINT) AS fault_turn FROM g""",
+    "op13_fill_middle": """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    sha256('1:' || doc_id) AS h FROM documents),
+d AS (
+  SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
 }
