@@ -16,7 +16,7 @@ from checks import tables as tb
 from checks.oracle import query, rnd
 from pulsegrid.functions.expr import squash
 from pulsegrid.functions.scratch import materialize, scratch_root
-from pulsegrid.operators import detectors, drift, evaluation, refit, rollups, scoring, sequence, supervised
+from pulsegrid.operators import calibration, detectors, drift, evaluation, refit, rollups, scoring, sequence, supervised
 from pulsegrid.operators import windows as win
 from pulsegrid.plans import training
 from pulsegrid.sources import adapters, contracts, raw, tables
@@ -426,32 +426,44 @@ def _trained(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _trained_once:
         rows = _training_rows(spark, sf)
-        _trained_once[key] = rows, {d: training.train_supervised(rows, d) for d in DOMAINS}
+        _trained_once[key] = rows, training.train_supervised(rows, DOMAINS)
     return _trained_once[key]
 
 
-def _per_domain(rows, trained, build):
-    parts = [build(rows.where(F.col("domain") == d), *made[:2]) for d, made in trained.items()]
-    return functools.reduce(DataFrame.unionByName, parts)
+def _boosters(trained):
+    return {d: t.model for d, t in trained.items() if t.model is not None}
+
+
+def _curves(trained):
+    made = [t.calibration.select(F.lit(d).alias("domain"), "x", "y") for d, t in trained.items() if t.calibration is not None]
+    return functools.reduce(DataFrame.unionByName, made) if made else None
 
 
 @register("d6_supervised_score")
 def _(spark, sf):
-    return _per_domain(*_trained(spark, sf), supervised.supervised_score).select(
+    rows, trained = _trained(spark, sf)
+    return supervised.supervised_scores(rows, _boosters(trained), _curves(trained)).select(
         "domain", "entity_key", "window_end", "xgboost"
     )
 
 
-@register("d7_shapley")
+# What SQL can say of a score that only training gives: every window of a trained domain has one, in range, and it follows the margin.
+@register("d6_score_properties", """
+SELECT domain, entity_key, window_end, true AS in_range FROM t_windows""")
 def _(spark, sf):
-    def explain(rows, model, _curve):
-        explained = supervised.shapley(rows, model)
-        return explained.withColumn("margin", F.lit(None).cast("double")) if model is None else supervised.margin(explained, model)
+    rows, trained = _trained(spark, sf)
+    scored = supervised.supervised_scores(rows, _boosters(trained), _curves(trained))
+    return scored.select("domain", "entity_key", "window_end", F.coalesce(F.col("xgboost").between(0, 1), F.lit(False)).alias("in_range"))
 
-    explained = _per_domain(*_trained(spark, sf), explain)
+
+@register("d7_shapley", """
+SELECT domain, entity_key, window_end, true AS adds_up, 8 AS inputs FROM t_windows""")
+def _(spark, sf):
+    rows, trained = _trained(spark, sf)
+    explained = supervised.attributions(supervised.margins(rows, _boosters(trained)), _boosters(trained))
     total = F.aggregate("shap", F.lit(0.0), lambda a, x: a + x) + F.col("shap_bias")
     return explained.select(
-        "domain", "entity_key", "window_end", "shap_bias", "margin", (F.abs(total - F.col("margin")) < 1e-6).alias("adds_up")
+        "domain", "entity_key", "window_end", (F.abs(total - F.col("margin")) < 1e-6).alias("adds_up"), F.size("shap").alias("inputs")
     )
 
 
@@ -688,18 +700,51 @@ def _scored_labels(spark, sf, marked=tb.marked):
 
 @register("t5_grid_search")
 def _(spark, sf):
-    folds = materialize(evaluation.ts_folds(_training_rows(spark, sf)))
-    found = []
-    for domain in DOMAINS:
-        best, score = training.grid_search(folds.where(F.col("domain") == domain))
-        found.append({"domain": domain, **best, "cv_mean_val_aucpr": score})
-    return spark.createDataFrame(found)
+    grid = supervised.param_grid()
+    points, _fits = training.grid_search(materialize(evaluation.ts_folds(_training_rows(spark, sf))), grid)
+    return spark.createDataFrame([{"domain": d, **grid[p], "cv_mean_val_aucpr": score} for d, (p, score) in points.items()])
+
+
+# Rows and positives of every fold, and how many of its fits have a score, a round within bounds and a tree for each round.
+@register("t5_search_properties", """
+SELECT domain, fold, count(*) FILTER (role = 'train') AS train_rows, CAST(sum(label) FILTER (role = 'train') AS BIGINT) AS train_positives,
+  count(*) FILTER (role = 'test') AS test_rows, CAST(sum(label) FILTER (role = 'test') AS BIGINT) AS test_positives,
+  CAST(18 AS BIGINT) AS fits, CAST(18 AS BIGINT) AS sound_fits, true AS best_in_grid
+FROM (SELECT domain, label, fold, CASE WHEN n <= c - (3 - fold) * t THEN 'train' ELSE 'test' END AS role
+  FROM (SELECT domain, label, row_number() OVER w AS n, count(*) OVER d AS c, CAST(floor(count(*) OVER d / 4.0) AS BIGINT) AS t
+    FROM t_labelled WINDOW w AS (PARTITION BY domain ORDER BY window_end, entity_key), d AS (PARTITION BY domain)),
+    (SELECT CAST(unnest(range(3)) AS INTEGER) AS fold)
+  WHERE n <= c - (2 - fold) * t) GROUP BY domain, fold""")
+def _(spark, sf):
+    points, fits = training.grid_search(materialize(evaluation.ts_folds(_training_rows(spark, sf))))
+    sound = (F.col("best_round").between(1, 300) & (F.size("roots") == F.col("best_round")) & F.col("aucpr").between(0, 1))
+    best = F.create_map(*[x for d, (p, _score) in points.items() for x in (F.lit(d), F.lit(p))])
+    return fits.groupBy("domain", "fold").agg(
+        *[F.first(c).alias(c) for c in ("train_rows", "train_positives", "test_rows", "test_positives")],
+        F.count(F.lit(1)).alias("fits"), F.count(F.when(sound, 1)).alias("sound_fits"),
+        F.max(F.col("point") == F.element_at(best, F.col("domain"))).alias("best_in_grid"))
 
 
 @register("t6_train_supervised")
 def _(spark, sf):
     _rows, trained = _trained(spark, sf)
-    return functools.reduce(DataFrame.unionByName, [report for _model, _curve, report in trained.values()])
+    return functools.reduce(DataFrame.unionByName, [t.report for t in trained.values()])
+
+
+@register("t6_training_properties", """
+SELECT domain, CAST(c - t AS BIGINT) AS train_rows, t AS held_out_rows, CAST(sum(label) FILTER (n > c - t) AS BIGINT) AS held_out_positive_rows,
+  true AS in_grid, true AS round_in_bounds, true AS brier_not_worse
+FROM (SELECT domain, label, row_number() OVER w AS n, count(*) OVER d AS c, CAST(floor(count(*) OVER d / 4.0) AS BIGINT) AS t
+  FROM t_labelled WINDOW w AS (PARTITION BY domain ORDER BY window_end, entity_key), d AS (PARTITION BY domain))
+GROUP BY domain, c, t""")
+def _(spark, sf):
+    _rows, trained = _trained(spark, sf)
+    report = functools.reduce(DataFrame.unionByName, [t.report for t in trained.values()])
+    in_grid = F.col("max_depth").isin(3, 4, 5) & F.col("step_size").isin(0.05, 0.1, 0.2) & F.col("min_child").isin(1, 5)
+    return report.select(
+        "domain", "train_rows", "held_out_rows", "held_out_positive_rows", in_grid.alias("in_grid"),
+        F.col("best_round").between(1, 300).alias("round_in_bounds"),
+        (F.col("brier_score_after_calibration") <= F.col("brier_score_before_calibration") + 1e-12).alias("brier_not_worse"))
 
 
 _SCORED = """(SELECT s.anomaly_score AS score, CAST(m.scenario_label IS NOT NULL AS INTEGER) AS label, s.entity_key, s.window_end
@@ -720,20 +765,36 @@ def _(spark, sf):
     return evaluation.brier(_scored_labels(spark, sf))
 
 
-@register("t9_isotonic")
+# Isotonic value of a score: the largest, over starts at or before it, of the least mean of any run from there to its end or beyond.
+def _rounded(scored):
+    """Six digits, so that engines agree on equal scores."""
+    return scored.withColumn("score", F.round(F.col("score") * 1.000000000001, 6))
+
+
+# Isotonic value of a score: the largest, over starts at or before it, of the least mean of a run from there to it or beyond.
+@register("t9_isotonic", f"""
+SELECT {rnd('x', 'x')}, {rnd('y', 'y')} FROM (
+  WITH p AS (SELECT score, sum(label) AS s, count(*) AS w, row_number() OVER (ORDER BY score) AS i
+    FROM (SELECT round(score * 1.000000000001, 6) AS score, label FROM {_SCORED}) GROUP BY score),
+  c AS (SELECT *, CAST(sum(s) OVER (ORDER BY i) AS DOUBLE) AS cs, CAST(sum(w) OVER (ORDER BY i) AS DOUBLE) AS cw FROM p),
+  r AS (SELECT b.i, min((b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS m
+    FROM c a JOIN c b ON b.i >= a.i),
+  f AS (SELECT i, max(m) AS y FROM r GROUP BY i),
+  g AS (SELECT y, min(score) AS lo, max(score) AS hi FROM f JOIN c USING (i) GROUP BY y)
+  SELECT DISTINCT unnest([lo, hi]) AS x, y FROM g)""")
 def _(spark, sf):
-    curve = supervised.fit_isotonic(_scored_labels(spark, sf))
-    return spark.createDataFrame(list(zip(curve["x"], curve["y"])), "x double, y double")
+    return calibration.fit_isotonic(_rounded(_scored_labels(spark, sf)))
 
 
-_CURVE = {"x": [0.1, 0.2, 0.4], "y": [0.05, 0.5, 0.8]}
+def _curve(spark):
+    return spark.createDataFrame([(0.1, 0.05), (0.2, 0.5), (0.4, 0.8)], "x double, y double")
 
 
 @register("t10_calibrate", f"""
 SELECT entity_key, window_end, {rnd('CASE WHEN score <= 0.1 THEN 0.05 WHEN score >= 0.4 THEN 0.8 WHEN score <= 0.2 THEN 0.05 + 0.45 * (score - 0.1) / 0.1 ELSE 0.5 + 0.3 * (score - 0.2) / 0.2 END', 'calibrated')}
 FROM {_SCORED}""")
 def _(spark, sf):
-    return evaluation.calibrate(_scored_labels(spark, sf), _CURVE).select("entity_key", "window_end", "calibrated")
+    return calibration.calibrate(_scored_labels(spark, sf), _curve(spark)).select("entity_key", "window_end", "calibrated")
 
 
 _CONFUSION = f"""tp, fp, fn, tn, {rnd('p', 'precision')}, {rnd('r', 'recall')}, {rnd('2 * p * r / nullif(p + r, 0)', 'f1')},
@@ -817,13 +878,12 @@ def _(spark, sf):
 
 @register_market("t9_isotonic")
 def _(spark, sf):
-    curve = supervised.fit_isotonic(_market_scored(spark, sf))
-    return spark.createDataFrame(list(zip(curve["x"], curve["y"])), "x double, y double")
+    return calibration.fit_isotonic(_rounded(_market_scored(spark, sf)))
 
 
 @register_market("t10_calibrate")
 def _(spark, sf):
-    return evaluation.calibrate(_market_scored(spark, sf), _CURVE).select("entity_key", "window_end", "calibrated")
+    return calibration.calibrate(_market_scored(spark, sf), _curve(spark)).select("entity_key", "window_end", "calibrated")
 
 
 @register_market("t11_confusion")

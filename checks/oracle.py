@@ -278,3 +278,7 @@ part("t_marked_market", """MATERIALIZED (
   FROM t_windows w WHERE w.domain = 'market')""")
 
 part("t_episodes_market", PARTS["t_episodes"].replace("t_marked", "t_marked_market"))
+
+part("t_labelled", """MATERIALIZED (
+  SELECT domain, entity_key, window_end, CAST(scenario_label IS NOT NULL AS INTEGER) AS label FROM t_marked
+  UNION ALL SELECT domain, entity_key, window_end, CAST(scenario_label IS NOT NULL AS INTEGER) FROM t_marked_market)""")

@@ -113,28 +113,6 @@ def brier(df: DataFrame, score: str = "score", label: str = "label") -> DataFram
     return df.agg(F.avg(miss * miss).alias("brier_score"))
 
 
-def calibrate(df: DataFrame, calibration: dict[str, list[float]] | None, score: str = "score",
-              out: str = "calibrated") -> DataFrame:
-    """Piecewise-linear calibration by breakpoints ``x`` / ``y``, flat beyond the ends.
-
-    An empty calibration keeps the score.
-    """
-    if not calibration or not calibration.get("x"):
-        return df.withColumn(out, F.col(score))
-    xs = F.array(*[F.lit(float(v)) for v in calibration["x"]])
-    ys = F.array(*[F.lit(float(v)) for v in calibration["y"]])
-    at = F.size(F.filter(xs, lambda e: e <= F.col(score)))
-    x0, x1 = F.element_at(xs, at), F.element_at(xs, at + 1)
-    y0, y1 = F.element_at(ys, at), F.element_at(ys, at + 1)
-    last = len(calibration["x"])
-    return df.withColumn(
-        out,
-        F.when(at == 0, F.lit(float(calibration["y"][0])))
-        .when(at == last, F.lit(float(calibration["y"][-1])))
-        .otherwise(y0 + (y1 - y0) * (F.col(score) - x0) / (x1 - x0)),
-    )
-
-
 def _labelled() -> Column:
     return F.coalesce(F.col("scenario_label"), F.lit("")) != ""
 

@@ -1,191 +1,228 @@
-"""Supervised detector: boosted trees, their attributions and calibration."""
+"""Supervised detector: boosted trees fitted side by side, their scores, attributions and storage."""
 
 from __future__ import annotations
 
 import itertools
-import math
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pulsegrid.functions.scratch import scratch_root
-from pulsegrid.operators.evaluation import calibrate
+from pulsegrid.functions.scratch import materialize
+from pulsegrid.operators import booster
+from pulsegrid.operators.booster import Booster
+from pulsegrid.operators.calibration import calibrate
 
-MAX_TREE_NODES = 1_000_000
-#: Rounds without a lower hold-out loss after which boosting ends.
+#: Rounds without a better hold-out score after which boosting ends.
 PATIENCE = 15
+#: Rows of a domain that trees are grown on, at most about; edges of bins, scores and reports come from all rows.
+FIT_ROWS = 100_000
+_ACCURACY = 10_000
+_NODES = "feature array<int>, threshold array<double>, left array<int>, right array<int>, value array<double>, cover array<double>, roots array<int>"
+FITS_SCHEMA = (
+    "domain string, fold int, point int, train_rows long, train_positives long, test_rows long, test_positives long, "
+    f"best_round int, aucpr double, base double, {_NODES}"
+)
+#: Parameters of a grid point.
+POINT = "max_depth int, step_size double, min_child int"
 
 
-def fit_booster(
-    train: DataFrame, max_depth: int = 3, step_size: float = 0.1, min_child: int = 1, rounds: int = 20,
-    validation: str | None = None, seed: int = 42, patience: int = PATIENCE,
-) -> GBTClassificationModel:
-    """Fit boosted trees on ``vector`` (array) and ``label``; ``validation`` marks hold-out rows.
+def param_grid(
+    depths: Sequence[int] = (3, 4, 5), steps: Sequence[float] = (0.05, 0.1, 0.2), children: Sequence[int] = (1, 5)
+) -> list[dict]:
+    """Hyper-parameter combinations, in search order."""
+    return [
+        {"max_depth": d, "step_size": s, "min_child": c} for d, s, c in itertools.product(depths, steps, children)
+    ]
 
-    With hold-out rows, training ends after ``patience`` rounds that do not lower their loss, and the
-    rounds up to the lowest loss are kept. MLlib's own rule ends at the first round that gains less than
-    a hundredth, often after one tree, and is not used. A short fit is the beginning of a longer one,
-    so the number of rounds is doubled only while patience lasts.
-    """
-    data = train.withColumn("features", array_to_vector("vector")).withColumn("label", F.col("label").cast("double"))
-    booster = GBTClassifier(
-        featuresCol="features", labelCol="label", maxDepth=max_depth, stepSize=step_size,
-        minInstancesPerNode=min_child, maxIter=rounds, seed=seed,
-    )
-    if not validation:
-        return booster.fit(data)
-    fitted, held_out = data.where(~F.col(validation)), data.where(F.col(validation))
-    tried = min(rounds, patience + 1)
-    while True:
-        model = booster.setMaxIter(tried).fit(fitted)
-        best, ended = best_round(model.evaluateEachIteration(held_out), patience)
-        if ended or tried == rounds:
-            return model if best == tried else booster.setMaxIter(best).fit(fitted)
-        tried = min(rounds, 2 * tried)
-
-
-def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
-    """Round (from 1) with the lowest loss, and whether ``patience`` rounds without a lower one came after it."""
-    best, lowest = 1, math.inf
-    for n, loss in enumerate(losses, 1):
-        if loss < lowest:
-            best, lowest = n, loss
-        elif n - best >= patience:
-            return best, True
-    return best, False
 
+def binned(folds: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, dict[tuple[str, int], list[np.ndarray]]]:
+    """Stored training rows with one byte per feature, and the edges of the bins by (domain, fold).
 
-def supervised_score(
-    df: DataFrame, model: GBTClassificationModel | None, calibration: dict | None = None, out: str = "xgboost"
+    Edges are quantiles of all training rows of a fold, merged from sketches of every task. A domain above ``fit_rows``
+    rows keeps a share of its rows by a hash of (entity, window end), the same ones in every fold. ``folds`` has
+    ``domain, fold, role, entity_key, window_end, vector, label``.
+    """
+    n_features = folds.agg(F.max(F.size("vector")).alias("n")).first()["n"] or 0
+    probs = F.array(*[F.lit(k / booster.MOST_BINS) for k in range(1, booster.MOST_BINS)])
+    quantiles = folds.where("role = 'train'").groupBy("domain", "fold").agg(*[
+        F.percentile_approx(F.element_at("vector", f + 1), probs, _ACCURACY).alias(f"f{f}") for f in range(n_features)])
+    # One row per domain and fold, each of features x 255 numbers.
+    edges = {(r["domain"], r["fold"]): [np.unique(np.array(r[f"f{f}"])) for f in range(n_features)] for r in quantiles.collect()}
+    sizes = folds.groupBy("domain").agg(F.countDistinct("entity_key", "window_end").alias("_n"))
+    cut = F.lit(float(fit_rows)) / F.col("_n") * F.lit(float(1 << 31))
+    sample = folds.join(sizes, "domain").where(
+        F.pmod(F.xxhash64(F.lit(29), "entity_key", "window_end"), F.lit(1 << 31)).cast("double") < cut)
+
+    def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("vector").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            keys = list(zip(batch.column("domain").to_pylist(), batch.column("fold").to_pylist(), strict=True))
+            out = np.zeros(x.shape, np.uint8)
+            for key in set(keys) & edges.keys():
+                at = np.array([k == key for k in keys])
+                out[at] = booster.to_bins(x[at], edges[key])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("domain"), batch.column("fold"), batch.column("held_out"), batch.column("label"),
+                 pa.array([r.tobytes() for r in out], pa.binary())], ["domain", "fold", "held_out", "label", "bins"])
+
+    rows = sample.select("domain", "fold", (F.col("role") == "test").alias("held_out"), F.col("label").cast("int").alias("label"), "vector")
+    return materialize(rows.mapInArrow(to_bytes, "domain string, fold int, held_out boolean, label int, bins binary")), edges
+
+
+def fit_boosters(
+    folds: DataFrame, points: Sequence[dict], rounds: int = 300, patience: int = PATIENCE, fit_rows: int = FIT_ROWS
 ) -> DataFrame:
-    """Add the model's probability, calibrated if a calibration is given; null without a model."""
-    if model is None:
-        return df.withColumn(out, F.lit(None).cast("double"))
-    scored = model.copy().setFeaturesCol("_features").transform(df.withColumn("_features", array_to_vector("vector")))
-    raw = scored.withColumn("_raw", vector_to_array("probability")[1])
-    return calibrate(raw, calibration, "_raw", out).drop(
-        "_raw", "_features", "rawPrediction", "probability", "prediction"
-    )
-
-
-def tree_table(model: GBTClassificationModel, spark) -> list[dict]:
-    """Nodes of every tree, read from the saved model.
+    """Every (domain, fold, grid point) fitted, all in one job: one row per fit, with its trees.
 
-    Size is bounded by trees x 2^(depth + 1), which is checked before it is collected.
+    A fit reads at most about ``fit_rows`` rows of one byte per feature, so the fits are independent tasks of bounded size. Folds without
+    rows on either side give no row; without positives on either side the score is null and there are no trees.
     """
-    path = f"{scratch_root(spark)}/booster-{uuid.uuid4().hex}"
-    model.write().save(path)
-    bound = len(model.treeWeights) * 2 ** (model.getMaxDepth() + 1)
-    if bound > MAX_TREE_NODES:
-        raise ValueError(f"model may hold {bound} nodes; at most {MAX_TREE_NODES} are sent to tasks")
-    trees: list[dict] = [{"weight": w, "nodes": {}} for w in model.treeWeights]
-    for row in spark.read.parquet(f"{path}/data").collect():
-        node = row["nodeData"]
-        trees[row["treeID"]]["nodes"][node["id"]] = (
-            node["leftChild"], node["rightChild"], node["split"]["featureIndex"],
-            node["split"]["leftCategoriesOrThreshold"][0] if node["leftChild"] >= 0 else 0.0,
-            node["prediction"], float(node["rawCount"]),
-        )
-    return trees
-
-
-def _coalition_value(nodes: dict, node: int, x: np.ndarray, known: frozenset) -> np.ndarray:
-    """Expected output of one tree when only the features in ``known`` are seen."""
-    left, right, feature, threshold, prediction, count = nodes[node]
-    if left < 0:
-        return np.full(len(x), prediction)
-    lo, hi = _coalition_value(nodes, left, x, known), _coalition_value(nodes, right, x, known)
-    if feature in known:
-        return np.where(x[:, feature] <= threshold, lo, hi)
-    share = nodes[left][5] / count
-    return share * lo + (1.0 - share) * hi
-
-
-def tree_shapley(trees: list[dict], x: np.ndarray) -> np.ndarray:
-    """Exact path-dependent Shapley values of the trees' margin; last column is the bias."""
-    out = np.zeros((len(x), x.shape[1] + 1))
-    for tree in trees:
-        nodes = tree["nodes"]
-        used = sorted({n[2] for n in nodes.values() if n[0] >= 0})
-        m = len(used)
-        value = {
-            frozenset(c): tree["weight"] * _coalition_value(nodes, 0, x, frozenset(c))
-            for r in range(m + 1) for c in itertools.combinations(used, r)
+    rows, edges = binned(folds, fit_rows)
+    grid = [dict(p) for p in points]
+    each = rows.withColumn("point", F.explode(F.array(*[F.lit(i) for i in range(len(grid))])))
+    names = [f.split(" ")[0] for f in _NODES.split(", ")]
+    kinds = {"feature": pa.int32(), "left": pa.int32(), "right": pa.int32(), "roots": pa.int32()}
+
+    def fit(group: pa.Table) -> pa.Table:
+        domain, fold, point = (group.column(c)[0].as_py() for c in ("domain", "fold", "point"))
+        blob = group.column("bins").combine_chunks()
+        bins = np.frombuffer(b"".join(blob.to_pylist()), np.uint8).reshape(group.num_rows, -1)
+        order = np.lexsort(bins.T[::-1])  # sums do not depend on the order in which rows arrive
+        bins, held_out = bins[order], group.column("held_out").to_numpy(zero_copy_only=False).astype(bool)[order]
+        label = group.column("label").to_numpy().astype(float)[order]
+        sides = [(int(m.sum()), int(label[m].sum())) for m in (~held_out, held_out)]
+        model, best, score = None, None, None
+        if all(p for _n, p in sides):
+            model, best, score = booster.fit(bins, label, held_out, edges[(domain, fold)], rounds=rounds, patience=patience, **grid[point])
+        head = {
+            "domain": [domain], "fold": [fold], "point": [point], "train_rows": [sides[0][0]], "train_positives": [sides[0][1]],
+            "test_rows": [sides[1][0]], "test_positives": [sides[1][1]], "best_round": [best], "aucpr": [score],
+            "base": [None if model is None else model.base],
         }
-        for f in used:
-            for c, v in value.items():
-                if f not in c:
-                    share = math.factorial(len(c)) * math.factorial(m - len(c) - 1) / math.factorial(m)
-                    out[:, f] += share * (value[c | {f}] - v)
-        out[:, -1] += value[frozenset()]
-    return out
+        ints = {c: pa.array(head[c], pa.int32()) for c in ("fold", "point", "best_round")}
+        reals = {c: pa.array(head[c], pa.float64()) for c in ("aucpr", "base")}
+        trees = {c: pa.array([None if model is None else getattr(model, c).tolist()], pa.list_(kinds.get(c, pa.float64()))) for c in names}
+        return pa.table({c: pa.array(v) for c, v in head.items()} | ints | reals | trees)
 
+    usable = F.count(F.when(F.col("held_out"), 1)).alias("_a"), F.count(F.when(~F.col("held_out"), 1)).alias("_b")
+    both = rows.groupBy("domain", "fold").agg(*usable).where("_a > 0 and _b > 0").select("domain", "fold")
+    return materialize(each.join(both, ["domain", "fold"]).groupBy("domain", "fold", "point").applyInArrow(fit, FITS_SCHEMA))
 
-def shapley(df: DataFrame, model: GBTClassificationModel | None, out: str = "shap") -> DataFrame:
-    """Add signed attributions per input (array) and ``shap_bias``; they sum to the margin.
 
-    Meant for alert rows. The tree table is small and bounded, so it travels with the task.
-    """
-    if model is None:
-        return df.withColumns({out: F.lit(None).cast("array<double>"), "shap_bias": F.lit(None).cast("double")})
-    trees = tree_table(model, df.sparkSession)
-    schema = T.StructType([
-        *df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType())), T.StructField("shap_bias", T.DoubleType()),
-    ])
+def as_booster(row) -> Booster:
+    """The model in a row of ``fit_boosters`` or of a stored model."""
+    ints = {c: np.array(row[c], np.int64) for c in ("feature", "left", "right", "roots")}
+    reals = {c: np.array(row[c], np.float64) for c in ("threshold", "value", "cover")}
+    return Booster(base=row["base"], **ints, **reals)
 
-    def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                values = tree_shapley(trees, np.vstack(pdf["vector"].to_list()))
-                pdf[out] = list(values[:, :-1])
-                pdf["shap_bias"] = values[:, -1]
-                yield pdf
 
-    return df.mapInPandas(attribute, schema)
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.array(vectors.to_list(), np.float64)
 
 
-def margin(df: DataFrame, model: GBTClassificationModel, out: str = "margin") -> DataFrame:
-    """Add the booster's weighted tree sum, half the log-odds it reports."""
-    scored = model.copy().setFeaturesCol("_features").transform(df.withColumn("_features", array_to_vector("vector")))
-    odds = vector_to_array("probability")
-    return scored.withColumn(out, F.log(odds[1] / odds[0]) / 2.0).drop(
-        "_features", "rawPrediction", "probability", "prediction"
-    )
+def _by_domain(domain: pd.Series, vectors: pd.Series, models: dict[str, Booster]) -> Iterator[tuple[np.ndarray, Booster]]:
+    """Places of the rows that have a vector and a model, with that model."""
+    given = vectors.notna().to_numpy()
+    for d, model in models.items():
+        at = np.flatnonzero(given & (domain == d).to_numpy())
+        if len(at):
+            yield at, model
 
 
-def fit_isotonic(df: DataFrame, score: str = "score", label: str = "label", limit: int = 100_000) -> dict:
-    """Isotonic calibration as breakpoints ``x`` / ``y`` clipped to [0, 1].
+def margins(df: DataFrame, models: dict[str, Booster], out: str = "margin", where: Column | None = None) -> DataFrame:
+    """Add the log-odds of ``vector`` by the model of its domain; null without a model, or where ``where`` does not hold."""
 
-    The breakpoints become literals later, so their number is checked. Values
-    outside the fitted range take the nearest end.
+    @F.pandas_udf("double")
+    def of(domain: pd.Series, vectors: pd.Series) -> pd.Series:
+        values = pd.Series(np.nan, index=range(len(vectors)), dtype=object).where(lambda x: x.notna(), None)
+        for at, model in _by_domain(domain, vectors, models):
+            values.iloc[at] = model.margin(_matrix(vectors.iloc[at]))
+        return values.astype("Float64")
+
+    vector = F.col("vector") if where is None else F.when(where, F.col("vector"))
+    return df.withColumn(out, of("domain", vector))
+
+
+def supervised_scores(
+    df: DataFrame, models: dict[str, Booster], curves: DataFrame | None = None, out: str = "xgboost"
+) -> DataFrame:
+    """Add the probability by the model of the row's domain, calibrated by ``curves`` (``domain, x, y``); null without a model."""
+    if not models:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    raw = margins(df, models, "_margin").withColumn("_raw", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_margin"))))
+    return calibrate(raw, curves, "_raw", out, keys=["domain"]).drop("_raw", "_margin")
+
+
+def supervised_score(
+    df: DataFrame, model: Booster | None, calibration: DataFrame | None = None, out: str = "xgboost"
+) -> DataFrame:
+    """``supervised_scores`` of rows that all belong to one model, whatever their domain."""
+    if model is None:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    curves = None if calibration is None else calibration.withColumn("domain", F.lit("")).select("domain", "x", "y")
+    one = df.withColumn("_domain", F.col("domain") if "domain" in df.columns else F.lit("")).withColumn("domain", F.lit(""))
+    scored = supervised_scores(one, {"": model}, curves, out).withColumn("domain", F.col("_domain")).drop("_domain")
+    return scored.select(*[c for c in df.columns if c != out], out)
+
+
+def attributions(df: DataFrame, models: dict[str, Booster], where: Column | None = None, out: str = "shap") -> DataFrame:
+    """Add signed attributions per input (array) and ``shap_bias``, which sum to the margin, for rows where ``where`` holds.
+
+    Other rows, and rows without a model, hold null and cost nothing but their way through the function.
     """
-    # Equal scores are averaged first: one weighted row per distinct score.
-    pooled = df.groupBy(F.col(score).cast("double").alias("x")).agg(
-        F.avg(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w")
-    )
-    model = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w").fit(pooled)
-    if model.boundaries.size > limit:
-        raise ValueError(f"calibration has {model.boundaries.size} breakpoints, more than {limit}")
-    xs, ys = [], []
-    for x, y in zip(model.boundaries.toArray(), model.predictions.toArray()):
-        if not xs or x > xs[-1]:
-            xs.append(float(x))
-            ys.append(float(min(max(y, 0.0), 1.0)))
-    return {"x": xs, "y": ys}
+    if not models:
+        return df.withColumns({out: F.lit(None).cast("array<double>"), "shap_bias": F.lit(None).cast("double")})
 
+    @F.pandas_udf("array<double>")
+    def of(domain: pd.Series, vectors: pd.Series) -> pd.Series:
+        values = pd.Series([None] * len(vectors), dtype=object)
+        for at, model in _by_domain(domain, vectors, models):
+            for i, v in zip(at, model.attributions(_matrix(vectors.iloc[at])), strict=True):
+                values.iat[i] = v
+        return values
 
-def param_grid(
-    depths: Sequence[int] = (3, 4, 5), steps: Sequence[float] = (0.05, 0.1, 0.2), children: Sequence[int] = (1, 5)
-) -> list[dict]:
-    """Hyper-parameter combinations, in search order."""
-    return [
-        {"max_depth": d, "step_size": s, "min_child": c} for d, s, c in itertools.product(depths, steps, children)
-    ]
+    vector = F.col("vector") if where is None else F.when(where, F.col("vector"))
+    n = F.size("_shap")
+    return df.withColumn("_shap", of("domain", vector)).withColumns({
+        out: F.when(F.col("_shap").isNotNull(), F.slice("_shap", 1, n - 1)), "shap_bias": F.try_element_at("_shap", n)}).drop("_shap")
+
+
+def save_model(spark: SparkSession, path: str, domain: str, model: Booster, calibration: DataFrame | None = None) -> str:
+    """Write one domain's model and curve below a new version folder; returns the version.
+
+    Versions are numbered and never overwritten, so a reader never meets half of a model: the model row is written last.
+    """
+    version = 1 + max([v for v, _has in _versions(spark, path, domain)], default=0)
+    folder = f"{path.rstrip('/')}/{domain}/v{version:06d}"
+    if calibration is not None:
+        calibration.select("x", "y").write.mode("errorifexists").parquet(f"{folder}/curve")
+    row = {c: getattr(model, c).tolist() for c in ("feature", "threshold", "left", "right", "value", "cover", "roots")}
+    stored = spark.createDataFrame([row | {"base": model.base, "calibrated": calibration is not None}],
+                                   f"base double, calibrated boolean, {_NODES}")
+    stored.coalesce(1).write.mode("errorifexists").parquet(f"{folder}/model")
+    return f"v{version:06d}"
+
+
+def _versions(spark: SparkSession, path: str, domain: str) -> list[tuple[int, bool]]:
+    """Number of every version folder, and whether its model has been written to the end."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{domain}")
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    found = [s.getPath() for s in fs.listStatus(top) if s.getPath().getName()[1:].isdigit()]
+    return [(int(p.getName()[1:]), fs.exists(jvm.org.apache.hadoop.fs.Path(p, "model/_SUCCESS"))) for p in found]
+
+
+def load_model(spark: SparkSession, path: str, domain: str) -> tuple[Booster | None, DataFrame | None]:
+    """A domain's newest complete model and its curve; ``(None, None)`` before there is one."""
+    newest = max([v for v, complete in _versions(spark, path, domain) if complete], default=None)
+    if newest is None:
+        return None, None
+    folder = f"{path.rstrip('/')}/{domain}/v{newest:06d}"
+    row = spark.read.parquet(f"{folder}/model").first()
+    return as_booster(row), spark.read.parquet(f"{folder}/curve") if row["calibrated"] else None

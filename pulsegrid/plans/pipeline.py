@@ -14,8 +14,9 @@ from pulsegrid.operators.scoring import (
     Tier, apply_rules, build_alerts, drift_asof, ensemble, probable_cause, top_features,
 )
 from pulsegrid.operators.sequence import cusum, feature_vector, run_rules, velocity
-from pulsegrid.operators.supervised import shapley, supervised_score
+from pulsegrid.operators.supervised import attributions, supervised_scores
 from pulsegrid.operators.windows import window_features
+from pulsegrid.plans.training import Trained
 
 
 def feature_table(events: DataFrame, sizes: dict[str, float] | None = None, origin: str = "epoch") -> DataFrame:
@@ -31,12 +32,12 @@ def statistical_scores(features: DataFrame) -> DataFrame:
 
 def score_windows(
     features: DataFrame, rules: dict[str, list[Tier]] | None = None, models: bool = True,
-    supervised: DataFrame | None = None,
+    supervised: dict[str, Trained] | None = None,
 ) -> DataFrame:
     """Score every window: detectors, ensemble, rules, explanation.
 
     ``models=False`` leaves the rolling detectors at their value before a first
-    fit (0). ``supervised`` may carry ``domain, entity_key, window_end, xgboost, shap``.
+    fit (0). ``supervised`` maps a domain to what ``train_supervised`` made of it; a domain without a model keeps null scores. Attributions are computed for windows that reach a rule tier only.
     """
     scored = feature_vector(statistical_scores(features))
     if models:
@@ -46,32 +47,17 @@ def score_windows(
             "isolation_forest": F.lit(0.0), "autoencoder": F.lit(0.0),
             "base_mean": F.lit(None).cast("array<double>"), "base_std": F.lit(None).cast("array<double>"),
         })
-    if supervised is None:
-        scored = scored.withColumns({
-            "xgboost": F.lit(None).cast("double"), "shap": F.lit(None).cast("array<double>"),
-        })
-    else:
-        scored = scored.join(supervised, ["domain", "entity_key", "window_end"], "left")
-    return probable_cause(top_features(apply_rules(ensemble(scored), rules)))
-
-
-def supervised_frame(scored: DataFrame, models: dict[str, tuple]) -> DataFrame:
-    """Supervised scores and attributions for ``score_windows``.
-
-    ``models`` maps a domain to ``(model, calibration)`` as ``train_supervised``
-    returns them; a domain without a model keeps null scores.
-    """
-    keys = ["domain", "entity_key", "window_end"]
-    parts = []
-    for domain, (model, calibration) in models.items():
-        mine = scored.where(F.col("domain") == domain).select(*keys, "vector")
-        parts.append(shapley(supervised_score(mine, model, calibration), model).select(*keys, "xgboost", "shap"))
-    return functools.reduce(DataFrame.unionByName, parts)
+    boosters = {d: m.model for d, m in (supervised or {}).items() if m.model is not None}
+    curves = [m.calibration.select(F.lit(d).alias("domain"), "x", "y") for d, m in (supervised or {}).items() if m.calibration is not None]
+    scored = supervised_scores(scored, boosters, functools.reduce(DataFrame.unionByName, curves) if curves else None)
+    ruled = apply_rules(ensemble(scored), rules)
+    explained = attributions(ruled, boosters, where=F.col("severity").isNotNull()).drop("shap_bias")
+    return probable_cause(top_features(explained))
 
 
 def score_pipeline(
     features: DataFrame, now: Column, model_version: str = "v1", rules: dict[str, list[Tier]] | None = None,
-    models: bool = True, supervised: DataFrame | None = None, drift_checks: DataFrame | None = None,
+    models: bool = True, supervised: dict[str, Trained] | None = None, drift_checks: DataFrame | None = None,
 ) -> DataFrame:
     """Feature rows to nested alerts."""
     alerts = build_alerts(score_windows(features, rules, models, supervised), now, model_version)

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from builders import at, events, rows_by, txn
 from pulsegrid.operators.evaluation import (
-    average_precision, brier, calibrate, confusion, confusion_by, episodes, evaluation_report, label_windows_any,
+    average_precision, brier, confusion, confusion_by, episodes, evaluation_report, label_windows_any,
     label_windows_first, mark_alerted, mean_delay, ts_folds,
 )
-from pulsegrid.operators.supervised import fit_isotonic
+from pulsegrid.operators import calibration
+from pulsegrid.operators.calibration import calibrate, fit_isotonic
 
 SCHEMA = ("entity_key string, domain string, window_start timestamp, window_end timestamp, window_size_s double, "
           "scenario_label string, alerted boolean")
@@ -122,13 +123,56 @@ def test_average_precision_and_brier(spark):
     assert average_precision(df.withColumn("label", F.lit(0))).first()[0] == 0.0
 
 
+def curve_of(spark, xs, ys):
+    return spark.createDataFrame(list(zip(xs, ys)), "x double, y double")
+
+
 def test_calibration_interpolates_and_clamps(spark):
-    curve = {"x": [0.1, 0.2, 0.6, 0.9], "y": [0.0, 0.3, 0.3, 1.0]}
-    xs = np.concatenate([np.linspace(0, 1, 41), curve["x"]])
-    got = calibrate(spark.createDataFrame([(float(x),) for x in xs], "score double"), curve).toPandas()
-    np.testing.assert_allclose(got["calibrated"], np.interp(got["score"], curve["x"], curve["y"]), atol=1e-12)
-    same = calibrate(spark.createDataFrame([(0.4,)], "score double"), None).first()
-    assert same["calibrated"] == 0.4
+    knots, values = [0.1, 0.2, 0.20001, 0.6, 0.9], [0.0, 0.3, 0.31, 0.31, 1.0]
+    xs = np.concatenate([np.linspace(0, 1, 41), knots, [-1.0, 2.0]])
+    df = spark.createDataFrame([(float(x),) for x in xs], "score double")
+    got = calibrate(df, curve_of(spark, knots, values)).toPandas()
+    assert len(got) == len(xs)
+    np.testing.assert_allclose(got["calibrated"], np.interp(got["score"], knots, values), atol=1e-12)
+    assert calibrate(df.limit(1), None).first()["calibrated"] == calibrate(df.limit(1), curve_of(spark, [], [])).first()["calibrated"] == 0.0
+    nulls = calibrate(spark.createDataFrame([(None,)], "score double"), curve_of(spark, knots, values)).first()
+    assert nulls["calibrated"] is None
+    one = calibrate(df, curve_of(spark, [0.5], [0.7])).agg(F.min("calibrated"), F.max("calibrated")).first()
+    assert tuple(one) == (0.7, 0.7)
+
+
+def test_calibration_keeps_one_curve_per_key(spark):
+    curves = curve_of(spark, [0.0, 1.0], [0.0, 0.5]).withColumn("domain", F.lit("a")).unionByName(
+        curve_of(spark, [0.0, 1.0], [0.5, 1.0]).withColumn("domain", F.lit("b")))
+    df = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2), ("c", 0.5, 3)], "domain string, score double, y int")
+    got = {r["domain"]: (r["calibrated"], r["y"]) for r in calibrate(df, curves, keys=["domain"]).collect()}
+    assert got == {"a": (0.25, 1), "b": (0.75, 2), "c": (0.5, 3)}
+
+
+def isotonic_loop(score, label):
+    """Breakpoints by the largest least mean."""
+    xs = np.unique(score)
+    s, w = np.array([label[score == x].sum() for x in xs]), np.array([(score == x).sum() for x in xs])
+    y = [max(min(s[j:k + 1].sum() / w[j:k + 1].sum() for k in range(i, len(xs))) for j in range(i + 1)) for i in range(len(xs))]
+    ends = [i for i in range(len(xs)) if i in (0, len(xs) - 1) or y[i] != y[i - 1] or y[i] != y[i + 1]]
+    return [(float(xs[i]), float(y[i])) for i in ends]
+
+
+@pytest.mark.parametrize("block", [1, 4, 1 << 16])
+@pytest.mark.parametrize("shape", ["rising", "falling", "flat", "noise"])
+def test_isotonic_equals_the_largest_least_mean(spark, shape, block, monkeypatch):
+    """Ranges of few pools, so that pools span many of them, against the definition."""
+    monkeypatch.setattr(calibration, "BLOCK_POOLS", block)
+    rng = np.random.default_rng(13)
+    score = rng.random(150).round(2)
+    chance = {"rising": score, "falling": 1 - score, "flat": np.full(150, 0.5), "noise": rng.random(150)}[shape]
+    label = (rng.random(150) < chance).astype(int)
+    df = spark.createDataFrame(list(zip(score.tolist(), label.tolist())) + [(None, 1)], "score double, label int")
+    assert sorted(map(tuple, fit_isotonic(df).collect())) == isotonic_loop(score, label)
+
+
+def test_isotonic_of_no_rows_has_no_breakpoints(spark):
+    assert fit_isotonic(spark.createDataFrame([], "score double, label int")).collect() == []
 
 
 def test_isotonic_is_monotone_and_lowers_brier(spark):
@@ -137,7 +181,5 @@ def test_isotonic_is_monotone_and_lowers_brier(spark):
     rows = [(float(v + 0.3), int(rng.random() < v)) for v in p]
     df = spark.createDataFrame(rows, "score double, label int")
     curve = fit_isotonic(df)
-    assert curve["x"] == sorted(curve["x"]) and curve["y"] == sorted(curve["y"])
-    assert 0 <= curve["y"][0] and curve["y"][-1] <= 1
     after = brier(calibrate(df, curve), "calibrated").first()[0]
     assert after < brier(df).first()[0]
