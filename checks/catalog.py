@@ -8,7 +8,7 @@ from collections.abc import Callable
 from contextlib import contextmanager
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ from pulsegrid.functions.expr import squash
 from pulsegrid.functions.scratch import materialize, scratch_root
 from pulsegrid.operators import calibration, detectors, drift, evaluation, refit, rollups, scoring, sequence, supervised
 from pulsegrid.operators import windows as win
-from pulsegrid.plans import training
+from pulsegrid.plans import monitoring, training
 from pulsegrid.sources import adapters, contracts, raw, tables
 from pulsegrid.streaming import streams
 
@@ -410,6 +410,26 @@ def _(spark, sf):
     )
 
 
+# Scores of fitted models have no SQL form; these hold what SQL can say of them: their place in the domain's order, zero before the
+# first fit, in range after it, and the same scores over another partitioning.
+def _detector_properties(build, column):
+    def run(spark, sf):
+        vectors = _vectors(spark, sf)
+        again = build(vectors.repartition(5, "window_end")).select("domain", "vector_no", F.col(column).alias("_again"))
+        s = F.col(column)
+        sound = F.when(F.col("vector_no") < refit.FIRST_FIT, s == 0.0).otherwise((s > 0.0) & (s < 1.0))
+        return build(vectors).join(again, ["domain", "vector_no"]).select(
+            "domain", "entity_key", "window_end", "vector_no", sound.alias("sound"), (s == F.col("_again")).alias("repeats"))
+    return run
+
+
+_PROPERTIES = """
+SELECT domain, entity_key, window_end, row_number() OVER (PARTITION BY domain ORDER BY window_end, entity_key) AS vector_no,
+  true AS sound, true AS repeats FROM t_windows"""
+register("d4_forest_properties", _PROPERTIES)(_detector_properties(detectors.rolling_iforest, "isolation_forest"))
+register("d5_error_properties", _PROPERTIES)(_detector_properties(detectors.rolling_pca_error, "autoencoder"))
+
+
 def _training_rows(spark, sf):
     """Vectors of both domains with their labels: every window, no sample."""
     labels = evaluation.label_windows_any(
@@ -569,6 +589,20 @@ def _(spark, sf):
     )
 
 
+# The ensemble is the weighted sum of the stored scores, and the severity follows the standard rules.
+@register("e7_score_properties", """
+SELECT domain, entity_key, window_end, true AS weighted, true AS ruled FROM t_windows""")
+def _(spark, sf):
+    scored = tb.modelled(spark, sf)
+    total = (0.15 * F.col("zscore_score") + 0.20 * F.col("ewma_score") + 0.20 * F.col("cusum_score")
+             + 0.20 * F.col("isolation_forest") + 0.25 * F.col("autoencoder"))
+    s, pay = F.col("anomaly_score"), F.col("domain") == "payments"
+    tier = F.when(s >= F.when(pay, 0.85).otherwise(0.90), "critical").when(s >= F.when(pay, 0.70).otherwise(0.75), "alert").when(
+        s >= F.when(pay, 0.50).otherwise(0.55), "watch")
+    return scored.select("domain", "entity_key", "window_end", (F.abs(total - s) < 1e-9).alias("weighted"),
+                         tier.eqNullSafe(F.col("severity")).alias("ruled"))
+
+
 @register("e8_latest_alerts", """
 SELECT alert_id, domain, entity_key, window_end, ts + INTERVAL 2 SECOND AS ts FROM t_alerts""")
 def _(spark, sf):
@@ -583,7 +617,7 @@ def _(spark, sf):
 SELECT a.alert_id, coalesce(m.drift_detected, FALSE) AS drift_flag
 FROM t_alerts a ASOF LEFT JOIN t_metrics m ON a.domain = m.domain AND a.ts >= m.ts""")
 def _(spark, sf):
-    return scoring.drift_asof(tb.alerts(spark, sf), tb.metrics(spark, sf), block_seconds=30 * 86400.0).select(
+    return scoring.drift_asof(tb.alerts(spark, sf), tb.metrics(spark, sf), slot_seconds=30 * 86400.0).select(
         "alert_id", "drift_flag"
     )
 
@@ -617,28 +651,53 @@ def _(spark, sf):
     return stats.select("domain", "feature", limit.alias("ks_pvalue"))
 
 
-@register("m4_drift_check", """
-SELECT domain, bool_or(psi > 0.2 OR ks_pvalue < 0.01) AS drift_detected, count(*) AS features
-FROM t_psi JOIN t_ksx USING (domain, feature) GROUP BY domain""")
+def _as_text(entries: str) -> Column:
+    """A map of eight values as text, in millionths, so that engines agree on it."""
+    part = lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 1e6 + 1e-6).cast("long").cast("string"))
+    return F.concat_ws(",", F.transform(F.array_sort(F.map_entries(entries)), part))
+
+
+def _map_sql(value: str, name: str) -> str:
+    return f"string_agg(feature || '=' || CAST(CAST(round({value} * 1e6 + 1e-6) AS BIGINT) AS VARCHAR), ',' ORDER BY feature) AS {name}"
+
+
+# ``silent`` is a domain that has a baseline and no live vectors.
+@register("m4_drift_check", f"""
+SELECT domain, bool_or(psi > 0.2 OR ks_pvalue < 0.01) AS drift_detected, {_map_sql('psi', 'psi')}, {_map_sql('ks_stat', 'ks_stat')}
+FROM t_psi JOIN t_ksx USING (domain, feature) GROUP BY domain
+UNION ALL SELECT 'silent', false, {_map_sql('0', 'psi')}, {_map_sql('0', 'ks_stat')} FROM t_psi WHERE domain = 'payments'""")
 def _(spark, sf):
     base, live = _sides(spark, sf)
-    return drift.drift_check(base, live).select(
-        "domain", "drift_detected", F.size("psi_by_feature").cast("long").alias("features")
+    silent = base.where("domain = 'payments'").withColumn("domain", F.lit("silent"))
+    return drift.drift_check(base.unionByName(silent), live).select(
+        "domain", "drift_detected", _as_text("psi_by_feature").alias("psi"), _as_text("ks_stat_by_feature").alias("ks_stat")
     )
 
 
 @register("m5_model_metrics", f"""
 SELECT 'ensemble-' || domain AS model_id, n AS events_scored, {rnd('n / 30.0::DOUBLE', 'throughput_eps')},
   {rnd('v[CAST(least(floor(n * 0.5::DOUBLE), n - 1) AS INTEGER) + 1]', 'p50_inference_ms')},
-  {rnd('v[CAST(least(floor(n * 0.99::DOUBLE), n - 1) AS INTEGER) + 1]', 'p99_inference_ms')}, drift_detected
+  {rnd('v[CAST(least(floor(n * 0.99::DOUBLE), n - 1) AS INTEGER) + 1]', 'p99_inference_ms')}, drift_detected, psi, ks_stat
 FROM (SELECT domain, count(*) AS n, list_sort(list(latency_p50_ms)) AS v FROM t_windows GROUP BY domain)
-JOIN (SELECT domain, bool_or(psi > 0.2 OR ks_pvalue < 0.01) AS drift_detected
-  FROM t_psi JOIN t_ksx USING (domain, feature) GROUP BY domain) USING (domain)""")
+JOIN (SELECT domain, bool_or(psi > 0.2 OR ks_pvalue < 0.01) AS drift_detected, {_map_sql('psi', 'psi')}, {_map_sql('ks_stat', 'ks_stat')}
+  FROM t_psi JOIN t_ksx USING (domain, feature) GROUP BY domain) USING (domain)
+UNION ALL SELECT 'ensemble-silent', 0, 0, 0, 0, false, {_map_sql('0', 'psi')}, {_map_sql('0', 'ks_stat')} FROM t_psi WHERE domain = 'payments'""")
 def _(spark, sf):
     base, live = _sides(spark, sf)
+    silent = base.where("domain = 'payments'").withColumn("domain", F.lit("silent"))
     return drift.model_metrics(
-        tb.windows(spark, sf), drift.drift_check(base, live), 30.0, F.lit(tb.NOW), timing="latency_p50_ms"
-    ).select("model_id", "events_scored", "throughput_eps", "p50_inference_ms", "p99_inference_ms", "drift_detected")
+        tb.windows(spark, sf), drift.drift_check(base.unionByName(silent), live), 30.0, F.lit(tb.NOW), timing="latency_p50_ms"
+    ).select("model_id", "events_scored", "throughput_eps", "p50_inference_ms", "p99_inference_ms", "drift_detected",
+             _as_text("psi_by_feature").alias("psi"), _as_text("ks_stat_by_feature").alias("ks_stat"))
+
+
+# Metrics of one interval with a baseline that is frozen by the call itself.
+@register("m5_monitor", """
+SELECT 'ensemble-' || domain AS model_id, CAST(count(*) AS BIGINT) AS events_scored, 8 AS features FROM t_windows GROUP BY domain""")
+def _(spark, sf):
+    scored = _vectors(spark, sf).withColumn("inference_ms", F.lit(1.0))
+    return monitoring.monitor(scored, _folder(spark), 30.0, F.lit(tb.NOW)).select(
+        "model_id", "events_scored", F.size("psi_by_feature").alias("features"))
 
 
 # --- labels, training, evaluation ----------------------------------------
@@ -842,6 +901,14 @@ def _(spark, sf):
     return evaluation.evaluation_report(tb.marked(spark, sf))
 
 
+@register("t15_overall_report", f"""
+SELECT c.*, windows_evaluated, episodes, episodes_detected, {rnd('episodes_detected / nullif(episodes, 0)', 'episode_detection_rate')}
+FROM (SELECT {_CONFUSION.format(key="", rest="")}) c, (SELECT count(*) AS windows_evaluated FROM t_marked),
+  (SELECT count(*) AS episodes, count(detected_at) AS episodes_detected FROM t_episodes)""")
+def _(spark, sf):
+    return evaluation.overall_report(tb.marked(spark, sf))
+
+
 # The market half of T1, T2 and T7-T15.
 
 def register_market(name: str, sql: str | None = None):
@@ -911,6 +978,11 @@ def _(spark, sf):
     return evaluation.evaluation_report(tb.marked_market(spark, sf))
 
 
+@register_market("t15_overall_report")
+def _(spark, sf):
+    return evaluation.overall_report(tb.marked_market(spark, sf))
+
+
 # --- rollups and reads ---------------------------------------------------
 
 def _bucket(ts: str, seconds: int) -> str:

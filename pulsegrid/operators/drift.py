@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from pulsegrid.functions.quantile import exact_quantiles
 from pulsegrid.functions.scan import BLOCK, running, value_block
+from pulsegrid.functions.scratch import publish_once
 from pulsegrid.operators.refit import BUFFER, FIRST_FIT
 from pulsegrid.operators.sequence import feature_names_of
 
@@ -160,12 +161,13 @@ def _exact_pvalues(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
 def drift_features(baseline: DataFrame, live: DataFrame, min_live: int = MIN_LIVE) -> DataFrame:
     """PSI, KS and p-value per (domain, feature) of two vector frames.
 
-    A domain without a baseline or with fewer than ``min_live`` live rows reports
+    A domain without a baseline or with fewer than ``min_live`` live rows, also one that has fallen silent, reports
     zeros and a p-value of 1.
     """
+    # One row per domain of either side.
     enough = live.groupBy("domain").agg(F.count(F.lit(1)).alias("_live")).join(
-        baseline.select("domain").distinct().withColumn("_based", F.lit(True)), "domain", "left"
-    )
+        baseline.select("domain").distinct().withColumn("_based", F.lit(True)), "domain", "full"
+    ).na.fill(0, ["_live"])
     base, now = long_features(baseline), long_features(live)
     measured = psi(base, now).join(ks_two_sample(base, now), _KEYS, "full")
     valid = F.coalesce("_based", F.lit(False)) & (F.col("_live") >= min_live)
@@ -226,18 +228,24 @@ def freeze_baseline(vectors: DataFrame, path: str, n: int = FIRST_FIT) -> DataFr
     """The saved baseline of each domain; domains that have none yet get their first ``n`` vectors.
 
     A stored baseline never moves: drift against a refreshed one could not be seen.
+    Each domain has a folder of its own that is written once: of two runs at the same time one writes, the other takes what it finds.
     """
     spark = vectors.sparkSession
     slim = vectors.select("domain", "entity_key", "window_end", "vector")
-    try:
-        stored = spark.read.schema(slim.schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        stored = slim.limit(0)
+
+    def stored() -> DataFrame:
+        try:
+            return spark.read.schema(slim.schema).parquet(path).select(*slim.columns)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return slim.limit(0)
+
     # Few rows: at most n per domain, and a domain counts once its buffer is full.
     full = Window.partitionBy("domain")
-    fresh = baseline_vectors(slim.join(stored.select("domain").distinct(), "domain", "left_anti"), n)
+    fresh = baseline_vectors(slim.join(stored().select("domain").distinct(), "domain", "left_anti"), n)
     fresh = fresh.withColumn("_n", F.count(F.lit(1)).over(full)).where(F.col("_n") == n).drop("_n")
-    fresh.write.mode("append").parquet(path)
-    return spark.read.schema(slim.schema).parquet(path)
+    for row in fresh.select("domain").distinct().collect():
+        mine = fresh.where(F.col("domain") == row["domain"]).drop("domain").coalesce(1)
+        publish_once(mine, f"{path.rstrip('/')}/domain={row['domain']}")
+    return stored()

@@ -180,7 +180,7 @@ def mean_delay(eps: DataFrame) -> DataFrame:
 
 
 def evaluation_report(df: DataFrame) -> DataFrame:
-    """Per label: episodes, detected, detection rate, window recall and mean delay."""
+    """Per label: episodes, detected, detection rate, window recall and mean delay; ``overall_report`` has the totals."""
     eps = episodes(df)
     counted = eps.groupBy("scenario_label").agg(
         F.count(F.lit(1)).alias("episodes"), F.count("detected_at").alias("episodes_detected")
@@ -195,3 +195,12 @@ def evaluation_report(df: DataFrame) -> DataFrame:
             "window_recall", "mean_detection_delay_s",
         )
     )
+
+
+def overall_report(df: DataFrame) -> DataFrame:
+    """One row: windows evaluated, confusion counts and rates over all of them, episodes and how many were detected."""
+    eps = episodes(df).agg(F.count(F.lit(1)).alias("episodes"), F.count("detected_at").alias("episodes_detected"))
+    totals = df.agg(F.count(F.lit(1)).alias("windows_evaluated"), *_confusion_columns())
+    # Each side is one row.
+    return totals.withColumn("_one", F.lit(1)).join(eps.withColumn("_one", F.lit(1)), "_one").drop("_one").withColumn(
+        "episode_detection_rate", F.try_divide("episodes_detected", "episodes"))

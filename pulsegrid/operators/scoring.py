@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.expr import clamp, rfc3339, uuid5
-from pulsegrid.functions.scan import BLOCK, running, time_block
 from pulsegrid.operators.sequence import feature_names_of
 
 # Detector weights, rule tiers and the alert id namespace.
@@ -39,6 +38,7 @@ RULES = {
 }
 
 ALERT_KEYS = ["domain", "entity_key", "window_end", "alert_id"]
+_SPAN_SALTS = 8
 
 
 def ensemble(df: DataFrame, name: str = "anomaly_score") -> DataFrame:
@@ -173,25 +173,46 @@ def latest_alerts(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def drift_asof(
-    alerts: DataFrame, checks: DataFrame, block_seconds: float = 3600.0, ts: str = "ts"
-) -> DataFrame:
-    """Set ``drift_flag`` to the domain's latest check at or before the alert; false before any.
+def drift_spans(checks: DataFrame) -> DataFrame:
+    """When a domain is in drift: rows ``domain, since, until`` from its checks (``domain, ts, drift_detected``).
 
-    Alerts and checks share one time line that is cut into time blocks, so a
-    domain is never sorted in one task; the last flag of earlier blocks is carried.
+    A check holds from its ``ts`` up to the next one; touching spans are one, and ``until`` is null while drift lasts. Several checks of one
+    instant count as drift if any does. Checks are few: one per domain and check interval.
     """
-    carried = [c for c in alerts.columns if c != "drift_flag"]
-    a = alerts.select(
-        "domain", F.col(ts).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("boolean").alias("_flag"),
-        F.struct(*carried).alias("_row"),
-    )
-    c = checks.select(
-        "domain", F.col("ts").alias("_at"), F.lit(0).alias("_kind"), F.col("drift_detected").alias("_flag"),
-        F.lit(None).cast(a.schema["_row"].dataType).alias("_row"),
-    )
-    line = a.unionByName(c).withColumn(BLOCK, time_block(F.col("_at"), block_seconds))
-    seen = running(line, ["domain"], ["_at", "_kind"], {"_last": ("last", F.col("_flag"))})
-    return seen.where("_kind = 1").select(
-        "_row.*", F.coalesce("_last", F.lit(False)).alias("drift_flag")
+    at = checks.groupBy("domain", "ts").agg(F.bool_or("drift_detected").alias("_flag"))
+    line = Window.partitionBy("domain").orderBy("ts")
+    turns = at.withColumn("_before", F.coalesce(F.lag("_flag").over(line), F.lit(False))).where("_flag <> _before")
+    return turns.withColumn("until", F.lead("ts").over(line)).where("_flag").select(
+        "domain", F.col("ts").alias("since"), "until")
+
+
+def in_drift(rows: DataFrame, spans: DataFrame, ts: str = "ts", slot_seconds: float = 3600.0, salt: str = "alert_id",
+             name: str = "drift_flag") -> DataFrame:
+    """Set ``name``: whether a row's ``ts`` lies in a span of its domain.
+
+    Rows and closed spans meet on (domain, time slot, salt), so rows are never sorted and a busy domain is spread over
+    tasks; spans do not overlap, so a row meets one at most. A domain's open span is one row per domain.
+    """
+    def slot(c: Column) -> Column:
+        return F.floor(F.unix_micros(c) / int(slot_seconds * 1_000_000)).cast("long")
+
+    closed = spans.where("until is not null").select(
+        F.col("domain").alias("_domain"), "since", "until",
+        F.explode(F.sequence(slot(F.col("since")), slot(F.col("until")))).alias("_slot"),
+    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SPAN_SALTS - 1))))
+    still = spans.where("until is null").groupBy(F.col("domain").alias("_open")).agg(F.min("since").alias("_from"))
+    placed = rows.drop(name).withColumns({
+        "_at": slot(F.col(ts)), "_part": F.pmod(F.xxhash64(salt), F.lit(_SPAN_SALTS)).cast("int")})
+    inside = (
+        (F.col("domain") == F.col("_domain")) & (F.col("_at") == F.col("_slot")) & (F.col("_part") == F.col("_salt"))
+        & (F.col(ts) >= F.col("since")) & (F.col(ts) < F.col("until"))
     )
+    # The open spans are one row per domain, and there are two domains.
+    met = placed.join(closed, inside, "left").join(F.broadcast(still), F.col("domain") == F.col("_open"), "left")
+    flag = F.col("since").isNotNull() | F.coalesce(F.col(ts) >= F.col("_from"), F.lit(False))
+    return met.withColumn(name, flag).select(*[c for c in rows.columns if c != name], name)
+
+
+def drift_asof(alerts: DataFrame, checks: DataFrame, slot_seconds: float = 3600.0, ts: str = "ts") -> DataFrame:
+    """Set ``drift_flag`` to the domain's latest check at or before the alert; false before any."""
+    return in_drift(alerts, drift_spans(checks), ts, slot_seconds)

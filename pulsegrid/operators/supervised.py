@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.scratch import materialize
+from pulsegrid.functions.scratch import file_system, materialize
 from pulsegrid.operators import booster
 from pulsegrid.operators.booster import Booster
 from pulsegrid.operators.calibration import calibrate
@@ -209,13 +209,11 @@ def save_model(spark: SparkSession, path: str, domain: str, model: Booster, cali
 
 def _versions(spark: SparkSession, path: str, domain: str) -> list[tuple[int, bool]]:
     """Number of every version folder, and whether its model has been written to the end."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{domain}")
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, top = file_system(spark, f"{path.rstrip('/')}/{domain}")
     if not fs.exists(top):
         return []
     found = [s.getPath() for s in fs.listStatus(top) if s.getPath().getName()[1:].isdigit()]
-    return [(int(p.getName()[1:]), fs.exists(jvm.org.apache.hadoop.fs.Path(p, "model/_SUCCESS"))) for p in found]
+    return [(int(p.getName()[1:]), fs.exists(p.suffix("/model/_SUCCESS"))) for p in found]
 
 
 def load_model(spark: SparkSession, path: str, domain: str) -> tuple[Booster | None, DataFrame | None]:

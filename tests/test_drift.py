@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -108,7 +109,8 @@ def test_too_few_rows_or_no_baseline_report_zeros(spark):
     assert not row["drift_detected"] and set(row["psi_by_feature"].values()) == {0.0}
     other = vector_frame(spark, rng.normal(size=(50, 8)), "payments")
     got = drift_features(base, other).toPandas()
-    assert len(got) == 8 and (got["psi"] == 0).all() and (got["ks_stat"] == 0).all()
+    # The domain without a baseline and the silent one.
+    assert len(got) == 16 and (got["psi"] == 0).all() and (got["ks_stat"] == 0).all()
 
 
 def test_baseline_and_live_are_the_ends_of_each_domain(spark):
@@ -149,3 +151,28 @@ def test_constant_feature_reports_zero(spark):
     assert [r["psi"] for r in psi(frame, frame).collect()] == [0.0]
     with pytest.raises(ValueError):
         ks_two_sample(frame, frame, method="other")
+
+
+def test_a_silent_domain_reports_zeros(spark):
+    rng = np.random.default_rng(1)
+    schema = "domain string, entity_key string, window_end timestamp, vector array<double>"
+    rows = [(d, "e", at(i), rng.normal(size=8).tolist()) for d in ("market", "payments") for i in range(60)]
+    base = spark.createDataFrame(rows, schema)
+    live = base.where("domain = 'market'")
+    got = {r["domain"]: r for r in drift_check(base, live).collect()}
+    assert set(got) == {"market", "payments"} and not got["payments"]["drift_detected"]
+    assert set(got["payments"]["psi_by_feature"].values()) == {0.0} and len(got["payments"]["psi_by_feature"]) == 8
+    scored = live.withColumn("inference_ms", F.lit(2.0))
+    rows = {r["model_id"]: r for r in model_metrics(scored, drift_check(base, live), 60.0, F.current_timestamp()).collect()}
+    assert rows["ensemble-payments"]["events_scored"] == 0 and rows["ensemble-payments"]["throughput_eps"] == 0.0
+    assert rows["ensemble-market"]["events_scored"] == 60
+
+
+def test_two_runs_freeze_one_baseline(spark, tmp_path):
+    schema = "domain string, entity_key string, window_end timestamp, vector array<double>"
+    frames = [spark.createDataFrame([("market", "e", at(i), [float(v)] * 8) for i in range(60)], schema) for v in (1, 2)]
+    path = str(tmp_path / "baseline")
+    with ThreadPoolExecutor(2) as pool:
+        got = list(pool.map(lambda df: freeze_baseline(df, path).count(), frames))
+    stored = spark.read.parquet(path)
+    assert got == [60, 60] and stored.count() == 60 and stored.select("vector").distinct().count() == 1

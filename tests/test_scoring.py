@@ -7,12 +7,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from builders import at
+from builders import FEATURE_SCHEMA, at
 from pulsegrid.functions.expr import rfc3339
 from pulsegrid.operators.scoring import (
-    ALERT_NAMESPACE, BASE_WEIGHTS, Tier, alert_id, apply_rules, drift_asof, ensemble, latest_alerts, probable_cause,
+    ALERT_NAMESPACE, BASE_WEIGHTS, Tier, alert_id, apply_rules, drift_asof, drift_spans, ensemble, latest_alerts, probable_cause,
     rules_from_config, top_features,
 )
+from pulsegrid.operators.windows import FEATURE_COLUMNS
+from pulsegrid.plans.pipeline import score_pipeline
 
 
 def detectors(spark, *values, xgboost=None):
@@ -126,3 +128,30 @@ def test_drift_flag_is_the_latest_check(spark):
     for domain, name, ts, _ in alerts:
         past = [(t, f) for d, t, f in checks if d == domain and t <= ts]
         assert got[name] == (max(past)[1] if past else False)
+
+
+def test_spans_of_drift_join_checks(spark):
+    flags = [(0, False), (10, True), (20, True), (30, False), (30, True), (40, False), (50, True)]
+    c = spark.createDataFrame([("market", at(t), f) for t, f in flags] + [("payments", at(5), False)],
+                              "domain string, ts timestamp, drift_detected boolean")
+    got = sorted(map(tuple, drift_spans(c).collect()), key=lambda r: r[1])
+    assert got == [("market", at(10), at(40)), ("market", at(50), None)]
+
+
+def test_scored_chain_is_planned_once_with_drift_checks(spark):
+    """Alerts are joined with spans, not sorted: one fit, one scan of the features."""
+    rng = np.random.default_rng(6)
+    rows = [("payments", "e", at(i * 5), at(i * 5 + 5), 5.0, 1, float(rng.normal()), 0.0) for i in range(80)]
+    base = spark.createDataFrame(rows, FEATURE_SCHEMA)
+    missing = [c for c in FEATURE_COLUMNS if c not in base.columns]
+    features = base.withColumns({c: F.lit(0.0) for c in [*missing, "ewma_mean", "ewma_var", "velocity_count"]})
+    checks = spark.createDataFrame([("payments", at(0), True)], "domain string, ts timestamp, drift_detected boolean")
+    rules = {"default": [Tier(0.0, "watch", "watch")]}
+    plans = {}
+    for name, c in (("without", None), ("with", checks)):
+        got = score_pipeline(features, F.col("window_end"), rules=rules, drift_checks=c)
+        plans[name] = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plans["with"].count("FlatMapGroupsInPandas") == plans["without"].count("FlatMapGroupsInPandas") == 1
+    # Lag and lead over the checks, once for closed and once for open spans; none over alerts.
+    assert plans["with"].count("Window ") == plans["without"].count("Window ") + 4
+    assert got.count() == 80 and got.where("drift_flag").count() == 80
