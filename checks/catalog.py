@@ -19,8 +19,11 @@ from pulsegrid.functions.scratch import materialize, scratch_root
 from pulsegrid.operators import calibration, detectors, drift, evaluation, refit, rollups, scoring, sequence, supervised
 from pulsegrid.operators import windows as win
 from pulsegrid.plans import monitoring, training
+from pulsegrid.plans.pipeline import statistical_scores
 from pulsegrid.sources import adapters, contracts, raw, tables
-from pulsegrid.streaming import streams
+from pulsegrid.streaming import alerts as stream_scoring
+from pulsegrid.streaming import batches, streams
+from pulsegrid.streaming import events as stream_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1152,8 +1155,8 @@ def _(spark, sf):
 # Each runs to the end of the given files; windows the watermark has not closed stay open.
 
 def _stream(spark, sf, name):
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream of four files, one micro-batch each, in order of time."""
+    return _replay(spark.read.parquet(f"{sf}/{name}.parquet"), {"events": "ts", "lineitem": "l_shipdate"}[name])
 
 
 def _folder(spark):
@@ -1185,15 +1188,27 @@ def _finished(spark, start: Callable):
 def _to_table(df: DataFrame) -> DataFrame:
     """Run a stream over all available input and return what it wrote."""
     spark, at = df.sparkSession, _folder(df.sparkSession)
-    _finished(spark, lambda: streams.write_stream(df, f"{at}/out", f"{at}/checkpoint", available_now=True))
+    _finished(spark, lambda: batches.write_stream(df, f"{at}/out", f"{at}/checkpoint", available_now=True))
     return spark.read.schema(df.schema).parquet(f"{at}/out")
 
 
-def _replay(df: DataFrame) -> DataFrame:
-    """A written table as a stream again."""
-    at = _folder(df.sparkSession)
-    df.write.parquet(at)
-    return df.sparkSession.readStream.schema(df.schema).parquet(at)
+def _replay(df: DataFrame, ts: str, files: int = 4, repeats: bool = False) -> DataFrame:
+    """A table as a stream that brings its stretches of time one by one, so that state crosses micro-batches.
+
+    With ``repeats`` every stretch also brings a third of the one before again, and some of its own rows twice.
+    """
+    spark, at = df.sparkSession, _folder(df.sparkSession)
+    df = materialize(df)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    low, high = df.agg(F.min(micros), F.max(micros)).first()
+    part = F.floor((micros - F.lit(low or 0)) * files / F.lit((high or 0) - (low or 0) + 1))
+    again = F.pmod(F.xxhash64(ts), F.lit(3)) == 0
+    for i in range(files):
+        rows = df.where(part == i)
+        if repeats:
+            rows = rows.unionByName(df.where((part == i - 1) & again)).unionByName(rows.where(again))
+        rows.coalesce(1).write.parquet(f"{at}/part={i}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(at)
 
 
 _CLOSED = "epoch_us(window_end) <= (SELECT floor((max(epoch_us(ts)) - 10000000) / 1000.0) * 1000 FROM events)"
@@ -1228,7 +1243,7 @@ SELECT entity_key, window_end, velocity_count, {rnd('ewma_mean')}, {rnd('ewma_va
   {rnd('ewma_score')}, {rnd('cusum_score')}
 FROM t_stat WHERE domain = 'payments' AND {_CLOSED}""")
 def _(spark, sf):
-    stated = streams.stream_state(_replay(_payment_windows_stream(spark, sf)))
+    stated = streams.stream_state(_replay(_payment_windows_stream(spark, sf), "window_end"))
     return _to_table(stated).select("entity_key", "window_end", *streams.STATE_COLUMNS)
 
 
@@ -1238,7 +1253,7 @@ FROM t_windows WHERE domain = 'market' AND {_TICKS_CLOSED}""")
 def _(spark, sf):
     ticks = adapters.market_events(spark, sf, _stream(spark, sf, "lineitem"))
     paired = _to_table(streams.add_prev_price(ticks))
-    return _windows_stream(_replay(paired), "market").select(
+    return _windows_stream(_replay(paired, "ts_event"), "market").select(
         "entity_key", "window_start", "count", "vwap", "realized_vol", "order_imbalance"
     )
 
@@ -1269,17 +1284,37 @@ def _(spark, sf):
 SELECT alert_id, entity_key, window_end, severity, action, probable_cause, {rnd('anomaly_score')}
 FROM t_alerts WHERE domain = 'payments' AND {_CLOSED}""")
 def _(spark, sf):
-    stated = streams.stream_state(_replay(_payment_windows_stream(spark, sf)))
-    stated = _replay(_to_table(stated))
+    stated = streams.stream_state(_replay(_payment_windows_stream(spark, sf), "window_end"))
+    stated = _replay(_to_table(stated), "window_end")
     at = _folder(spark)
-    _finished(spark, lambda: streams.stream_alerts(
-        stated, f"{at}/out", f"{at}/checkpoint", tb.closing_time(), rules=tb.UNTRAINED_RULES, available_now=True
+    _finished(spark, lambda: stream_scoring.stream_alerts(
+        stated, f"{at}/out", f"{at}/checkpoint", tb.closing_time(), rules=tb.UNTRAINED_RULES, models=False, available_now=True
     ))
     return spark.read.parquet(f"{at}/out").select(
         "alert_id", "entity_key", "window_end", "severity", "action", "explanation.probable_cause", "anomaly_score"
     )
 
 
+# All five detectors over four micro-batches, standard rules: the alerts of the batch chain, among them one of severity alert or more.
+@register("x4_stream_models", "SELECT DISTINCT domain, true AS equals_batch, true AS reaches_alert FROM t_windows")
+def _(spark, sf):
+    stated = _replay(statistical_scores(tb.features(spark, sf)), "window_end")
+    at = _folder(spark)
+    _finished(spark, lambda: stream_scoring.stream_alerts(
+        stated, f"{at}/out", f"{at}/checkpoint", tb.closing_time(), available_now=True))
+    return _same_alerts(spark.read.parquet(f"{at}/out"), scoring.build_alerts(tb.modelled(spark, sf), tb.closing_time(), "v1"))
+
+
+def _same_alerts(streamed, batch):
+    told = ("domain", "alert_id", "severity", "anomaly_score", "detectors.isolation_forest", "detectors.autoencoder", "explanation.probable_cause")
+    both = streamed.select(*told, F.lit(1).alias("s"), F.lit(0).alias("b")).unionByName(batch.select(*told, F.lit(0).alias("s"), F.lit(1).alias("b")))
+    kept = ["domain", *[c.rpartition(".")[2] for c in told[1:]]]
+    matched = both.withColumn("anomaly_score", F.round("anomaly_score", 9)).groupBy(*kept).agg(F.sum("s").alias("s"), F.sum("b").alias("b"))
+    return matched.groupBy("domain").agg(
+        F.bool_and((F.col("s") == 1) & (F.col("b") == 1)).alias("equals_batch"),
+        F.bool_or(F.col("severity").isin("alert", "critical")).alias("reaches_alert"))
+
+
 _ALERTS_CLOSED = "epoch_us(bucket) + {0}000000 <= (SELECT max(epoch_us({1})) - 10000000 FROM {2})"
 
 
@@ -1287,26 +1322,127 @@ _ALERTS_CLOSED = "epoch_us(bucket) + {0}000000 <= (SELECT max(epoch_us({1})) - 1
 SELECT bucket, domain, severity, alert_count, {rnd('sum_anomaly_score')}, {rnd('sum_latency_ms')} FROM {_R1}
 WHERE {_ALERTS_CLOSED.format(300, 'ts', 't_alerts')}""")
 def _(spark, sf):
-    return _to_table(streams.stream_rollup(_replay(tb.alerts(spark, sf)), "alerts_5m"))
+    return _to_table(stream_scoring.stream_rollup(_replay(tb.alerts(spark, sf), "ts", repeats=True), "alerts_5m"))
 
 
 @register("x5_stream_throughput_1m", f"""
 SELECT * FROM {_R2} WHERE {_ALERTS_CLOSED.format(60, 'window_end', 't_windows')}""")
 def _(spark, sf):
-    return _to_table(streams.stream_rollup(_replay(tb.windows(spark, sf)), "throughput_1m"))
+    return _to_table(stream_scoring.stream_rollup(_replay(tb.windows(spark, sf), "window_end", repeats=True), "throughput_1m"))
 
 
 @register("x5_stream_causes_1h", f"""
 SELECT * FROM {_R3} WHERE {_ALERTS_CLOSED.format(3600, 'ts', 't_alerts')}""")
 def _(spark, sf):
-    return _to_table(streams.stream_rollup(_replay(tb.alert_rows(spark, sf).drop("detectors")), "causes_1h"))
+    return _to_table(stream_scoring.stream_rollup(_replay(tb.alert_rows(spark, sf).drop("detectors"), "ts", repeats=True), "causes_1h"))
 
 
 @register("x7_observed", "SELECT count(*) AS seen, count(CASE WHEN status = 'declined' THEN 1 END) AS declined FROM t_pay")
 def _(spark, sf):
     events = adapters.payments_events(spark, sf, _stream(spark, sf, "events"))
     at = _folder(spark)
-    counted = streams.observed(events, "events_in", "p_status", contracts.STATUSES)
-    query = _finished(spark, lambda: streams.write_stream(counted, f"{at}/out", f"{at}/checkpoint", available_now=True))
-    seen = streams.observed_counts(query, "events_in")
+    counted = batches.observed(events, "events_in", "p_status", contracts.STATUSES)
+    query = _finished(spark, lambda: batches.write_stream(counted, f"{at}/out", f"{at}/checkpoint", available_now=True))
+    seen = batches.observed_counts(query, "events_in")
     return spark.createDataFrame([(seen.get("rows", 0), seen.get("declined", 0))], "seen long, declined long")
+
+
+# Lines in four files by time; every 400th event of the first file comes in the last one, every eleventh line is cut short,
+# every thirteenth has a bad status.
+def _late_lines(spark, sf):
+    at = _folder(spark)
+    lines = materialize(_lines(spark, sf).withColumn("ts", F.to_timestamp(F.get_json_object("line", "$.ts_event"))).join(
+        adapters.payments_events(spark, sf).select("seq", F.col("ts_event").alias("_ts")), "seq"))
+    low, high = lines.agg(F.min(F.unix_micros("_ts")), F.max(F.unix_micros("_ts"))).first()
+    part = F.floor((F.unix_micros("_ts") - F.lit(low)) * 4 / F.lit(high - low + 1))
+    moved = F.when((part == 0) & (F.col("seq") % 400 == 1), F.lit(3)).otherwise(part)
+    for i in range(4):
+        lines.where(moved == i).select(F.col("line").alias("value")).coalesce(1).write.parquet(f"{at}/part={i}")
+    return spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(at)
+
+
+_once_late: dict[tuple[str, str], str] = {}
+
+
+def _late_run(spark, sf):
+    """Folder with events in time, late events and dead letters of one run over the lines; once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _once_late:
+        at = _folder(spark)
+        _finished(spark, lambda: stream_events.stream_events(
+            _late_lines(spark, sf), f"{at}/events", f"{at}/bad", f"{at}/check/events", strict_ids=False, available_now=True))
+        parsed = spark.read.parquet(f"{at}/events")
+        stream = spark.readStream.schema(parsed.drop("batch").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{at}/events")
+        _finished(spark, lambda: stream_events.split_late(
+            stream, adapters.SIZES, f"{at}/on_time", f"{at}/late", f"{at}/check/late", available_now=True))
+        _once_late[key] = at
+    return _once_late[key]
+
+
+_PLACED = """(SELECT *, CASE WHEN part = 0 AND seq % 400 = 1 THEN 3 ELSE part END AS file FROM (
+  SELECT *, CAST(floor((epoch_us(ts_event) - (SELECT min(epoch_us(ts_event)) FROM t_pay)) * 4.0
+    / ((SELECT max(epoch_us(ts_event)) - min(epoch_us(ts_event)) FROM t_pay) + 1)) AS INTEGER) AS part FROM t_pay))"""
+_WINDOW_6H = "make_timestamp(CAST(floor(epoch_us(ts_event) / 21600000000.0) AS BIGINT) * 21600000000)"
+
+
+@register("x6_late", f"""
+SELECT domain, entity_key, window_start, count(*) AS late_events FROM (
+  SELECT domain, entity_key, {_WINDOW_6H} AS window_start, file FROM {_PLACED} WHERE seq % 11 <> 0 AND seq % 13 <> 0)
+WHERE epoch_us(window_start) + 21600000000 <= (SELECT max(epoch_us(ts_event)) FROM {_PLACED}
+  WHERE file < 3 AND seq % 11 <> 0 AND seq % 13 <> 0) - 10000000 AND file = 3
+GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    return stream_events.late_counts(spark.read.parquet(f"{_late_run(spark, sf)}/late"))
+
+
+@register("x6_on_time", f"""
+SELECT entity_key, count(*) AS events FROM {_PLACED}
+WHERE seq % 11 <> 0 AND seq % 13 <> 0 AND NOT (file = 3 AND epoch_us({_WINDOW_6H}) + 21600000000 <=
+  (SELECT max(epoch_us(ts_event)) FROM {_PLACED} WHERE file < 3 AND seq % 11 <> 0 AND seq % 13 <> 0) - 10000000)
+GROUP BY entity_key""")
+def _(spark, sf):
+    return spark.read.parquet(f"{_late_run(spark, sf)}/on_time").groupBy("entity_key").agg(F.count(F.lit(1)).alias("events"))
+
+
+@register("x6_dead_letters", """
+SELECT CASE WHEN seq % 11 = 0 THEN 'not_json' ELSE 'incomplete' END AS reason, count(*) AS lines FROM t_pay
+WHERE seq % 11 = 0 OR seq % 13 = 0 GROUP BY 1""")
+def _(spark, sf):
+    return stream_events.bad_counts(spark.read.parquet(f"{_late_run(spark, sf)}/bad"))
+
+
+# A streamed table partitioned by date, read back through its partition filter.
+@register("s8_stream_table", """
+SELECT entity_key, count(*) AS events FROM t_pay WHERE ts_event > TIMESTAMP '2024-01-23' GROUP BY entity_key""")
+def _(spark, sf):
+    at = _folder(spark)
+    wide = raw.flatten_raw(_nested(adapters.payments_events(spark, sf, _stream(spark, sf, "events"))))
+    _finished(spark, lambda: batches.write_stream(
+        wide, f"{at}/out", f"{at}/checkpoint", available_now=True, partition_by=["ingest_date"]))
+    recent = tables.since(spark.read.parquet(f"{at}/out"), "ts_ingest", timedelta(days=7), tb.NOW)
+    return recent.groupBy("entity_key").agg(F.count(F.lit(1)).alias("events"))
+
+
+# Dates past their time are dropped from storage, the others compacted to one file each.
+@register("s12_expire", """
+SELECT CAST(ts_event AS DATE) AS ingest_date, count(*) AS events, CAST(1 AS BIGINT) AS files FROM t_pay
+WHERE CAST(ts_event AS DATE) + 7 > DATE '2024-01-30' GROUP BY 1""")
+def _(spark, sf):
+    path = f"{_folder(spark)}/raw"
+    wide = raw.flatten_raw(_nested(adapters.payments_events(spark, sf)))
+    for i in range(3):  # small files, as a stream leaves them
+        tables.write_table(wide.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == i), path, "raw_events")
+    tables.expire(spark, path, tables.RETENTION_DAYS["raw_events"], tb.NOW.date())
+    tables.compact(spark, path, "raw_events", tb.NOW.date() + timedelta(days=1))
+    kept = spark.read.parquet(path).withColumn("_file", F.input_file_name())
+    return kept.groupBy("ingest_date").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("_file").alias("files"))
+
+
+# The same alerts in four micro-batches with repeats, merged by date: each id once.
+@register("e8_upsert_alerts", f"""
+SELECT alert_id, entity_key, ts, severity, {rnd('anomaly_score')} FROM t_alerts""")
+def _(spark, sf):
+    at = _folder(spark)
+    _finished(spark, lambda: stream_scoring.stream_upsert(
+        _replay(tb.alerts(spark, sf), "ts", repeats=True), f"{at}/table", f"{at}/checkpoint", available_now=True))
+    return spark.read.parquet(f"{at}/table").select("alert_id", "entity_key", "ts", "severity", "anomaly_score")

@@ -137,8 +137,9 @@ def _score(vectors: DataFrame, scorers: dict[str, Callable], first: int, every:
            with_baseline: bool = False) -> DataFrame:
     ordered = vectors if "vector_no" in vectors.columns else domain_order(vectors)
     scores = _per_epoch(refit_groups(ordered, first, every, buffer), scorers, with_baseline)
-    keep = [c for c in ordered.columns if c not in scorers]
-    return ordered.select(*keep).join(scores.drop("epoch"), ["domain", "vector_no"], "left").withColumns(
+    keep = [c for c in ordered.columns if c not in scorers and c != "is_new"]
+    asked = ordered.where("is_new") if "is_new" in ordered.columns else ordered
+    return asked.select(*keep).join(scores.drop("epoch"), ["domain", "vector_no"], "left").withColumns(
         {n: F.coalesce(n, F.lit(0.0)) for n in scorers}  # 0 until the first fit
     )
 
@@ -168,7 +169,10 @@ def rolling_detectors(
     vectors: DataFrame, buffer: int = BUFFER, first: int = FIRST_FIT, every: int = REFIT_EVERY,
     trees: int = TREES, seed: int = SEED,
 ) -> DataFrame:
-    """Both rolling scores and each row's fit baseline (``base_mean``, ``base_std``) in one pass."""
+    """Both rolling scores and each row's fit baseline (``base_mean``, ``base_std``) in one pass.
+
+    Rows that are numbered already and marked ``is_new = false`` train only.
+    """
     def forest(train, probe, salt):
         return isolation_scores(train, probe, seed + salt, trees)
 

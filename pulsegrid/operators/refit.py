@@ -47,9 +47,11 @@ def refit_groups(
     Epochs that score nothing are left out.
     """
     n = F.col("vector_no")
-    latest = F.max("vector_no").alias("_latest")
-    newest = numbered_vectors.groupBy("domain").agg(latest)
-    first_epoch = F.greatest(F.ceil((n - first) / every), F.lit(0))
+    # Rows marked as not new are there to be trained on only: what a stream keeps of earlier batches.
+    fresh = F.col("is_new") if "is_new" in numbered_vectors.columns else F.lit(True)
+    newest = numbered_vectors.groupBy("domain").agg(
+        F.max("vector_no").alias("_latest"), F.min(F.when(fresh, n)).alias("_oldest")).where("_oldest is not null")
+    first_epoch = F.greatest(F.ceil((n - first) / every), F.floor((F.col("_oldest") - first) / every), F.lit(0))
     last_epoch = F.least(
         F.floor((n + (buffer - 1 - first)) / every), F.floor((F.col("_latest") - first) / every)
     )
@@ -57,11 +59,11 @@ def refit_groups(
         numbered_vectors.join(newest, "domain")
         .where((last_epoch >= first_epoch) & (F.col("_latest") >= first))
         .withColumn("epoch", F.explode(F.sequence(first_epoch.cast("long"), last_epoch.cast("long"))))
-        .drop("_latest")
+        .drop("_latest", "_oldest")
         .withColumn("role", F.lit("train"))
     )
     scored = (
-        numbered_vectors.where(n >= first)
+        numbered_vectors.where(fresh & (n >= first))
         .withColumn("epoch", F.floor((n - first) / every).cast("long"))
         .withColumn("role", F.lit("score"))
     )

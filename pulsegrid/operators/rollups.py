@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,27 +31,37 @@ def bucket(ts: str, seconds: int) -> Column:
     return F.timestamp_micros(F.floor(F.unix_micros(ts) / F.lit(width)).cast("long") * width)
 
 
+def _alert_sums() -> list[Column]:
+    return [F.count(F.lit(1)).alias("alert_count"), F.sum("anomaly_score").alias("sum_anomaly_score"),
+            F.sum("latency_ingest_to_alert_ms").alias("sum_latency_ms")]
+
+
+#: Per rollup: time column, bucket width in words, dimensions, aggregates. Shared with the streams.
+ROLLUPS: dict[str, tuple[str, str, list[str], Callable[[], list[Column]]]] = {
+    "alerts_5m": ("ts", "300 seconds", ["domain", "severity"], _alert_sums),
+    "throughput_1m": ("window_end", "60 seconds", ["domain", "entity_key"], lambda: [F.sum("count").alias("events")]),
+    "causes_1h": ("ts", "3600 seconds", ["domain", "probable_cause"], lambda: [F.count(F.lit(1)).alias("alert_count")]),
+}
+
+
+def _rollup(df: DataFrame, name: str) -> DataFrame:
+    ts, width, dims, aggs = ROLLUPS[name]
+    return df.groupBy(bucket(ts, int(width.split(" ")[0])).alias("bucket"), *dims).agg(*aggs())
+
+
 def alerts_5m(alerts: DataFrame) -> DataFrame:
     """Alert count, score sum and latency sum per five minutes; sums merge, averages do not."""
-    return alerts.groupBy(bucket("ts", 300).alias("bucket"), "domain", "severity").agg(
-        F.count(F.lit(1)).alias("alert_count"),
-        F.sum("anomaly_score").alias("sum_anomaly_score"),
-        F.sum("latency_ingest_to_alert_ms").alias("sum_latency_ms"),
-    )
+    return _rollup(alerts, "alerts_5m")
 
 
 def throughput_1m(features: DataFrame) -> DataFrame:
     """Events per entity and minute of window end."""
-    return features.groupBy(bucket("window_end", 60).alias("bucket"), "domain", "entity_key").agg(
-        F.sum("count").alias("events")
-    )
+    return _rollup(features, "throughput_1m")
 
 
 def causes_1h(alerts: DataFrame) -> DataFrame:
     """Alerts per probable cause and hour (storage rows, with a flat ``probable_cause``)."""
-    return alerts.groupBy(bucket("ts", 3600).alias("bucket"), "domain", "probable_cause").agg(
-        F.count(F.lit(1)).alias("alert_count")
-    )
+    return _rollup(alerts, "causes_1h")
 
 
 def merge_rollup(partials: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -47,6 +47,13 @@ def score_windows(
             "isolation_forest": F.lit(0.0), "autoencoder": F.lit(0.0),
             "base_mean": F.lit(None).cast("array<double>"), "base_std": F.lit(None).cast("array<double>"),
         })
+    return explain_windows(scored, rules, supervised)
+
+
+def explain_windows(
+    scored: DataFrame, rules: dict[str, list[Tier]] | None = None, supervised: dict[str, Trained] | None = None
+) -> DataFrame:
+    """Windows with all detector scores to ensemble, rules, attributions and cause; nothing here needs another window."""
     boosters = {d: m.model for d, m in (supervised or {}).items() if m.model is not None}
     curves = [m.calibration.select(F.lit(d).alias("domain"), "x", "y") for d, m in (supervised or {}).items() if m.calibration is not None]
     scored = supervised_scores(scored, boosters, functools.reduce(DataFrame.unionByName, curves) if curves else None)

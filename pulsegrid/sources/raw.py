@@ -62,6 +62,13 @@ def parse_raw(df: DataFrame, col: str = "line", strict_ids: bool = True) -> tupl
     return good, bad
 
 
+def bad_reason(line: Column) -> Column:
+    """Why a line is bad: ``not_json``, ``no_domain`` (neither of the two), or ``incomplete`` (a field missing or illegal)."""
+    domain = F.get_json_object(line, "$.domain")
+    return F.when(F.get_json_object(line, "$").isNull(), "not_json").when(
+        ~F.coalesce(domain.isin("market", "payments"), F.lit(False)), "no_domain").otherwise("incomplete")
+
+
 def stamp_ingest(df: DataFrame, now: Column | None = None) -> DataFrame:
     """Set the receipt time; ``now`` is injectable for tests and replays."""
     return df.withColumn("ts_ingest", F.current_timestamp() if now is None else now)

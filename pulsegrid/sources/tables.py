@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.scratch import file_system, materialize
 from pulsegrid.sources.contracts import DETECTORS, TOP_FEATURES
 
 # Days each table is kept.
@@ -54,6 +55,45 @@ def retain(df: DataFrame, days: int, today: Column | None = None) -> DataFrame:
     return df.where(F.date_add("ingest_date", days) > current)
 
 
+def expire(spark: SparkSession, path: str, days: int, today: date) -> list[date]:
+    """Delete the date folders of a table whose ``ingest_date + days`` is not in the future; returns their dates."""
+    old = [d for d in _dates(spark, path) if d + timedelta(days=days) <= today]
+    fs, top = file_system(spark, path)
+    for d in old:
+        fs.delete(top.suffix(f"/ingest_date={d}"), True)
+    return old
+
+
+def compact(spark: SparkSession, path: str, table: str, today: date, most_files: int = 1, file_bytes: int = 1 << 29) -> list[date]:
+    """Rewrite past dates that hold more than ``most_files`` files, and more than their bytes need; returns their dates.
+
+    A date is read, written to scratch in files of about ``file_bytes`` and put in place of its folder by one overwrite of that partition.
+    Dates that still grow (``today`` on) are left alone. One writer at a time; not for folders with a stream's commit log.
+    """
+    fs, top = file_system(spark, path)
+    done = []
+    for d in _dates(spark, path):
+        folder = top.suffix(f"/ingest_date={d}")
+        files = [s for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
+        needed = max(most_files, -(-sum(s.getLen() for s in files) // file_bytes))
+        if d >= today or len(files) <= needed:
+            continue
+        rows = spark.read.parquet(folder.toString()).withColumn("ingest_date", F.lit(d))
+        keys = [c for c in ("domain", "entity_key") if c in rows.columns]
+        dealt = rows.repartitionByRange(needed, *keys, _TIME_COLUMN[table]) if needed > 1 else rows.coalesce(1)
+        stored = materialize(dealt.sortWithinPartitions(*keys, _TIME_COLUMN[table]))
+        stored.coalesce(needed).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "ingest_date").parquet(path)
+        done.append(d)
+    return done
+
+
+def _dates(spark: SparkSession, path: str) -> list[date]:
+    fs, top = file_system(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
+    return sorted(date.fromisoformat(n.removeprefix("ingest_date=")) for n in names if n.startswith("ingest_date=2"))
+
+
 def read_events(
     spark: SparkSession, kind: str = "files", *, path: str | None = None, servers: str | None = None,
     topic: str | None = None, files_per_trigger: int = 100,

@@ -13,7 +13,8 @@ from pulsegrid.operators.sequence import velocity
 from pulsegrid.operators.windows import window_features
 from pulsegrid.plans.pipeline import statistical_scores
 from pulsegrid.sources.tables import read_events
-from pulsegrid.streaming import streams
+from pulsegrid.streaming import alerts, batches, streams
+from pulsegrid.streaming import events as stream_events
 
 SIZES = {"market": 2.0, "payments": 5.0}
 
@@ -29,7 +30,7 @@ def feed(spark, path, frames):
 
 
 def drain(df, path, name="q"):
-    query = streams.write_stream(df, f"{path}/{name}/out", f"{path}/{name}/checkpoint", available_now=True)
+    query = batches.write_stream(df, f"{path}/{name}/out", f"{path}/{name}/checkpoint", available_now=True)
     query.awaitTermination()
     return query, df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}/out")
 
@@ -109,7 +110,7 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
               events(spark, [txn("m", 3, 2, 1.0)]), events(spark, [txn("m", 5, 200, 1.0)])]
     query, got = drain_windows(feed(spark, str(tmp_path / "in"), frames), str(tmp_path), "payments")
     assert {r["window_start"]: r["count"] for r in got.collect()} == {at(0): 1, at(100): 2}
-    assert streams.late_rows(query) == 1
+    assert batches.late_rows(query) == 1
 
 
 def test_sketches_stay_close(spark, tmp_path):
@@ -127,7 +128,7 @@ def test_sketches_stay_close(spark, tmp_path):
 
 def test_alerts_are_written_once_when_a_batch_repeats(spark, tmp_path):
     df = spark.createDataFrame([(1,), (2,)], "v int")
-    write = streams.write_batches(str(tmp_path / "alerts"))
+    write = batches.write_batches(str(tmp_path / "alerts"))
     write(df, 0)
     write(df, 0)
     write(df, 1)
@@ -136,7 +137,7 @@ def test_alerts_are_written_once_when_a_batch_repeats(spark, tmp_path):
 
 def test_a_reader_sees_a_repeated_batch_once(spark, tmp_path):
     df = spark.createDataFrame([(1,), (2,)], "v int")
-    write = streams.write_batches(str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    write = batches.write_batches(str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     seen = []
     for batch_id in (0, 0, 1, 0):
         write(df, batch_id)
@@ -162,7 +163,7 @@ def test_run_scores_over_cut_sequences(spark):
 
 def test_observed_counts(spark, tmp_path):
     stream = feed(spark, str(tmp_path / "in"), [events(spark, transactions(50) + ticks(20))])
-    query, _ = drain(streams.observed(stream, "seen"), str(tmp_path))
+    query, _ = drain(batches.observed(stream, "seen"), str(tmp_path))
     metrics = [p["observedMetrics"]["seen"] for p in query.recentProgress if "seen" in p["observedMetrics"]]
     assert sum(m["rows"] for m in metrics) == 70 and sum(m["market"] for m in metrics) == 20
 
@@ -171,7 +172,7 @@ def test_rollup_stream_emits_closed_buckets(spark, tmp_path):
     rows = [("market", "watch", at(t), 0.5, 10.0) for t in (1, 2, 301, 900)]
     df = spark.createDataFrame(rows, "domain string, severity string, ts timestamp, anomaly_score double, "
                                      "latency_ingest_to_alert_ms double")
-    _, got = drain(streams.stream_rollup(feed(spark, str(tmp_path / "in"), [df]), "alerts_5m"), str(tmp_path))
+    _, got = drain(alerts.stream_rollup(feed(spark, str(tmp_path / "in"), [df]), "alerts_5m"), str(tmp_path))
     assert {r["bucket"]: r["alert_count"] for r in got.collect()} == {at(0): 2, at(300): 1}
 
 
@@ -184,14 +185,14 @@ def test_text_lines_become_events(spark, tmp_path):
     folder = tmp_path / "lines"
     folder.mkdir()
     (folder / "a.json").write_text(json.dumps(good) + "\n{broken\n")
-    stream = streams.parse_stream(read_events(spark, "files", path=str(folder)))
+    stream = stream_events.parse_stream(read_events(spark, "files", path=str(folder)))
     _, got = drain(stream, str(tmp_path))
     assert [(r["m_price"], r["ts_ingest"] is not None) for r in got.collect()] == [(1.0, True)]
 
 
 def test_unknown_rollup_is_an_error(spark, tmp_path):
     with pytest.raises(KeyError):
-        streams.stream_rollup(feed(spark, str(tmp_path / "in"), [events(spark, ticks(2))]), "alerts_1d")
+        alerts.stream_rollup(feed(spark, str(tmp_path / "in"), [events(spark, ticks(2))]), "alerts_1d")
 
 
 def test_counts_cover_more_batches_than_progress_keeps(spark, tmp_path):
@@ -200,16 +201,16 @@ def test_counts_cover_more_batches_than_progress_keeps(spark, tmp_path):
     kept = "spark.sql.streaming.numRecentProgressUpdates"
     spark.conf.set(kept, "2")
     try:
-        seen = streams.observed(feed(spark, str(tmp_path / "in"), frames), "seen")
+        seen = batches.observed(feed(spark, str(tmp_path / "in"), frames), "seen")
         query, _ = drain_windows(seen, str(tmp_path), "payments")
         assert len(query.recentProgress) <= 2
-        assert streams.late_rows(query) == 3
-        assert streams.observed_counts(query, "seen") == {"rows": 7, "market": 0, "payments": 7}
+        assert batches.late_rows(query) == 3
+        assert batches.observed_counts(query, "seen") == {"rows": 7, "market": 0, "payments": 7}
         # A restart goes on from the checkpoint and keeps the counts of earlier batches.
         feed(spark, str(tmp_path / "in"), [events(spark, [txn("m", 20, 3, 1.0)])])
-        again = streams.observed(
+        again = batches.observed(
             spark.readStream.schema(frames[0].schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")), "seen")
         query, _ = drain_windows(again, str(tmp_path), "payments")
-        assert streams.late_rows(query) == 4 and streams.observed_counts(query, "seen")["rows"] == 8
+        assert batches.late_rows(query) == 4 and batches.observed_counts(query, "seen")["rows"] == 8
     finally:
         spark.conf.unset(kept)
