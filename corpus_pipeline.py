@@ -34,7 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (little-endian 32-bit numbers); a document whose ids do not decode to its text is an error."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return byte_bpe.checked(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    return byte_bpe.checked(byte_bpe.encode(docs, path, public_tokenizers.PATTERN, letter_runs=True), path)
 
 
 STAGES = [
