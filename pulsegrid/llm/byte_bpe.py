@@ -1,23 +1,24 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-1. Texts are cut into pre-tokens; distinct ones are counted over all documents and each is encoded exactly once.
-2. Ids join back. The most frequent words, ``HOT_WORDS`` and ``HOT_BYTES`` at most, are sent to every task, so the words that make up
-   most rows are never shuffled. Every other occurrence is exploded with its position, joined on the word and brought
-   back to its document, where all words are reassembled by position.
+1. A task cuts its texts into pre-tokens, some MB (a *block*) at a time, and numbers a block's distinct words. Each word goes
+   to its bucket with its block and its place there; a bucket's words come from all blocks and each is encoded once.
+2. Ids go back to their block, one row per block and bucket. Texts, as the numbers of their words in order, meet the ids of
+   their block and are reassembled by position.
 3. Decoding looks every id up in the table of token bytes.
 
-Documents are keyed by id and a hash of the text; rows that repeat are each returned. Words rare
-enough to be shuffled are no hot keys; a document's own rare words meet again in one row, like its text. Null and
-empty texts have no ids. Other columns do not matter. The vocabulary file's path is a parameter; special tokens are
-ordinary text.
+A frequent word occurs once per block, so no key is hot; no word passes through the driver or to all tasks. A task holds one block, a bucket's
+task the words of a bounded table (``KNOWN_BYTES``; beyond it words are encoded again). A text longer than a block is a block of its own.
+
+Texts are cut twice, for the words and for the numbers, because storing the numbers would cost more disk than cutting again. Rows must
+come in the same order both times, as they do from files; each block is compared, and a difference is an error (write ``docs`` to a table
+first then). Rows that repeat are each returned. Null and empty texts have no ids, an empty table no rows. Other columns do not
+matter. The vocabulary file's path is a parameter; special tokens are ordinary text.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -27,26 +28,23 @@ import pyarrow.compute as pc
 import regex
 import tiktoken
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.scratch import materialize
 from pulsegrid.llm.common import whole
 from pulsegrid.llm.token_counts import pieces
 
-HOT_WORDS = 1 << 20
-#: Bytes of words and ids that are sent to every task, and the longest word among them; all others are shuffled.
-HOT_BYTES = 64 << 20
-LONG_WORD = 64
-#: A task remembers the codes of so many pieces of text.
-CACHE_PIECES = 250_000
-#: Texts are worked on together up to so many bytes.
-GROUP_BYTES = 1 << 22
+#: Bytes of text that are numbered together.
+BLOCK_BYTES = 1 << 22
+#: Buckets of words per shuffle partition, so that partitions get about as many words each.
+BUCKETS = 8
+#: Words (and their ids) that a task of buckets remembers, in bytes.
+KNOWN_BYTES = 1 << 25
 
 #: Which characters below are letters is the same in every edition of Unicode in use.
 _SETTLED = "\u0250"
 _ENDS = frozenset(".,;:!?")
-_LETTERS = r" ?\p{L}+|"
 
 # A blank after other white space is no safe place to cut.
 _UNSAFE_BLANK = r"[\s\v\x1c-\x1f\x85\pZ] "
@@ -61,47 +59,14 @@ def make_encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
-class HotWords:
-    """The most frequent words with their ids, in flat arrays; code k + 1 is the k-th word."""
-
-    def __init__(self, parts: tuple):
-        self.words, self.hashes, self.order, self.pool, self.starts, self.sizes = parts
-
-    @classmethod
-    def parts_of(cls, table: pa.Table) -> tuple:
-        """What to share with tasks: plain arrays."""
-        words = table.column("word").combine_chunks()
-        ids = [np.frombuffer(x, "<i4") for x in table.column("ids").to_pylist()]
-        sizes = np.array([0, *map(len, ids)], np.int64)
-        hashes = cls._hash(words.to_pylist())
-        order = np.argsort(hashes).astype(np.int32)
-        pool = np.concatenate(ids) if ids else np.empty(0, "<i4")
-        return words, hashes[order], order, pool, (np.cumsum(sizes) - sizes).astype(np.int32), sizes.astype(np.int32)
-
-    @staticmethod
-    def _hash(words: list[str]) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-    def codes(self, words: list[str]) -> np.ndarray:
-        """Codes of words, 0 for those that are not here."""
-        if not len(self.hashes) or not words:
-            return np.zeros(len(words), np.int32)
-        h = self._hash(words)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        place = self.order[at]
-        same = pc.equal(pa.array(words, self.words.type), self.words.take(pa.array(place))).to_numpy(zero_copy_only=False)
-        return np.where((self.hashes[at] == h) & same.astype(bool), place + 1, 0)
-
-
-def word_finder(pattern: str) -> Callable[[str], list[str]]:
+def word_finder(pattern: str, letter_runs: bool = False) -> Callable[[str], list[str]]:
     """The pre-tokens of a piece of text.
 
-    A pattern with the branch ``_LETTERS`` takes a run of letters with one blank in front whole, provided that
-    the branches before it start with an apostrophe; most pieces are such runs, or one with a mark behind it, and
-    need no search.
+    ``letter_runs`` says that the pattern takes a run of letters with one blank in front whole and keeps a mark behind it apart. Most
+    pieces are such runs, or one with a mark behind it, and then need no search.
     """
     find = regex.compile(pattern).findall
-    if not pattern.startswith("'") or _LETTERS not in pattern or not _before_letters(pattern):
+    if not letter_runs:
         return find
 
     def words(piece: str) -> list[str]:
@@ -115,19 +80,13 @@ def word_finder(pattern: str) -> Callable[[str], list[str]]:
     return words
 
 
-def _before_letters(pattern: str) -> bool:
-    """Whether what stands before the letters is one group behind an apostrophe, or words that each have one."""
-    head = pattern[:pattern.index(_LETTERS)].rstrip("|")
-    return bool(re.fullmatch(r"'\(\?:[^()]*\)|'\w+(\|'\w+)*", head))
-
-
-def byte_groups(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Runs of rows that hold about ``GROUP_BYTES`` of text, or one longer text."""
+def byte_groups(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows that hold about ``size`` bytes of text, or one longer text."""
     ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         done = int(ends[at - 1]) if at else 0
-        stop = max(int(np.searchsorted(ends, done + GROUP_BYTES, "right")), at + 1)
+        stop = max(int(np.searchsorted(ends, done + size, "right")), at + 1)
         yield batch.slice(at, stop - at)
         at = stop
 
@@ -158,77 +117,80 @@ def cut_texts(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
     return strings, numbers, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), np.concatenate((plain, odd))
 
 
-def distinct_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
-    """``word``, ``n``: every distinct pre-token of the corpus with its count, summed per task before the shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = word_finder(pattern)
-        held: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            total: Counter = Counter()
-            for piece, n in held.items():
-                for w in find(piece):
-                    total[w] += n
-            held.clear()
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
-
-        for batch in batches:
-            for part in byte_groups(batch, "text"):
-                strings, numbers, _, _ = cut_texts(part.column("text"))
-                for piece, n in zip(strings, np.bincount(numbers, minlength=len(strings)).tolist(), strict=True):
-                    if n:
-                        held[piece] += n
-                if len(held) > 400_000:
-                    yield flush()
-        if held:
-            yield flush()
-
-    counted = docs.select(whole(text_col).alias("text")).mapInArrow(count, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Adds ``ids``, little-endian 32-bit numbers in one binary value, to a table of distinct words."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = make_encoding(path, pattern)
-        for batch in batches:
-            ids = [np.asarray(encoding.encode_ordinary(w), "<i4").tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.binary())], ["word", "n", "ids"])
-
-    return words.select("word", "n").mapInArrow(encode, "word string, n long, ids binary")
+class Block:
+    """The distinct words of some texts with their numbers, and the texts as numbers.
 
+    Words are numbered by class, then bucket, then first occurrence. Classes put the 128 most frequent words first and the next 16 256 behind
+    them, so that most numbers take one or two bytes when packed.
+    """
 
-def _hot_threshold(vocabulary: DataFrame, limit: int, most_bytes: int = HOT_BYTES) -> int:
-    """The least count from which on there are at most ``limit`` words of at most ``most_bytes`` with their ids; read from a histogram of at most some 1000 rows."""
-    step = F.when(F.col("n") < 256, F.col("n")).otherwise(256 + F.floor(F.log2(F.col("n").cast("double") / 256) * 16)).cast("int")
-    bins = vocabulary.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least"),
-        F.sum(F.octet_length("word").cast("long") + F.octet_length("ids")).alias("bytes")).collect()
-    total, taken, least = 0, 0, 1 << 62
-    for row in sorted(bins, key=lambda r: -r["step"]):
-        total, taken = total + row["words"], taken + row["bytes"]
-        if total > limit or taken > most_bytes:
-            break
-        least = row["least"]
-    return least
+    def __init__(self, texts: pa.Array, find: Callable[[str], list[str]], buckets: int):
+        strings, numbers, bounds, self.order = cut_texts(texts)
+        found = [find(p) for p in strings]
+        place: dict[str, int] = {}
+        flat = np.fromiter((place.setdefault(w, len(place)) for w in chain.from_iterable(found)), np.int64)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        times = np.bincount(flat, np.repeat(np.bincount(numbers, minlength=len(strings)), sizes), len(place))
+        # Pieces that no text holds any more (first words, taken over) bring words that are never used; they do no harm.
+        rank = np.empty(len(place), np.int64)
+        rank[np.argsort(-times, kind="stable")] = np.arange(len(place))
+        kind = (rank >= 1 << 7).astype(np.int8) + (rank >= 1 << 14)
+        words = list(place)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        by_number = np.lexsort((bucket, kind))
+        number = np.empty(len(words), np.int64)
+        number[by_number] = np.arange(len(words))
+        self.codes = _gather(number[flat], (np.cumsum(sizes) - sizes)[numbers], sizes[numbers])
+        self.bounds = np.concatenate(([0], np.cumsum(sizes[numbers])))[bounds]
+        # Tells another numbering: words by their places.
+        self.check = int((hashes * (2 * number.astype(np.uint64) + np.uint64(1))).sum(dtype=np.uint64) >> np.uint64(1))
+        self._sent = np.lexsort((kind, bucket))
+        self._words, self._bucket, self._kind = words, bucket, kind
+
+    def bucket_rows(self, block: int) -> pa.RecordBatch:
+        """One row per bucket: its words by class, and how many there are of each class."""
+        bucket, kind = self._bucket[self._sent], self._kind[self._sent]
+        own, starts = np.unique(bucket, return_index=True)
+        ends = np.append(starts[1:], len(bucket))
+        words = pa.array([self._words[i] for i in self._sent.tolist()], pa.string())
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(bucket)), pa.int32()), words)
+        per_class = [np.add.reduceat((kind == c).astype(np.int32), starts) if len(starts) else np.zeros(0, np.int32) for c in (0, 1)]
+        n = len(ends)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(own.astype(np.int32)), pa.array(np.full(n, block, np.int64)), pa.array(np.full(n, self.check, np.int64)),
+             pa.array(per_class[0], pa.int32()), pa.array(per_class[1], pa.int32()), lists],
+            ["bucket", "block", "check", "n0", "n1", "words"])
+
+
+def cut_blocks(
+    batches: Iterator[pa.RecordBatch], pattern: str, letter_runs: bool, buckets: int, block_bytes: int
+) -> Iterator[tuple[int, pa.RecordBatch, Block]]:
+    """Number, rows and ``Block`` of every stretch of a task's rows; the number is the same whenever the task is run."""
+    find = word_finder(pattern, letter_runs)
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for part in byte_groups(batch, "text", block_bytes):
+            yield number, part, Block(part.column("text"), find, buckets)
+            number += 1
+
+
+def _sizes(codes: np.ndarray) -> np.ndarray:
+    """Bytes that each number takes when packed."""
+    return 1 + sum((codes >= 1 << 7 * k).astype(np.int64) for k in range(1, 4))
 
 
 def _pack(codes: np.ndarray) -> bytes:
-    """Numbers below 2^21 in one to three bytes of seven bits, the last of each below 128."""
-    out = np.empty((len(codes), 3), np.uint8)
-    out[:, 0] = (codes & 127) | np.where(codes > 127, 128, 0)
-    out[:, 1] = ((codes >> 7) & 127) | np.where(codes > 16383, 128, 0)
-    out[:, 2] = codes >> 14
-    keep = np.empty((len(codes), 3), bool)
-    keep[:, 0], keep[:, 1], keep[:, 2] = True, codes > 127, codes > 16383
-    return out[keep].tobytes()
+    """Numbers below 2^28 in one to four bytes of seven bits, the last of each below 128."""
+    sizes, place = _sizes(codes)[:, None], np.arange(4)[None, :]
+    out = ((codes[:, None] >> 7 * place) & 127).astype(np.uint8)
+    out[place < sizes - 1] |= 128
+    return out[place < sizes].tobytes()
 
 
 def _packed(codes: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """One packed value per stretch of ``bounds``."""
-    sizes = 1 + (codes > 127).astype(np.int64) + (codes > 16383)
-    return _binary(_pack(codes), np.concatenate(([0], np.cumsum(sizes)))[bounds])
+    return _binary(_pack(codes), np.concatenate(([0], np.cumsum(_sizes(codes))))[bounds])
 
 
 def _binary(data: bytes, bounds: np.ndarray) -> pa.Array:
@@ -240,12 +202,10 @@ def _unpack(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     ends = np.flatnonzero(raw < 128)
     starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
-    size = ends - starts
     value = (raw[starts] & 127).astype(np.int64)
-    more = size >= 1
-    value[more] |= (raw[starts[more] + 1] & 127).astype(np.int64) << 7
-    most = size >= 2
-    value[most] |= raw[starts[most] + 2].astype(np.int64) << 14
+    for k in range(1, 4):
+        more = np.flatnonzero(ends - starts >= k)
+        value[more] |= (raw[starts[more] + k] & 127).astype(np.int64) << 7 * k
     return value
 
 
@@ -264,98 +224,77 @@ def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           hot_words: int = HOT_WORDS) -> DataFrame:
-    """``doc_id``, ``text_hash`` and ``ids`` (little-endian 32-bit numbers in one binary value), one row per row of ``docs``."""
-    if not 0 < hot_words < 1 << 21:
-        raise ValueError("hot_words must be below 2^21")
-    spark = docs.sparkSession
-    vocabulary = materialize(encode_words(distinct_words(docs, pattern, text_col), path, pattern))
-    short = F.octet_length("word") <= LONG_WORD
-    is_hot = short & (F.col("n") >= _hot_threshold(vocabulary.where(short), hot_words))
-    hot = vocabulary.where(is_hot).orderBy(F.desc("n"), "word").select("word", "ids").toArrow()
-    shared = spark.sparkContext.broadcast(HotWords.parts_of(hot))
+def encode_buckets(words: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Rows of buckets with ``ids``, little-endian 32-bit numbers of all words one behind the other, and ``sizes``, packed, how many each has.
+
+    Rows of a bucket lie together, and a word is encoded when a bucket first brings it.
+    """
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = make_encoding(path, pattern)
+        known: dict[str, np.ndarray] = {}
+        bucket, held = None, 0
+        for batch in batches:
+            ids, sizes = [], []
+            for own, words in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                if own != bucket or held > KNOWN_BYTES:
+                    known, bucket, held = {}, own, 0
+                for w in words:
+                    if w not in known:
+                        known[w] = np.asarray(encoding.encode_ordinary(w), "<i4").tobytes()
+                        held += len(w) + len(known[w]) + 200
+                mine = [known[w] for w in words]
+                ids.append(b"".join(mine))
+                sizes.append(_pack(np.fromiter(map(len, mine), np.int64, len(mine)) // 4))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("block", "bucket", "check", "n0", "n1")), pa.array(ids, pa.binary()), pa.array(sizes, pa.binary())],
+                ["block", "bucket", "check", "n0", "n1", "ids", "sizes"])
+
+    return words.mapInArrow(encode, "block long, bucket int, check long, n0 int, n1 int, ids binary, sizes binary")
 
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", letter_runs: bool = False,
+           block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``doc_id``, ``text_hash`` and ``ids`` (little-endian 32-bit numbers in one binary value), one row per row of ``docs``."""
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     id_type = keyed.schema["doc_id"].dataType.simpleString()
 
-    def cut(batches: Iterator[pa.RecordBatch]):
-        """Some documents at a time: their rows, the codes of all their words, where each starts, and the words with code 0 in order."""
-        find, hot = word_finder(pattern), HotWords(shared.value)
-        known: dict[str, tuple[int, ...]] = {}
-        rare: dict[str, list[str]] = {}
-        for batch in batches:
-            for part in byte_groups(batch, "text"):
-                strings, numbers, bounds, order = cut_texts(part.column("text"))
-                new = list(set(strings) - known.keys())
-                found = [find(p) for p in new]
-                codes = hot.codes(list(chain.from_iterable(found))).tolist()
-                first = 0
-                for p, words in zip(new, found, strict=True):
-                    known[p] = own = tuple(codes[first:first + len(words)])
-                    first += len(words)
-                    if 0 in own:
-                        rare[p] = [w for w, c in zip(words, own, strict=True) if not c]
-                each = [known[p] for p in strings]
-                sizes = np.fromiter(map(len, each), np.int64, len(each))
-                pool = np.fromiter(chain.from_iterable(each), np.int32)
-                every = _gather(pool, (np.cumsum(sizes) - sizes)[numbers], sizes[numbers])
-                ends = np.concatenate(([0], np.cumsum(sizes[numbers])))[bounds]
-                scarce = np.fromiter((p in rare for p in strings), bool, len(strings))
-                words = [w for k in numbers[scarce[numbers]].tolist() for w in rare[strings[k]]]
-                yield part.select(["doc_id", "text_hash"]).take(pa.array(order)), every, ends, words
-                if len(known) > CACHE_PIECES:
-                    known, rare = {}, {}
-
-    def hot_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, codes, bounds, _ in cut(batches):
-            yield pa.RecordBatch.from_arrays([*part.columns, _packed(codes, bounds)], ["doc_id", "text_hash", "codes"])
-
-    def rare_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, codes, bounds, words in cut(batches):
-            at = np.flatnonzero(codes == 0)
-            row = np.searchsorted(bounds, at, "right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [*part.take(pa.array(row)).columns, pa.array(at - bounds[row], pa.int32()), pa.array(words, pa.string())],
-                ["doc_id", "text_hash", "place", "word"])
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, _part, block in cut_blocks(batches, pattern, letter_runs, buckets, block_bytes):
+            yield block.bucket_rows(number)
 
-    def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = HotWords(shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                yield _assemble(batch.slice(at, 1024), hot)
-
-    coded = keyed.mapInArrow(hot_part, f"doc_id {id_type}, text_hash long, codes binary")
-    rare = keyed.mapInArrow(rare_part, f"doc_id {id_type}, text_hash long, place int, word string")
-    encoded = rare.join(vocabulary.where(~is_hot).select("word", "ids"), "word")
-    # One key for grouping and joining, so that grouped rows are not dealt out again; in a struct, null ids are equal.
-    key = F.struct("doc_id", "text_hash").alias("key")
-    back = encoded.select(key, F.struct("place", "ids").alias("at")).groupBy("key").agg(F.collect_list("at").alias("rare"))
-    whole_docs = coded.select(key, "codes").join(back, "key", "left")
-    return whole_docs.select("key.doc_id", "key.text_hash", "codes", "rare").mapInArrow(
-        reassemble, f"doc_id {id_type}, text_hash long, ids binary")
-
-
-def _assemble(part: pa.RecordBatch, hot: HotWords) -> pa.RecordBatch:
-    every, bounds = _unpacked(part.column("codes"))
-    gap = every == 0
-    wanted = np.diff(np.concatenate(([0], np.cumsum(gap)))[bounds]).tolist()
-    extra: list[bytes] = []
-    for n, found in zip(wanted, part.column("rare").to_pylist(), strict=True):
-        # A row that repeats brings its rare words several times, each at its place.
-        by_place = {x["place"]: x["ids"] for x in found or ()}
-        if len(by_place) != n:
-            raise ValueError("a rare word has no ids")
-        extra += [by_place[p] for p in sorted(by_place)]
-    own = [len(x) // 4 for x in extra]
-    first, size = hot.starts[every].astype(np.int64), hot.sizes[every].astype(np.int64)
-    size[gap] = own
-    first[gap] = len(hot.pool) + np.cumsum(own) - own
-    rare_ids = np.frombuffer(b"".join(extra), "<i4")
-    flat = _gather(np.concatenate((hot.pool, rare_ids)) if len(rare_ids) else hot.pool, first, size)
-    cut = 4 * np.concatenate(([0], np.cumsum(size)))[bounds]
-    return pa.RecordBatch.from_arrays(
-        [part.column("doc_id"), part.column("text_hash"), _binary(flat.tobytes(), cut)], ["doc_id", "text_hash", "ids"])
+    def numbers_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, part, block in cut_blocks(batches, pattern, letter_runs, buckets, block_bytes):
+            rows = part.select(["doc_id", "text_hash"]).take(pa.array(block.order))
+            n = len(block.order)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, number, np.int64)), pa.array(np.full(n, block.check, np.int64)), *rows.columns,
+                 _packed(block.codes, block.bounds)], ["block", "check", "doc_id", "text_hash", "codes"])
+
+    words = keyed.mapInArrow(words_of, "bucket int, block long, check long, n0 int, n1 int, words array<string>")
+    ids = encode_buckets(words.repartition("bucket").sortWithinPartitions("bucket"), path, pattern)
+    texts = keyed.mapInArrow(numbers_of, f"block long, check long, doc_id {id_type}, text_hash long, codes binary")
+    return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(
+        _reassemble, f"doc_id {id_type}, text_hash long, ids binary")
+
+
+def _reassemble(texts: pa.Table, ids: pa.Table) -> pa.Table:
+    """Ids of a block's texts, from the numbers of their words and the ids of its buckets."""
+    ids = ids.sort_by("bucket")
+    if set(texts.column("check").to_pylist()) - {0} != set(ids.column("check").to_pylist()) - {0}:
+        raise ValueError("rows came in another order the second time: write them to a table before they are encoded")
+    sizes = [_unpack(x) for x in ids.column("sizes").to_pylist()]
+    kinds = [np.repeat(np.arange(3, dtype=np.int8), (a, b, len(s) - a - b)) for a, b, s in zip(
+        ids.column("n0").to_pylist(), ids.column("n1").to_pylist(), sizes, strict=True)]
+    size = np.concatenate([np.empty(0, np.int64), *sizes])
+    by_number = np.argsort(np.concatenate([np.empty(0, np.int8), *kinds]), kind="stable")
+    pool = np.frombuffer(b"".join(ids.column("ids").to_pylist()), "<i4")
+    starts = (np.cumsum(size) - size)[by_number]
+    size = size[by_number]
+    codes, bounds = _unpacked(texts.column("codes").combine_chunks())
+    flat = _gather(pool, starts[codes], size[codes])
+    cut = 4 * np.concatenate(([0], np.cumsum(size[codes])))[bounds]
+    return pa.table({"doc_id": texts.column("doc_id"), "text_hash": texts.column("text_hash"), "ids": _binary(flat.tobytes(), cut)})
 
 
 def checked(encoded: DataFrame, path: str) -> DataFrame:

@@ -48,7 +48,7 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, letter_runs=True)
     return byte_bpe.digests(encoded, path)
 
 

@@ -122,10 +122,11 @@ def test_mixing(spark):
     assert mixing.mixed_documents(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("hot_words", [1, 5, 1 << 20])
-def test_byte_bpe_is_tiktoken_and_decodes(spark, hot_words):
+@pytest.mark.parametrize("block_bytes", [1, 300, 1 << 22])
+@pytest.mark.parametrize("letter_runs", [False, True])
+def test_byte_bpe_is_tiktoken_and_decodes(spark, block_bytes, letter_runs):
     encoding = byte_bpe.make_encoding(RANKS, public_tokenizers.PATTERN)
-    encoded = byte_bpe.encode(documents(spark), RANKS, public_tokenizers.PATTERN, hot_words=hot_words)
+    encoded = byte_bpe.encode(documents(spark), RANKS, public_tokenizers.PATTERN, letter_runs=letter_runs, block_bytes=block_bytes)
     rows = encoded.collect()
     assert len(rows) == len(TEXTS) + 1
     for r in rows:
@@ -136,7 +137,7 @@ def test_byte_bpe_is_tiktoken_and_decodes(spark, hot_words):
 
 
 def test_packed_codes_round_trip():
-    codes = np.array([0, 1, 127, 128, 16383, 16384, (1 << 21) - 1, 5])
+    codes = np.array([0, 1, 127, 128, 16383, 16384, (1 << 21) - 1, 1 << 21, (1 << 28) - 1, 5])
     assert byte_bpe._unpack(byte_bpe._pack(codes)).tolist() == codes.tolist()
     assert byte_bpe._unpack(b"").tolist() == []
 
