@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -42,9 +42,9 @@ BUCKETS = 8
 #: Words (and their ids) that a task of buckets remembers, in bytes.
 KNOWN_BYTES = 1 << 25
 
-#: Which characters below are letters is the same in every edition of Unicode in use.
-_SETTLED = "\u0250"
-_ENDS = frozenset(".,;:!?")
+# Letters that are letters in every edition of Unicode in use, and marks that stand apart behind them.
+_LETTERS = r"[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+"
+_MARKS = "[.,;:!?]"
 
 # A blank after other white space is no safe place to cut.
 _UNSAFE_BLANK = r"[\s\v\x1c-\x1f\x85\pZ] "
@@ -59,25 +59,38 @@ def make_encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
-def word_finder(pattern: str, letter_runs: bool = False) -> Callable[[str], list[str]]:
-    """The pre-tokens of a piece of text.
+def split_pieces(strings: pa.Array, pattern: str, letter_runs: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Pre-tokens of pieces of text: the distinct words, numbers of the words piece by piece, and how many each piece has.
 
     ``letter_runs`` says that the pattern takes a run of letters with one blank in front whole and keeps a mark behind it apart. Most
-    pieces are such runs, or one with a mark behind it, and then need no search.
+    pieces are such runs, or one with a mark behind it, and Arrow takes them as whole columns; only the rest is searched.
     """
     find = regex.compile(pattern).findall
-    if not letter_runs:
-        return find
-
-    def words(piece: str) -> list[str]:
-        bare = piece[1:] if piece[:1] == " " else piece
-        if bare.isalpha() and (bare.isascii() or max(bare) < _SETTLED):
-            return [piece]
-        if bare[-1:] in _ENDS and bare[:-1].isalpha() and (bare.isascii() or max(bare) < _SETTLED):
-            return [piece[:-1], piece[-1]]
-        return find(piece)
-
-    return words
+    n = len(strings)
+    run, marked = np.zeros(n, bool), np.zeros(n, bool)
+    if letter_runs:
+        run = pc.match_substring_regex(strings, f"^ ?{_LETTERS}$").to_numpy(zero_copy_only=False).astype(bool)
+        marked = pc.match_substring_regex(strings, f"^ ?{_LETTERS}{_MARKS}$").to_numpy(zero_copy_only=False).astype(bool)
+    at_run, at_marked, at_rest = (np.flatnonzero(x) for x in (run, marked, ~run & ~marked))
+    before = strings.take(pa.array(at_marked))
+    found = [find(p) for p in strings.take(pa.array(at_rest)).to_pylist()]
+    every = pa.concat_arrays([
+        strings.take(pa.array(at_run)), pc.utf8_slice_codeunits(before, 0, -1), pc.utf8_slice_codeunits(before, -1),
+        pa.array(list(chain.from_iterable(found)), pa.string())])
+    coded = every.dictionary_encode()
+    numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = np.ones(n, np.int64)
+    sizes[at_marked] = 2
+    sizes[at_rest] = np.fromiter(map(len, found), np.int64, len(found))
+    starts = np.cumsum(sizes) - sizes
+    flat = np.empty(len(numbers), np.int64)
+    a, b = len(at_run), len(at_run) + len(at_marked)
+    flat[starts[at_run]] = numbers[:a]
+    flat[starts[at_marked]] = numbers[a:b]
+    flat[starts[at_marked] + 1] = numbers[b:b + len(at_marked)]
+    rest = sizes[at_rest]
+    flat[np.repeat(starts[at_rest] - (np.cumsum(rest) - rest), rest) + np.arange(rest.sum())] = numbers[b + len(at_marked):]
+    return coded.dictionary, flat, sizes
 
 
 def byte_groups(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
@@ -91,12 +104,12 @@ def byte_groups(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.Re
         at = stop
 
 
-def cut_texts(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def cut_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Texts as numbers of pieces: the pieces, their numbers text by text, where each text starts, and the order of texts.
 
     Where every blank is a safe place, Arrow cuts the texts; the others come last and are cut one by one.
     """
-    unsafe = pc.match_substring_regex(texts, _UNSAFE_BLANK).to_numpy(zero_copy_only=False)
+    unsafe = pc.match_substring_regex(texts, _UNSAFE_BLANK).to_numpy(zero_copy_only=False).astype(bool)
     plain, odd = np.flatnonzero(~unsafe), np.flatnonzero(unsafe)
     lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -104,74 +117,73 @@ def cut_texts(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
     heads = np.cumsum(sizes) - sizes
     coded = flat.dictionary_encode()
     # A first piece has no blank in front, all others have one.
-    strings = [" " + w for w in coded.dictionary.to_pylist()]
+    strings = [pc.binary_join_element_wise(pa.scalar(""), coded.dictionary, " "), flat.take(pa.array(heads))]
     numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    numbers[heads] = len(strings) + np.arange(len(heads))
-    strings += flat.take(pa.array(heads)).to_pylist()
+    numbers[heads] = len(coded.dictionary) + np.arange(len(heads))
     if len(odd):
         own = [pieces(t) for t in texts.take(pa.array(odd)).to_pylist()]
-        place = {w: len(strings) + k for k, w in enumerate(dict.fromkeys(chain.from_iterable(own)))}
-        strings += place
+        first = len(coded.dictionary) + len(heads)
+        place = {w: first + k for k, w in enumerate(dict.fromkeys(chain.from_iterable(own)))}
+        strings.append(pa.array(list(place), pa.string()))
         numbers = np.concatenate((numbers, np.fromiter(map(place.__getitem__, chain.from_iterable(own)), np.int64)))
-        sizes = np.concatenate((sizes, [len(x) for x in own]))
-    return strings, numbers, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), np.concatenate((plain, odd))
+        sizes = np.concatenate((sizes, [len(x) for x in own])).astype(np.int64)
+    return pa.concat_arrays(strings), numbers, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), np.concatenate((plain, odd))
 
 
 class Block:
     """The distinct words of some texts with their numbers, and the texts as numbers.
 
-    Words are numbered by class, then bucket, then first occurrence. Classes put the 128 most frequent words first and the next 16 256 behind
+    Words are numbered by class, then bucket, then as they were found. Classes put the 128 most frequent words first and the next 16 256 behind
     them, so that most numbers take one or two bytes when packed.
     """
 
-    def __init__(self, texts: pa.Array, find: Callable[[str], list[str]], buckets: int):
+    def __init__(self, texts: pa.Array, pattern: str, letter_runs: bool, buckets: int):
         strings, numbers, bounds, self.order = cut_texts(texts)
-        found = [find(p) for p in strings]
-        place: dict[str, int] = {}
-        flat = np.fromiter((place.setdefault(w, len(place)) for w in chain.from_iterable(found)), np.int64)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        times = np.bincount(flat, np.repeat(np.bincount(numbers, minlength=len(strings)), sizes), len(place))
-        # Pieces that no text holds any more (first words, taken over) bring words that are never used; they do no harm.
-        rank = np.empty(len(place), np.int64)
-        rank[np.argsort(-times, kind="stable")] = np.arange(len(place))
-        kind = (rank >= 1 << 7).astype(np.int8) + (rank >= 1 << 14)
-        words = list(place)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        by_number = np.lexsort((bucket, kind))
+        words, flat, sizes = split_pieces(strings, pattern, letter_runs)
+        times = np.bincount(flat, np.repeat(np.bincount(numbers, minlength=len(strings)), sizes), len(words))
+        rank = np.empty(len(words), np.int64)
+        rank[np.argsort(-times, kind="stable")] = np.arange(len(words))
+        self.kind = (rank >= 1 << 7).astype(np.int8) + (rank >= 1 << 14)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
+        self.bucket = (hashes % np.uint64(buckets)).astype(np.int64)
         number = np.empty(len(words), np.int64)
-        number[by_number] = np.arange(len(words))
-        self.codes = _gather(number[flat], (np.cumsum(sizes) - sizes)[numbers], sizes[numbers])
-        self.bounds = np.concatenate(([0], np.cumsum(sizes[numbers])))[bounds]
+        number[np.lexsort((self.bucket, self.kind))] = np.arange(len(words))
         # Tells another numbering: words by their places.
         self.check = int((hashes * (2 * number.astype(np.uint64) + np.uint64(1))).sum(dtype=np.uint64) >> np.uint64(1))
-        self._sent = np.lexsort((kind, bucket))
-        self._words, self._bucket, self._kind = words, bucket, kind
+        self.words = words
+        self._cut = flat, sizes, numbers, bounds, number
+
+    def codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of all texts, in ``order``, and where each text starts."""
+        flat, sizes, numbers, bounds, number = self._cut
+        each = sizes[numbers]
+        return _gather(number[flat], (np.cumsum(sizes) - sizes)[numbers], each), np.concatenate(([0], np.cumsum(each)))[bounds]
 
     def bucket_rows(self, block: int) -> pa.RecordBatch:
-        """One row per bucket: its words by class, and how many there are of each class."""
-        bucket, kind = self._bucket[self._sent], self._kind[self._sent]
+        """One row per bucket: its words by class one behind the other, their lengths, and how many there are of the first classes."""
+        order = np.lexsort((self.kind, self.bucket))
+        sent, bucket, kind = self.words.take(pa.array(order)), self.bucket[order], self.kind[order]
         own, starts = np.unique(bucket, return_index=True)
-        ends = np.append(starts[1:], len(bucket))
-        words = pa.array([self._words[i] for i in self._sent.tolist()], pa.string())
-        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(bucket)), pa.int32()), words)
+        bounds = np.append(starts, len(bucket)).astype(np.int64)
+        size = pc.binary_length(sent).to_numpy(zero_copy_only=False).astype(np.int64)
+        data = b"".join(sent.cast(pa.binary()).to_pylist())
         per_class = [np.add.reduceat((kind == c).astype(np.int32), starts) if len(starts) else np.zeros(0, np.int32) for c in (0, 1)]
-        n = len(ends)
+        n = len(own)
         return pa.RecordBatch.from_arrays(
             [pa.array(own.astype(np.int32)), pa.array(np.full(n, block, np.int64)), pa.array(np.full(n, self.check, np.int64)),
-             pa.array(per_class[0], pa.int32()), pa.array(per_class[1], pa.int32()), lists],
-            ["bucket", "block", "check", "n0", "n1", "words"])
+             pa.array(per_class[0], pa.int32()), pa.array(per_class[1], pa.int32()),
+             _binary(data, np.concatenate(([0], np.cumsum(size)))[bounds]), _packed(size, bounds)],
+            ["bucket", "block", "check", "n0", "n1", "words", "sizes"])
 
 
 def cut_blocks(
     batches: Iterator[pa.RecordBatch], pattern: str, letter_runs: bool, buckets: int, block_bytes: int
 ) -> Iterator[tuple[int, pa.RecordBatch, Block]]:
     """Number, rows and ``Block`` of every stretch of a task's rows; the number is the same whenever the task is run."""
-    find = word_finder(pattern, letter_runs)
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
         for part in byte_groups(batch, "text", block_bytes):
-            yield number, part, Block(part.column("text"), find, buckets)
+            yield number, part, Block(part.column("text"), pattern, letter_runs, buckets)
             number += 1
 
 
@@ -225,31 +237,38 @@ def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
 
 
 def encode_buckets(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Rows of buckets with ``ids``, little-endian 32-bit numbers of all words one behind the other, and ``sizes``, packed, how many each has.
+    """Rows of buckets with ``ids`` of all words one behind the other and ``sizes``, packed, how many each has.
 
-    Rows of a bucket lie together, and a word is encoded when a bucket first brings it.
+    Rows of a bucket lie together, and a word is encoded when a bucket first brings it. Ids take two bytes where the vocabulary allows it.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = make_encoding(path, pattern)
-        known: dict[str, np.ndarray] = {}
-        bucket, held = None, 0
+        width = _width(encoding.n_vocab)
+        known: dict[bytes, bytes] = {}
+        bucket, held, step = None, 0, np.dtype(width).itemsize
         for batch in batches:
             ids, sizes = [], []
-            for own, words in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            for own, data, lengths in zip(*(batch.column(c).to_pylist() for c in ("bucket", "words", "sizes")), strict=True):
                 if own != bucket or held > KNOWN_BYTES:
                     known, bucket, held = {}, own, 0
+                ends = np.cumsum(_unpack(lengths)).tolist()
+                words = [data[a:b] for a, b in zip([0, *ends], ends)]
                 for w in words:
                     if w not in known:
-                        known[w] = np.asarray(encoding.encode_ordinary(w), "<i4").tobytes()
+                        known[w] = np.asarray(encoding.encode_ordinary(w.decode()), width).tobytes()
                         held += len(w) + len(known[w]) + 200
                 mine = [known[w] for w in words]
                 ids.append(b"".join(mine))
-                sizes.append(_pack(np.fromiter(map(len, mine), np.int64, len(mine)) // 4))
+                sizes.append(_pack(np.fromiter(map(len, mine), np.int64, len(mine)) // step))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("block", "bucket", "check", "n0", "n1")), pa.array(ids, pa.binary()), pa.array(sizes, pa.binary())],
-                ["block", "bucket", "check", "n0", "n1", "ids", "sizes"])
+                [*(batch.column(c) for c in ("block", "bucket", "check", "n0", "n1")), pa.array(ids, pa.binary()), pa.array(sizes, pa.binary()),
+                 pa.array([step] * len(ids), pa.int32())], ["block", "bucket", "check", "n0", "n1", "ids", "sizes", "width"])
+
+    return words.mapInArrow(encode, "block long, bucket int, check long, n0 int, n1 int, ids binary, sizes binary, width int")
+
 
-    return words.mapInArrow(encode, "block long, bucket int, check long, n0 int, n1 int, ids binary, sizes binary")
+def _width(n_vocab: int) -> str:
+    return "<u2" if n_vocab <= 1 << 16 else "<i4"
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", letter_runs: bool = False,
@@ -266,12 +285,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def numbers_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, part, block in cut_blocks(batches, pattern, letter_runs, buckets, block_bytes):
             rows = part.select(["doc_id", "text_hash"]).take(pa.array(block.order))
+            codes, bounds = block.codes()
             n = len(block.order)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, number, np.int64)), pa.array(np.full(n, block.check, np.int64)), *rows.columns,
-                 _packed(block.codes, block.bounds)], ["block", "check", "doc_id", "text_hash", "codes"])
+                 _packed(codes, bounds)], ["block", "check", "doc_id", "text_hash", "codes"])
 
-    words = keyed.mapInArrow(words_of, "bucket int, block long, check long, n0 int, n1 int, words array<string>")
+    words = keyed.mapInArrow(words_of, "bucket int, block long, check long, n0 int, n1 int, words binary, sizes binary")
     ids = encode_buckets(words.repartition("bucket").sortWithinPartitions("bucket"), path, pattern)
     texts = keyed.mapInArrow(numbers_of, f"block long, check long, doc_id {id_type}, text_hash long, codes binary")
     return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(
@@ -288,11 +308,12 @@ def _reassemble(texts: pa.Table, ids: pa.Table) -> pa.Table:
         ids.column("n0").to_pylist(), ids.column("n1").to_pylist(), sizes, strict=True)]
     size = np.concatenate([np.empty(0, np.int64), *sizes])
     by_number = np.argsort(np.concatenate([np.empty(0, np.int8), *kinds]), kind="stable")
-    pool = np.frombuffer(b"".join(ids.column("ids").to_pylist()), "<i4")
+    width = "<u2" if 2 in ids.column("width").to_pylist() else "<i4"
+    pool = np.frombuffer(b"".join(ids.column("ids").to_pylist()), width)
     starts = (np.cumsum(size) - size)[by_number]
     size = size[by_number]
     codes, bounds = _unpacked(texts.column("codes").combine_chunks())
-    flat = _gather(pool, starts[codes], size[codes])
+    flat = _gather(pool, starts[codes], size[codes]).astype("<i4")
     cut = 4 * np.concatenate(([0], np.cumsum(size[codes])))[bounds]
     return pa.table({"doc_id": texts.column("doc_id"), "text_hash": texts.column("text_hash"), "ids": _binary(flat.tobytes(), cut)})
 

@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import byte_bpe
@@ -29,11 +30,14 @@ def test_ids_do_not_depend_on_blocks_buckets_or_memory(spark, docs, monkeypatch,
 
 
 def test_a_block_numbers_frequent_words_first():
-    find = byte_bpe.word_finder(public_tokenizers.PATTERN)
-    block = byte_bpe.Block(pa.array([TEXTS[5], "w7 " * 9, " w7"]), find, 4)
+    find = regex.compile(public_tokenizers.PATTERN).findall
+    block = byte_bpe.Block(pa.array([TEXTS[5], "w7 " * 9, " w7"]), public_tokenizers.PATTERN, True, 4)
     sent = block.bucket_rows(9)
-    assert sum(map(len, sent.column("words").to_pylist())) == len(set(find(TEXTS[5]) + find("w7 " * 9) + find(" w7")))
-    codes = [block.codes[a:b] for a, b in zip(block.bounds, block.bounds[1:])]
+    words = set(find(TEXTS[5]) + find("w7 " * 9) + find(" w7"))
+    assert sum(len(byte_bpe._unpack(x)) for x in sent.column("sizes").to_pylist()) == len(words)
+    assert sum(map(len, sent.column("words").to_pylist())) == sum(map(len, words))
+    every, bounds = block.codes()
+    codes = [every[a:b] for a, b in zip(bounds, bounds[1:])]
     assert [len(codes[list(block.order).index(i)]) for i in range(3)] == [len(find(t)) for t in (TEXTS[5], "w7 " * 9, " w7")]
     assert max(codes[list(block.order).index(2)]) < 128
 
@@ -48,3 +52,12 @@ def test_rows_in_another_order_are_an_error(spark, docs):
     loose = many.mapInPandas(shuffled, "doc_id long, text string")
     with pytest.raises(Exception, match="another order"):
         byte_bpe.encode(loose, RANKS, public_tokenizers.PATTERN).collect()
+
+
+def test_pieces_are_split_as_the_pattern_does():
+    strings = [" word", "word", " word.", "Straße!", " naïve?", "it's", " it's", "a1", " 42", "", " ", "  x", "ﬁn", "ǅ,", "日本", "x..", ".", " ×", "ɏ;", "ɐ;"]
+    find = regex.compile(public_tokenizers.PATTERN).findall
+    for letter_runs in (False, True):
+        words, flat, sizes = byte_bpe.split_pieces(pa.array(strings), public_tokenizers.PATTERN, letter_runs)
+        told, ends = words.to_pylist(), np.cumsum(sizes)
+        assert [[told[k] for k in flat[e - n:e]] for e, n in zip(ends, sizes)] == [find(x) for x in strings]
