@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import whole
+from pulsegrid.llm.common import free_unused, tidy, whole
 from pulsegrid.llm.token_counts import pieces
 
 #: Bytes of text that are numbered together.
@@ -264,7 +264,7 @@ def encode_buckets(words: DataFrame, path: str, pattern: str) -> DataFrame:
                 [*(batch.column(c) for c in ("block", "bucket", "check", "n0", "n1")), pa.array(ids, pa.binary()), pa.array(sizes, pa.binary()),
                  pa.array([step] * len(ids), pa.int32())], ["block", "bucket", "check", "n0", "n1", "ids", "sizes", "width"])
 
-    return words.mapInArrow(encode, "block long, bucket int, check long, n0 int, n1 int, ids binary, sizes binary, width int")
+    return words.mapInArrow(tidy(encode), "block long, bucket int, check long, n0 int, n1 int, ids binary, sizes binary, width int")
 
 
 def _width(n_vocab: int) -> str:
@@ -291,9 +291,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 [pa.array(np.full(n, number, np.int64)), pa.array(np.full(n, block.check, np.int64)), *rows.columns,
                  _packed(codes, bounds)], ["block", "check", "doc_id", "text_hash", "codes"])
 
-    words = keyed.mapInArrow(words_of, "bucket int, block long, check long, n0 int, n1 int, words binary, sizes binary")
+    words = keyed.mapInArrow(tidy(words_of), "bucket int, block long, check long, n0 int, n1 int, words binary, sizes binary")
     ids = encode_buckets(words.repartition("bucket").sortWithinPartitions("bucket"), path, pattern)
-    texts = keyed.mapInArrow(numbers_of, f"block long, check long, doc_id {id_type}, text_hash long, codes binary")
+    texts = keyed.mapInArrow(tidy(numbers_of), f"block long, check long, doc_id {id_type}, text_hash long, codes binary")
     return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(
         _reassemble, f"doc_id {id_type}, text_hash long, ids binary")
 
@@ -315,6 +315,7 @@ def _reassemble(texts: pa.Table, ids: pa.Table) -> pa.Table:
     codes, bounds = _unpacked(texts.column("codes").combine_chunks())
     flat = _gather(pool, starts[codes], size[codes]).astype("<i4")
     cut = 4 * np.concatenate(([0], np.cumsum(size[codes])))[bounds]
+    free_unused()
     return pa.table({"doc_id": texts.column("doc_id"), "text_hash": texts.column("text_hash"), "ids": _binary(flat.tobytes(), cut)})
 
 
@@ -362,4 +363,4 @@ def _with_bytes(encoded: DataFrame, path: str, id_col: str, ids_col: str, wanted
 
     id_type = encoded.schema[id_col].dataType.simpleString()
     kinds = ", ".join(f"{c} {'binary' if c == 'data' else 'string'}" for c in wanted)
-    return encoded.select(F.col(id_col).alias("doc_id"), ids_col).mapInArrow(run, f"doc_id {id_type}, n_tokens long, {kinds}")
+    return encoded.select(F.col(id_col).alias("doc_id"), ids_col).mapInArrow(tidy(run), f"doc_id {id_type}, n_tokens long, {kinds}")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.scratch import materialize
-from pulsegrid.llm.common import whole
+from pulsegrid.llm.common import tidy, whole
 
 SHINGLE = 5
 SIMILARITY = 75
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     ["doc_id", "n_shingles", "set_hash", "bands"])
 
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    return keyed.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
+    return keyed.mapInArrow(tidy(run), "doc_id long, n_shingles long, set_hash binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,7 +137,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_c
     marked = keyed.withColumn("bit", bit).withColumn("word", F.shiftright("bit", 6))
     near = marked.join(F.broadcast(bitmap), "word").where(
         F.call_function("shiftright", F.col("bits"), F.col("bit").bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
-    return near.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+    return near.select("id", "text").mapInArrow(tidy(run), "id long, shingles array<long>")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
