@@ -12,7 +12,7 @@ paired after that: with the smallest id of each bucket, and then all with all, b
 full sets and return links only. Links and labels stay tables throughout. Texts of documents without a candidate are
 read once; which ones are read again is told by a bitmap of fixed size, and only as a filter before an exact join.
 
-Null and empty texts have no shingles and link with nothing. Rows with a null id are their own component, null.
+Null and empty texts have no shingles and link with nothing; an empty table gives no rows. A very long text is one set in one task. Rows with a null id are their own component, null.
 Rows that share an id count as one document. Other columns do not matter.
 """
 
@@ -40,6 +40,7 @@ BANDS = 2 * PERMUTATIONS // ROWS
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 _BITMAP_BITS = 1 << 23
 _CACHE_WORDS = 1_000_000
+_SALTS = 64
 
 _rng = np.random.default_rng(20240607)
 _PLACE = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -233,13 +234,20 @@ def _hub_pairs(rows: DataFrame) -> DataFrame:
     return apart.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
 
 
+def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows with ``class_id`` where their set has copies. A large group of copies, or of rows without a set, is spread over tasks by salt."""
+    salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    placed = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int"))
+    return placed.join(salted, ["set_hash", "salt"], "left").drop("salt")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``class_id`` (least id with an equal set), ``component_id`` and ``kept`` per row of ``docs``."""
     signed = materialize(signatures(docs, id_col, text_col))
     usable = signed.where("doc_id IS NOT NULL AND set_hash IS NOT NULL")
     copies = usable.groupBy("set_hash").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     classes = copies.select("set_hash", "class_id")
-    reps = usable.join(classes, "set_hash", "left").where(F.col("doc_id") == F.coalesce("class_id", "doc_id")).select(
+    reps = _with_class(usable, classes).where(F.col("doc_id") == F.coalesce("class_id", "doc_id")).select(
         F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands")
     rows = reps.select(F.explode("bands").alias("key"), "rep", "n")
     buckets = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("last")).where("last > hub.rep")
@@ -258,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links.unionAll(rest))
     final = labels.select(F.col("id").alias("group_id"), "component")
 
-    out = signed.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left").withColumn(
+    out = _with_class(signed.select("doc_id", "n_shingles", "set_hash"), classes).withColumn(
         "class_id", F.coalesce("class_id", "doc_id"))
     out = out.join(final, F.col("class_id") == F.col("group_id"), "left").withColumn("component_id", F.coalesce("component", "class_id"))
     return out.select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
