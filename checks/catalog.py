@@ -57,12 +57,10 @@ def register(name: str, sql: str | None = None):
 
 # --- sources -------------------------------------------------------------
 
-_SPACE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
 
 @register("s1_split_frames", f"""
 SELECT doc_id, line, count(*) AS copies FROM (
-  SELECT doc_id, regexp_replace(regexp_replace(l, '^{_SPACE}+', ''), '{_SPACE}+$', '') AS line
+  SELECT doc_id, regexp_replace(regexp_replace(l, '^{raw.SPACE}+', ''), '{raw.SPACE}+$', '') AS line
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents))
 WHERE line <> '' GROUP BY doc_id, line""")
 def _(spark, sf):

@@ -12,13 +12,13 @@ from pulsegrid.sources.contracts import (
 _ENVELOPE_NAMES = [f.name for f in ENVELOPE]
 _CORRUPT = "_corrupt"
 # Fixed value: every white space character of Unicode, not only blanks.
-_SPACE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def split_frames(df: DataFrame, col: str, out: str = "line") -> DataFrame:
     """One row per non-blank line of a newline-delimited text batch."""
     lines = df.select(*[c for c in df.columns if c != col], F.explode(F.split(F.col(col), "\n")).alias(out))
-    return lines.withColumn(out, F.regexp_replace(out, f"^{_SPACE}+|{_SPACE}+$", "")).where(F.col(out) != "")
+    return lines.withColumn(out, F.regexp_replace(out, f"^{SPACE}+|{SPACE}+$", "")).where(F.col(out) != "")
 
 
 def _complete(strict_ids: bool) -> Column:
