@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.scratch import materialize
-from pulsegrid.llm.common import tidy, whole
+from pulsegrid.llm.common import free_unused, tidy, whole
 
 SHINGLE = 5
 SIMILARITY = 75
@@ -39,7 +39,7 @@ BANDS = 2 * PERMUTATIONS // ROWS
 #: Blocks of a unit of work have about so many rows and shingles at most.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 _BITMAP_BITS = 1 << 23
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 200_000
 _SALTS = 64
 
 _rng = np.random.default_rng(20240607)
@@ -213,6 +213,7 @@ def _exhaustive_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: s
             common = np.add.reduceat(mark[flat[span]], np.cumsum(sizes[y]) - sizes[y])
             mark[flat[ends[x]:ends[x + 1]]] = 0
             out += [(int(rep[x]), int(rep[z])) for z in y[100 * common >= SIMILARITY * (sizes[x] + sizes[y] - common)]]
+        free_unused()
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     return dealt.groupBy("hub", "i", "j").applyInArrow(run, "a long, b long").distinct()
