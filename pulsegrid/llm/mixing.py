@@ -5,8 +5,8 @@ its number of copies by inverting the Poisson distribution of that mean at a uni
 seed and id, is exploded by the count, and all copies are shuffled globally by another hash.
 
 The draw needs no state, so lost tasks repeat it exactly. Only counts per source are aggregated; the third of all
-rows that one source may hold never meets in one task. Null sources are the source ''; null ids draw as the text
-'null'. Rows repeated in the input draw alike and each get their copies. An empty table gives an empty table.
+rows that one source may hold never meets in one task. Null sources are the source ''; rows with a null id draw by
+all their columns instead. Rows repeated in the input draw alike and each get their copies. An empty table gives an empty table.
 Weights that are missing for a source mean that it is left out; with no weights given they follow
 ``count ** alpha``. Other columns are handed on, whatever their names.
 """
@@ -76,13 +76,14 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, alp
         joined = keyed.join(F.broadcast(rates), "__source")
     else:
         salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        salt = F.pmod(F.xxhash64(F.col("doc")[id_col]), F.lit(_SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64(F.coalesce(F.col("doc")[id_col].cast("string"), F.to_json("doc"))), F.lit(_SALTS)).cast("int")
         joined = keyed.withColumn("__salt", salt).join(salted, ["__source", "__salt"])
-    draw = uniform(seed, "count", F.col("doc")[id_col])
+    key = F.coalesce(F.col("doc")[id_col].cast("string"), F.concat(F.lit("null:"), F.to_json("doc")))
+    draw = uniform(seed, "count", key)
     drawn = joined.withColumn("__u", draw).withColumn("n_copies", F.size(F.filter("cdf", lambda c: F.col("__u") >= c)))
     copies = drawn.where(F.col("n_copies") > 0).select(
         "doc", "rate", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"))
-    keyed_copies = copies.withColumn("shuffle_key", uniform(seed, "order", F.col("doc")[id_col], F.col("copy_no")))
+    keyed_copies = copies.withColumn("shuffle_key", uniform(seed, "order", key, F.col("copy_no")))
     return keyed_copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
