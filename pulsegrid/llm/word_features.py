@@ -6,13 +6,21 @@ import re
 
 import numpy as np
 
-#: A word is a run of letters (and rare letter-like numbers), in lower case.
-find_words = re.compile(r"[^\W\d_]+").findall
-#: Longer words are represented by their first and last half of so many characters.
+_letter_runs = re.compile(r"[^\W\d_]+").findall
+#: Letters of a word at most; longer runs become several words, each of which shares half its letters with the next.
 WIDTH = 24
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64)
 
 
+def find_words(text: str) -> list[str]:
+    """Runs of letters (and rare letter-like numbers); a run above ``WIDTH`` letters as overlapping pieces that hold all of it."""
+    runs = _letter_runs(text)
+    if max(map(len, runs), default=0) <= WIDTH:
+        return runs
+    half = WIDTH // 2
+    return [r[i:i + WIDTH] for r in runs for i in (range(0, len(r) - half, half) if len(r) > WIDTH else (0,))]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
@@ -21,12 +29,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of each word, of its affixes of one to three characters (six columns) and of its two- and three-character n-grams.
 
-    Places that a short word lacks hold 0.
+    Words have ``WIDTH`` letters at most (``find_words``). Places that a short word lacks hold 0.
     """
-    short = [w if len(w) <= WIDTH else w[:WIDTH // 2] + w[-WIDTH // 2:] for w in words]
-    n = len(short)
-    raw = np.array(short, dtype=f"U{WIDTH}").view(np.uint32).reshape(n, WIDTH).astype(np.uint64)
-    size = np.fromiter(map(len, short), np.int64, n)
+    n = len(words)
+    raw = np.array(words, dtype=f"U{WIDTH}").view(np.uint32).reshape(n, WIDTH).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, n)
     code = np.zeros((n, WIDTH + 2), np.uint64)
     code[:, 1:-1] = raw
     code[:, 0] = 1
