@@ -7,19 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.scan import BLOCK, running, value_block
+from pulsegrid.functions.scan import BLOCK, BLOCKS, running, value_block
 
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], kind: str = "nearest",
-    count: str | None = None, weight: Column | None = None,
+    count: str | None = None, weight: Column | None = None, per_power: int = BLOCKS,
 ) -> DataFrame:
     """One row per ``keys`` with the quantiles named in ``probs``.
 
     ``kind``: ``nearest`` takes sorted[round((n-1)p)] (half away from zero),
     ``floor`` takes sorted[min(floor(n p), n-1)], ``linear`` interpolates.
     ``count`` names an extra column with the number of values; ``weight`` says how
-    many values a row stands for.
+    many values a row stands for. ``per_power`` is the fineness of ``value_block``.
     Equal values are counted before the shuffle, then ranked block by block.
     """
     keys = list(keys)
@@ -27,7 +27,7 @@ def exact_quantiles(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_value"))
         .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
-        .withColumn(BLOCK, value_block(F.col("_value")))
+        .withColumn(BLOCK, value_block(F.col("_value"), per_power))
     )
     ranked = running(
         histogram, keys, ["_value"], {"_upto": ("sum", F.col("_n")), "_total": ("total", F.col("_n"))}

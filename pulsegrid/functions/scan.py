@@ -18,19 +18,21 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.scratch import materialize
 
 BLOCK = "_block"
-_OFFSET = 1100 * 64  # above 64 * 1074, so every positive double maps to a positive block
+#: Blocks per power of two: for the many small groups of windows, and for whole domains, whose values may lie close together.
+BLOCKS, FINE_BLOCKS = 64, 4096
 
 
-def value_block(x: Column) -> Column:
-    """Monotone bucket of a double: 64 buckets per power of two, sign aware.
+def value_block(x: Column, per_power: int = BLOCKS) -> Column:
+    """Monotone bucket of a double: ``per_power`` buckets per power of two, sign aware.
 
     Infinities have end blocks of their own; NaN, which sorts last, has the last.
     Never null, so that both sides of the carry join keep the same plan and share
     one exchange.
     """
     infinite = F.abs(x) == float("inf")
-    scaled = F.floor(F.log2(F.when(infinite | F.isnan(x), None).otherwise(F.abs(x))) * 64) + F.lit(_OFFSET)
-    end = F.lit(4 * _OFFSET)
+    offset = 1100 * per_power  # above 1074 powers, so every positive double maps to a positive block
+    scaled = F.floor(F.log2(F.when(infinite | F.isnan(x), None).otherwise(F.abs(x))) * per_power) + F.lit(offset)
+    end = F.lit(4 * offset)
     bucket = F.when(F.isnan(x), end + 1).when(infinite, F.when(x > 0, end).otherwise(-end)).when(
         x == 0, F.lit(0)).when(x > 0, scaled).otherwise(-scaled).cast("long")
     return F.coalesce(bucket, F.lit(0).cast("long"))

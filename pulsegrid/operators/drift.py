@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.functions.quantile import exact_quantiles
-from pulsegrid.functions.scan import BLOCK, running, value_block
+from pulsegrid.functions.scan import BLOCK, FINE_BLOCKS, running, value_block
 from pulsegrid.functions.scratch import publish_once
 from pulsegrid.operators.refit import BUFFER, FIRST_FIT
 from pulsegrid.operators.sequence import feature_names_of
@@ -55,7 +55,7 @@ def psi(baseline: DataFrame, live: DataFrame, bins: int = BINS) -> DataFrame:
     outside them are ignored; fewer than three edges give 0. Every feature of the baseline has a row.
     """
     probs = {f"q{i}": i / bins for i in range(bins + 1)}
-    edges = exact_quantiles(baseline, _KEYS, "value", probs, "linear").select(
+    edges = exact_quantiles(baseline, _KEYS, "value", probs, "linear", per_power=FINE_BLOCKS).select(
         *_KEYS, F.array_distinct(F.array(*probs)).alias("edges")
     )
 
@@ -100,7 +100,7 @@ def ks_two_sample(baseline: DataFrame, live: DataFrame, method: str = "exact") -
     Both samples are counted per distinct value, then run through value blocks, so
     one feature of a whole table is never sorted in one task.
     """
-    counted = _side_counts(baseline, live).withColumn(BLOCK, value_block(F.col("value")))
+    counted = _side_counts(baseline, live).withColumn(BLOCK, value_block(F.col("value"), FINE_BLOCKS))
     steps = running(counted, _KEYS, ["value"], {
         "upto_b": ("sum", F.col("b")), "upto_l": ("sum", F.col("l")),
         "n_b": ("total", F.col("b")), "n_l": ("total", F.col("l")),
@@ -207,7 +207,8 @@ def model_metrics(
     Quality columns stay null: they need labels, which a live check has not.
     """
     elapsed = max(elapsed_s, 1e-6)
-    times = exact_quantiles(scored, ["domain"], timing, {"p50_inference_ms": 0.50, "p99_inference_ms": 0.99}, "floor")
+    probs = {"p50_inference_ms": 0.50, "p99_inference_ms": 0.99}
+    times = exact_quantiles(scored, ["domain"], timing, probs, "floor", per_power=FINE_BLOCKS)
     counts = scored.groupBy("domain").agg(F.count(F.lit(1)).alias("events_scored"))
     none = F.lit(None).cast("double")
     return drift.join(counts, "domain", "left").join(times, "domain", "left").select(

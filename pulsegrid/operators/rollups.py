@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.quantile import exact_quantiles
+from pulsegrid.functions.scan import FINE_BLOCKS
 from pulsegrid.sources.contracts import DOMAINS, SEVERITIES
 from pulsegrid.sources.tables import since
 
@@ -188,7 +189,7 @@ def latency_quantiles(alerts: DataFrame, now: datetime, seconds: int) -> DataFra
     """Exact p50 / p95 / p99 of alert latency and the row count since then."""
     recent = since(alerts, "ts", timedelta(seconds=seconds), now)
     probs = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
-    return exact_quantiles(recent, [], "latency_ingest_to_alert_ms", probs, "linear", count="n")
+    return exact_quantiles(recent, [], "latency_ingest_to_alert_ms", probs, "linear", count="n", per_power=FINE_BLOCKS)
 
 
 def stage_throughput(

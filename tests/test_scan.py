@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.quantile import exact_quantiles
-from pulsegrid.functions.scan import BLOCK, numbered, range_blocks, running, segments_with_halo, value_block
+from pulsegrid.functions.scan import BLOCK, FINE_BLOCKS, numbered, range_blocks, running, segments_with_halo, value_block
 from pulsegrid.functions.scratch import scratch_root
 
 
@@ -113,3 +113,14 @@ def test_value_blocks_take_infinities_and_nan(spark):
     frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
     got = [r["b"] for r in frame.select("i", value_block(F.col("v")).alias("b")).orderBy("i").collect()]
     assert got == sorted(got) and len(set(got)) == len(got)
+
+
+def test_close_values_of_a_domain_fall_into_many_blocks(spark):
+    values = [20.0 + 0.2 * i / 1000 for i in range(1000)]
+    extremes = [float("-inf"), -1e308, -20.1, -5e-324, 0.0, 5e-324, *values, 1e308, float("inf"), float("nan")]
+    df = spark.createDataFrame([(x,) for x in extremes], "x double").select("x", value_block(F.col("x"), FINE_BLOCKS).alias("b"))
+    blocks = [r["b"] for r in df.collect()]
+    assert blocks == sorted(blocks) and len(set(blocks[6:-3])) > 40
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    fine, coarse = (exact_quantiles(df, [], "x", {"p": 0.37, "q": 0.99}, "linear", per_power=n).first() for n in (FINE_BLOCKS, 64))
+    assert fine == coarse
