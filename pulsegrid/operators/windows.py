@@ -82,15 +82,25 @@ def market_windows(assigned: DataFrame, split: str = "time") -> DataFrame:
     """
     price, size = F.col("m_price"), F.col("m_size")
     keys = ["window_start", "entity_key"]
-    ticks = assigned.where(F.col("domain") == "market").select(
-        *keys, "window_size_s", *TICK_ORDER, "corrupted", "m_price", "m_size", "m_side", "m_bid", "m_ask",
+    market = assigned.where(F.col("domain") == "market")
+    spread = F.when(F.abs(price) > EPSILON, (F.col("m_ask") - F.col("m_bid")) / price * 1e4).otherwise(0.0)
+    # Sums need no order: they are formed before the shuffle, and only the price goes into the order.
+    sums = market.groupBy(*keys).agg(
+        F.max("window_size_s").alias("window_size_s"),
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(F.col("corrupted").cast("long")).alias("_errors"),
+        F.sum(price * size).alias("_pq"),
+        F.sum(size).alias("_q"),
+        F.sum(spread).alias("_spread"),
+        F.sum(F.when(F.col("m_side") == "buy", size).otherwise(0.0)).alias("_buy"),
+        F.sum(F.when(F.col("m_side") == "sell", size).otherwise(0.0)).alias("_sell"),
     )
     if split == "time":
         slice_us = (F.col("window_size_s") * (1_000_000 / SLICES_PER_WINDOW)).cast("long")
         run = F.floor(F.unix_micros("ts_event") / slice_us).cast("long")
-        runs = ticks.withColumn("_run", run)
+        runs = market.select(run.alias("_run"), *keys, *TICK_ORDER, "m_price")
     elif split == "range":
-        ranged = ticks.repartitionByRange("entity_key", *TICK_ORDER)
+        ranged = market.select(*keys, *TICK_ORDER, "m_price").repartitionByRange("entity_key", *TICK_ORDER)
         runs = ranged.withColumn("_run", F.spark_partition_id().cast("long"))
     else:
         raise ValueError("split must be 'time' or 'range'")
@@ -98,38 +108,25 @@ def market_windows(assigned: DataFrame, split: str = "time") -> DataFrame:
     # A price is never null, so a missing neighbour marks the ends of a run.
     runs = runs.withColumns({"_before": F.lag(price).over(in_run), "_after": F.lead(price).over(in_run)})
     within = _log_return(price, F.col("_before"))
-    spread = F.when(F.abs(price) > EPSILON, (F.col("m_ask") - F.col("m_bid")) / price * 1e4).otherwise(0.0)
-    sums = ["_n", "_errors", "_pq", "_q", "_spread", "_buy", "_sell"]
     per_run = runs.groupBy("_run", *keys).agg(
-        F.max("window_size_s").alias("window_size_s"),
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(F.col("corrupted").cast("long")).alias("_errors"),
-        F.sum(price * size).alias("_pq"),
-        F.sum(size).alias("_q"),
-        F.sum(spread).alias("_spread"),
-        F.sum(F.when(F.col("m_side") == "buy", size).otherwise(0.0)).alias("_buy"),
-        F.sum(F.when(F.col("m_side") == "sell", size).otherwise(0.0)).alias("_sell"),
         F.sum(within * within).alias("_ssq"),
         F.max(F.when(F.col("_before").isNull(), price)).alias("_first_price"),
         F.max(F.when(F.col("_after").isNull(), price)).alias("_last_price"),
     )
     # Returns between the runs of a window; a window has few runs.
     run_order = Window.partitionBy(*keys).orderBy("_run")
-    per_window = (
-        per_run.withColumns({
-            "_edge": _log_return(F.col("_first_price"), F.lag("_last_price").over(run_order)),
-            "_is_first": F.lag(F.lit(1)).over(run_order).isNull(),
-            "_is_last": F.lead(F.lit(1)).over(run_order).isNull(),
-        })
-        .groupBy(*keys)
-        .agg(
-            F.max("window_size_s").alias("window_size_s"),
-            *[F.sum(c).alias(c) for c in sums],
-            (F.coalesce(F.sum("_ssq"), F.lit(0.0)) + F.coalesce(F.sum(F.col("_edge") * F.col("_edge")), F.lit(0.0)))
-            .alias("_ssq"),
-            F.max(F.when(F.col("_is_first"), F.col("_first_price"))).alias("_first_price"),
-            F.max(F.when(F.col("_is_last"), F.col("_last_price"))).alias("_last_price"),
-        )
+    edges = per_run.withColumns({
+        "_edge": _log_return(F.col("_first_price"), F.lag("_last_price").over(run_order)),
+        "_is_first": F.lag(F.lit(1)).over(run_order).isNull(),
+        "_is_last": F.lead(F.lit(1)).over(run_order).isNull(),
+    })
+    # The sums of a window are one more row beside its runs: unlike a join, that keeps windows with a null key.
+    per_window = edges.unionByName(sums, allowMissingColumns=True).groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in sums.columns if c not in keys],
+        (F.coalesce(F.sum("_ssq"), F.lit(0.0)) + F.coalesce(F.sum(F.col("_edge") * F.col("_edge")), F.lit(0.0)))
+        .alias("_ssq"),
+        F.max(F.when(F.col("_is_first"), F.col("_first_price"))).alias("_first_price"),
+        F.max(F.when(F.col("_is_last"), F.col("_last_price"))).alias("_last_price"),
     )
     # Return between windows: one row per window, so an entity's rows are bounded
     # by elapsed time over window length, however many ticks it has.

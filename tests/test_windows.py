@@ -130,3 +130,26 @@ def test_emit_lag_is_never_negative(spark):
     df = series(spark, [1.0, 1.0])
     got = rows_by(emit_lag(df, F.lit(at(7.5))), "window_end")
     assert list(got["emit_lag_ms"]) == [2500.0, 0.0]
+
+
+def _window_inputs(plan):
+    """Column names that go into the window nodes of a plan."""
+    children = [plan.children().apply(i) for i in range(plan.children().size())]
+    found = {a for c in children for a in _window_inputs(c)}
+    if plan.nodeName() == "Window":
+        outputs = children[0].output()
+        found |= {outputs.apply(i).name() for i in range(outputs.size())}
+    return found
+
+
+def test_only_prices_are_put_in_order(spark):
+    rows = [tick("a", i, i * 0.3, 100 + i % 3, size=2.0) for i in range(20)]
+    got = market_windows(assign_windows(events(spark, rows), {"market": 2.0}))
+    ordered = _window_inputs(got._jdf.queryExecution().optimizedPlan())
+    assert "m_price" in ordered and not ordered & {"m_size", "m_side", "m_bid", "m_ask", "corrupted"}
+
+
+def test_a_window_without_entity_keeps_its_sums(spark):
+    rows = [tick(e, i, i * 0.3, 100 + i % 3, size=2.0) for i, e in enumerate([None, "a"] * 6)]
+    got = market_windows(assign_windows(events(spark, rows), {"market": 2.0})).groupBy("entity_key").sum("count").collect()
+    assert {tuple(r) for r in got} == {(None, 6), ("a", 6)}
