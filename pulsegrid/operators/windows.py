@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.quantile import exact_quantiles
+from pulsegrid.functions.scratch import materialize
 
 # Window seconds per domain, seconds per year, and the price
 # magnitude under which a spread is not formed.
@@ -15,7 +16,8 @@ EPSILON = 2.220446049250313e-16
 
 # The most selective number first: sorts then rarely compare text.
 WINDOW_KEYS = ["window_start", "entity_key", "domain"]
-TICK_ORDER = ["ts_event", "seq", "event_id"]
+POSITION = ["ts_event", "seq"]
+TICK_ORDER = [*POSITION, "event_id"]
 SLICES_PER_WINDOW = 64
 _SALTS = 16
 
@@ -98,21 +100,14 @@ def market_windows(assigned: DataFrame, split: str = "time") -> DataFrame:
     if split == "time":
         slice_us = (F.col("window_size_s") * (1_000_000 / SLICES_PER_WINDOW)).cast("long")
         run = F.floor(F.unix_micros("ts_event") / slice_us).cast("long")
-        runs = market.select(run.alias("_run"), *keys, *TICK_ORDER, "m_price")
+        per_run = _runs_by_position(market.select(run.alias("_run"), *keys, *TICK_ORDER, "m_price"), keys)
     elif split == "range":
         ranged = market.select(*keys, *TICK_ORDER, "m_price").repartitionByRange("entity_key", *TICK_ORDER)
-        runs = ranged.withColumn("_run", F.spark_partition_id().cast("long"))
+        runs = ranged.withColumns({"_run": F.spark_partition_id().cast("long"), "_open": F.lit(False)})
+        pairs = _with_neighbours(runs, ["_run", *keys], TICK_ORDER)
+        per_run = pairs.groupBy("_run", *keys).agg(*_pair_sums(~F.col("_open_before"), ~F.col("_open_after")))
     else:
         raise ValueError("split must be 'time' or 'range'")
-    in_run = Window.partitionBy("_run", *keys).orderBy(*TICK_ORDER)
-    # A price is never null, so a missing neighbour marks the ends of a run.
-    runs = runs.withColumns({"_before": F.lag(price).over(in_run), "_after": F.lead(price).over(in_run)})
-    within = _log_return(price, F.col("_before"))
-    per_run = runs.groupBy("_run", *keys).agg(
-        F.sum(within * within).alias("_ssq"),
-        F.max(F.when(F.col("_before").isNull(), price)).alias("_first_price"),
-        F.max(F.when(F.col("_after").isNull(), price)).alias("_last_price"),
-    )
     # Returns between the runs of a window; a window has few runs.
     run_order = Window.partitionBy(*keys).orderBy("_run")
     edges = per_run.withColumns({
@@ -150,6 +145,64 @@ def market_windows(assigned: DataFrame, split: str = "time") -> DataFrame:
     )
 
 
+def _runs_by_position(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Squared returns, first and last price of every run, with event ids for the few ticks that need them.
+
+    An id only decides between ticks of one entity with the same instant and ``seq``, and only if their prices differ: such
+    a position is *open*. All other pairs of neighbours are known from the order of positions, so the ticks are shuffled
+    and sorted without ids, which are most of their bytes. Ticks of open positions are read again with their ids and put
+    in order between the positions beside them, which were kept for that. Sums are the same as over the full order.
+    """
+    run, price = ["_run", *keys], F.col("m_price")
+    tied = Window.partitionBy(*run).orderBy(*POSITION).rangeBetween(Window.currentRow, Window.currentRow)
+    prices, ticks = F.count(price).over(tied), F.count(F.lit(1)).over(tied)
+    differ = (F.min(price).over(tied) != F.max(price).over(tied)) | ((prices > 0) & (prices < ticks))
+    placed = _with_neighbours(
+        runs.select(*run, *POSITION, "m_price").withColumn("_open", F.coalesce(differ, F.lit(False))), run, POSITION)
+    beside = F.col("_open_before") | F.col("_open_after")
+    mark = F.when(F.col("_open"), "open").when(beside, "beside")
+    known = placed.groupBy(
+        *run, mark.alias("_mark"), *[F.when(mark.isNotNull(), F.col(c)).alias(c) for c in POSITION]
+    ).agg(
+        *_pair_sums(~F.col("_open") & ~F.col("_open_before"), ~F.col("_open") & ~F.col("_open_after")),
+        F.max(price).alias("m_price"),
+    )
+    # One row per run and up to three per open position: stored, as both steps below read it.
+    known = materialize(known)
+    place = [*run, *POSITION]
+    at = known.where("_mark = 'open'").select(*[F.col(c).alias(f"_at_{c}") for c in place])
+    same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in place]
+    again = runs.join(at, same, "left_semi").withColumn("_open", F.lit(True)).unionByName(
+        known.where("_mark = 'beside'").select(*place, "m_price", F.lit(False).alias("_open")), allowMissingColumns=True)
+    settled = _with_neighbours(again, run, TICK_ORDER).groupBy(*run).agg(
+        *_pair_sums(F.col("_open") | F.col("_open_before"), F.col("_open") | F.col("_open_after")))
+    return known.select(*settled.columns).unionByName(settled).groupBy(*run).agg(
+        F.sum("_ssq").alias("_ssq"), F.max("_first_price").alias("_first_price"), F.max("_last_price").alias("_last_price"))
+
+
+def _with_neighbours(ticks: DataFrame, run: list[str], order: list[str]) -> DataFrame:
+    """Price and ``_open`` of the tick before and after inside a run."""
+    w = Window.partitionBy(*run).orderBy(*order)
+    return ticks.withColumns({
+        "_before": F.lag("m_price").over(w), "_after": F.lead("m_price").over(w),
+        "_open_before": F.lag("_open", 1, False).over(w), "_open_after": F.lead("_open", 1, False).over(w),
+    })
+
+
+def _pair_sums(before: Column, after: Column) -> list[Column]:
+    """What a run adds up, over the neighbours before and after that are asked for.
+
+    A price is never null, so a missing neighbour marks the ends of a run.
+    """
+    price = F.col("m_price")
+    within = _log_return(price, F.col("_before"))
+    return [
+        F.sum(F.when(before, within * within)).alias("_ssq"),
+        F.max(F.when(before & F.col("_before").isNull(), price)).alias("_first_price"),
+        F.max(F.when(after & F.col("_after").isNull(), price)).alias("_last_price"),
+    ]
+
+
 def _window_end() -> Column:
     micros = (F.col("window_size_s") * 1_000_000).cast("long")
     return F.timestamp_micros(F.unix_micros("window_start") + micros).alias("window_end")

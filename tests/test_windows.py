@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from builders import at, events, rows_by, series, tick, txn
+from pulsegrid.operators import windows
 from pulsegrid.operators.ewma import ewma_zscore
-from pulsegrid.operators.windows import assign_windows, emit_lag, market_windows, window_features
+from pulsegrid.operators.windows import TICK_ORDER, assign_windows, emit_lag, market_windows, window_features
 
 SIZES = {"market": 2.0, "payments": 5.0}
 
@@ -153,3 +154,48 @@ def test_a_window_without_entity_keeps_its_sums(spark):
     rows = [tick(e, i, i * 0.3, 100 + i % 3, size=2.0) for i, e in enumerate([None, "a"] * 6)]
     got = market_windows(assign_windows(events(spark, rows), {"market": 2.0})).groupBy("entity_key").sum("count").collect()
     assert {tuple(r) for r in got} == {(None, 6), ("a", 6)}
+
+
+def test_event_ids_stay_out_of_the_tick_order(spark, monkeypatch):
+    stored, store = [], windows.materialize
+    monkeypatch.setattr(windows, "materialize", lambda df: stored.append(df) or store(df))
+    rows = [tick("a", i, i * 0.3, 100 + i % 3) for i in range(20)]
+    market_windows(assign_windows(events(spark, rows), SIZES))
+    ordered = _window_inputs(stored[0]._jdf.queryExecution().optimizedPlan())
+    assert "m_price" in ordered and "event_id" not in ordered
+
+
+def test_ids_decide_between_ticks_of_one_position(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in rng.permutation(1500):
+        row = list(tick(f"s{rng.integers(3)}", int(i), int(rng.integers(0, 24)) / 4, float(100 + rng.integers(0, 4))))
+        row[3] = int(rng.integers(0, 6))  # few numbers, so that many ticks share a position
+        rows.append(tuple(row))
+    got = market_windows(assign_windows(events(spark, rows), SIZES)).toPandas()
+    want = brute_market(rows)
+    assert len(got) == len(want)
+    for _, r in got.iterrows():
+        vol, vwap = want[(r["entity_key"], int((r["window_start"] - at(0)).total_seconds() / 2))]
+        assert r["realized_vol"] == pytest.approx(vol) and r["vwap"] == pytest.approx(vwap)
+
+
+def test_runs_by_position_equal_runs_in_full_order(spark):
+    rng = np.random.default_rng(12)
+
+    def some(value):
+        return None if rng.random() < 0.2 else value
+
+    rows = [(int(rng.integers(4)), some("a"), some(at(0)), some(int(rng.integers(0, 12))), f"e{i}", some(float(rng.integers(-1, 4))))
+            for i in rng.permutation(400)]
+    rows += rows[:100]  # repeats
+    runs = spark.createDataFrame(rows, "_run long, entity_key string, ts_event timestamp, seq long, event_id string, m_price double")
+    full = windows._with_neighbours(runs.withColumn("_open", F.lit(False)), ["_run", "entity_key"], TICK_ORDER)
+    want = full.groupBy("_run", "entity_key").agg(*windows._pair_sums(F.lit(True), F.lit(True)))
+    got = windows._runs_by_position(runs, ["entity_key"])
+    assert got.columns == want.columns
+
+    def rounded(df):
+        return sorted((tuple(None if x is None else round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=str)
+
+    assert rounded(got) == rounded(want)
