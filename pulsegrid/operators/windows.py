@@ -20,6 +20,7 @@ POSITION = ["ts_event", "seq"]
 TICK_ORDER = [*POSITION, "event_id"]
 SLICES_PER_WINDOW = 64
 _SALTS = 16
+_FINER = 4  # partitions of the tick order per shuffle partition
 
 FEATURE_COLUMNS = [
     "entity_key", "domain", "window_start", "window_end", "window_size_s", "count", "throughput_eps",
@@ -154,11 +155,12 @@ def _runs_by_position(runs: DataFrame, keys: list[str]) -> DataFrame:
     in order between the positions beside them, which were kept for that. Sums are the same as over the full order.
     """
     run, price = ["_run", *keys], F.col("m_price")
-    tied = Window.partitionBy(*run).orderBy(*POSITION).rangeBetween(Window.currentRow, Window.currentRow)
+    # The position is part of the key: a frame of peers would be built anew at every tick.
+    tied = Window.partitionBy(*run, *POSITION)
     prices, ticks = F.count(price).over(tied), F.count(F.lit(1)).over(tied)
     differ = (F.min(price).over(tied) != F.max(price).over(tied)) | ((prices > 0) & (prices < ticks))
-    placed = _with_neighbours(
-        runs.select(*run, *POSITION, "m_price").withColumn("_open", F.coalesce(differ, F.lit(False))), run, POSITION)
+    gathered = _gathered(runs.select(*run, *POSITION, "m_price"), run)
+    placed = _with_neighbours(gathered.withColumn("_open", F.coalesce(differ, F.lit(False))), run, POSITION)
     beside = F.col("_open_before") | F.col("_open_after")
     mark = F.when(F.col("_open"), "open").when(beside, "beside")
     known = placed.groupBy(
@@ -180,6 +182,16 @@ def _runs_by_position(runs: DataFrame, keys: list[str]) -> DataFrame:
         F.sum("_ssq").alias("_ssq"), F.max("_first_price").alias("_first_price"), F.max("_last_price").alias("_last_price"))
 
 
+def _gathered(ticks: DataFrame, run: list[str]) -> DataFrame:
+    """Ticks of a run side by side in one task, so that sorting them by text and position touches memory that is close.
+
+    The sort by one number is a radix sort. It holds the rows a second time while the windows sort them, so partitions are
+    finer than the session's; their number is fixed, as coalesced ones would spill.
+    """
+    width = _FINER * int(ticks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ticks.repartition(width, *run).sortWithinPartitions(run[0])
+
+
 def _with_neighbours(ticks: DataFrame, run: list[str], order: list[str]) -> DataFrame:
     """Price and ``_open`` of the tick before and after inside a run."""
     w = Window.partitionBy(*run).orderBy(*order)

@@ -199,3 +199,29 @@ def test_runs_by_position_equal_runs_in_full_order(spark):
         return sorted((tuple(None if x is None else round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=str)
 
     assert rounded(got) == rounded(want)
+
+
+def test_ticks_of_a_run_are_gathered_in_fine_partitions_before_they_are_ordered(spark):
+    run = ["_run", "window_start", "entity_key"]
+    ticks = spark.range(3000).select(
+        (F.col("id") * 7919 % 60).alias("_run"), F.lit(at(0)).alias("window_start"),
+        F.concat(F.lit("s"), F.col("id") % 5).alias("entity_key"), F.col("id").alias("seq"))
+    got = windows._gathered(ticks, run).rdd.glom().collect()
+    assert len(got) == 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(r["seq"] for part in got for r in part) == list(range(3000))
+    homes = {}
+    for i, part in enumerate(got):
+        assert [r["_run"] for r in part] == sorted(r["_run"] for r in part)
+        for r in part:
+            assert homes.setdefault((r["_run"], r["entity_key"]), i) == i
+
+
+def test_a_position_is_open_by_all_its_prices_and_not_by_neighbours_alone(spark):
+    # Three ticks of one position, of which two have one price; the ids put the other between them.
+    rows = [tick("s", 1, 0.1, 100.0), tick("s", 2, 0.2, 100.0), tick("s", 3, 0.2, 104.0), tick("s", 4, 0.2, 100.0),
+            tick("s", 9, 0.3, 101.0)]
+    df = events(spark, rows).withColumn("seq", F.when(F.col("seq").isin(2, 3, 4), F.lit(2)).otherwise(F.col("seq")))
+    got = market_windows(assign_windows(df, SIZES)).first()["realized_vol"]
+    steps = [100.0, 100.0, 104.0, 100.0, 101.0]
+    ssq = sum(math.log(b / a) ** 2 for a, b in zip(steps, steps[1:], strict=False))
+    assert got == pytest.approx(math.sqrt(ssq * 31_536_000 / 2.0))
