@@ -20,7 +20,8 @@ POSITION = ["ts_event", "seq"]
 TICK_ORDER = [*POSITION, "event_id"]
 SLICES_PER_WINDOW = 64
 _SALTS = 16
-_FINER = 4  # partitions of the tick order per shuffle partition
+_FINER = 4  # least partitions of the tick order per shuffle partition
+_TICKS_PER_PARTITION = 1_000_000  # ticks of the order that a partition holds on average, at most
 
 FEATURE_COLUMNS = [
     "entity_key", "domain", "window_start", "window_end", "window_size_s", "count", "throughput_eps",
@@ -186,9 +187,11 @@ def _gathered(ticks: DataFrame, run: list[str]) -> DataFrame:
     """Ticks of a run side by side in one task, so that sorting them by text and position touches memory that is close.
 
     The sort by one number is a radix sort. It holds the rows a second time while the windows sort them, so partitions are
-    finer than the session's; their number is fixed, as coalesced ones would spill.
+    finer than the session's, and there are more of them the more ticks there are: a task then holds the same at any size
+    and need not spill. The count that takes reads no column of a Parquet source. Coalesced partitions would spill.
     """
-    width = _FINER * int(ticks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = _FINER * int(ticks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = max(least, -(-ticks.count() // _TICKS_PER_PARTITION))
     return ticks.repartition(width, *run).sortWithinPartitions(run[0])
 
 

@@ -216,6 +216,20 @@ def test_ticks_of_a_run_are_gathered_in_fine_partitions_before_they_are_ordered(
             assert homes.setdefault((r["_run"], r["entity_key"]), i) == i
 
 
+def test_more_ticks_go_to_more_partitions_of_the_tick_order(spark, monkeypatch):
+    monkeypatch.setattr(windows, "_TICKS_PER_PARTITION", 50, raising=False)
+    run = ["_run", "window_start", "entity_key"]
+    ticks = spark.range(3000).select(
+        (F.col("id") * 7919 % 600).alias("_run"), F.lit(at(0)).alias("window_start"), F.lit("s").alias("entity_key"), F.col("id").alias("seq"))
+    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for n, want in ((0, least), (50 * least, least), (2000, 40), (2001, 41), (3000, 60)):
+        got = windows._gathered(ticks.where(F.col("seq") < n), run).rdd.glom().collect()
+        assert len(got) == want
+        assert sorted(r["seq"] for part in got for r in part) == list(range(n))
+        homes = {(r["_run"], i) for i, part in enumerate(got) for r in part}
+        assert len(homes) == len({r for r, _i in homes})
+
+
 def test_a_position_is_open_by_all_its_prices_and_not_by_neighbours_alone(spark):
     # Three ticks of one position, of which two have one price; the ids put the other between them.
     rows = [tick("s", 1, 0.1, 100.0), tick("s", 2, 0.2, 100.0), tick("s", 3, 0.2, 104.0), tick("s", 4, 0.2, 100.0),
