@@ -39,6 +39,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that ``materialize`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if "/pulsegrid-" in folder:
+            fs, path = file_system(spark, folder)
+            fs.delete(path, True)
+
+
 def file_system(spark: SparkSession, path: str):
     """The file system that holds ``path``, and ``path`` as its own path object."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -15,11 +15,12 @@ from pulsegrid.functions.scratch import file_system, materialize
 from pulsegrid.operators import booster
 from pulsegrid.operators.booster import Booster
 from pulsegrid.operators.calibration import calibrate
+from pulsegrid.operators.joint_fits import fit_jointly
 
 #: Rounds without a better hold-out score after which boosting ends.
 PATIENCE = 15
-#: Rows of a domain that trees are grown on, at most about; edges of bins, scores and reports come from all rows.
-FIT_ROWS = 100_000
+#: Rows of a fold up to which one task makes a whole fit; all tasks together make the fits of larger folds.
+TASK_ROWS = 100_000
 _ACCURACY = 10_000
 _NODES = "feature array<int>, threshold array<double>, left array<int>, right array<int>, value array<double>, cover array<double>, roots array<int>"
 FITS_SCHEMA = (
@@ -39,11 +40,11 @@ def param_grid(
     ]
 
 
-def binned(folds: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, dict[tuple[str, int], list[np.ndarray]]]:
+def binned(folds: DataFrame, fit_rows: int | None = None) -> tuple[DataFrame, dict[tuple[str, int], list[np.ndarray]]]:
     """Stored training rows with one byte per feature, and the edges of the bins by (domain, fold).
 
-    Edges are quantiles of all training rows of a fold, merged from sketches of every task. A domain above ``fit_rows``
-    rows keeps a share of its rows by a hash of (entity, window end), the same ones in every fold. ``folds`` has
+    Edges are quantiles of all training rows of a fold, merged from sketches of every task. All rows are kept, unless the caller
+    asks for about ``fit_rows`` rows of a domain by a hash of (entity, window end), the same ones in every fold. ``folds`` has
     ``domain, fold, role, entity_key, window_end, vector, label``.
     """
     n_features = folds.agg(F.max(F.size("vector")).alias("n")).first()["n"] or 0
@@ -52,10 +53,12 @@ def binned(folds: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, dict[
         F.percentile_approx(F.element_at("vector", f + 1), probs, _ACCURACY).alias(f"f{f}") for f in range(n_features)])
     # One row per domain and fold, each of features x 255 numbers.
     edges = {(r["domain"], r["fold"]): [np.unique(np.array(r[f"f{f}"])) for f in range(n_features)] for r in quantiles.collect()}
-    sizes = folds.groupBy("domain").agg(F.countDistinct("entity_key", "window_end").alias("_n"))
-    cut = F.lit(float(fit_rows)) / F.col("_n") * F.lit(float(1 << 31))
-    sample = folds.join(sizes, "domain").where(
-        F.pmod(F.xxhash64(F.lit(29), "entity_key", "window_end"), F.lit(1 << 31)).cast("double") < cut)
+    chosen = folds
+    if fit_rows is not None:
+        sizes = folds.groupBy("domain").agg(F.countDistinct("entity_key", "window_end").alias("_n"))
+        cut = F.lit(float(fit_rows)) / F.col("_n") * F.lit(float(1 << 31))
+        chosen = folds.join(sizes, "domain").where(
+            F.pmod(F.xxhash64(F.lit(29), "entity_key", "window_end"), F.lit(1 << 31)).cast("double") < cut)
 
     def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,17 +72,19 @@ def binned(folds: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, dict[
                 [batch.column("domain"), batch.column("fold"), batch.column("held_out"), batch.column("label"),
                  pa.array([r.tobytes() for r in out], pa.binary())], ["domain", "fold", "held_out", "label", "bins"])
 
-    rows = sample.select("domain", "fold", (F.col("role") == "test").alias("held_out"), F.col("label").cast("int").alias("label"), "vector")
+    rows = chosen.select("domain", "fold", (F.col("role") == "test").alias("held_out"), F.col("label").cast("int").alias("label"), "vector")
     return materialize(rows.mapInArrow(to_bytes, "domain string, fold int, held_out boolean, label int, bins binary")), edges
 
 
 def fit_boosters(
-    folds: DataFrame, points: Sequence[dict], rounds: int = 300, patience: int = PATIENCE, fit_rows: int = FIT_ROWS
+    folds: DataFrame, points: Sequence[dict], rounds: int = 300, patience: int = PATIENCE, fit_rows: int | None = None,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """Every (domain, fold, grid point) fitted, all in one job: one row per fit, with its trees.
+    """Every (domain, fold, grid point) fitted on all rows of its fold: one row per fit, with its trees.
 
-    A fit reads at most about ``fit_rows`` rows of one byte per feature, so the fits are independent tasks of bounded size. Folds without
-    rows on either side give no row; without positives on either side the score is null and there are no trees.
+    Fits of folds up to ``task_rows`` rows of one byte per feature are independent tasks of one job; larger folds are fitted by all tasks
+    together (``joint_fits``). Folds without rows on either side give no row; without positives on either side the score is null
+    and there are no trees. ``fit_rows`` is that of ``binned``.
     """
     rows, edges = binned(folds, fit_rows)
     grid = [dict(p) for p in points]
@@ -108,9 +113,36 @@ def fit_boosters(
         trees = {c: pa.array([None if model is None else getattr(model, c).tolist()], pa.list_(kinds.get(c, pa.float64()))) for c in names}
         return pa.table({c: pa.array(v) for c, v in head.items()} | ints | reals | trees)
 
-    usable = F.count(F.when(F.col("held_out"), 1)).alias("_a"), F.count(F.when(~F.col("held_out"), 1)).alias("_b")
-    both = rows.groupBy("domain", "fold").agg(*usable).where("_a > 0 and _b > 0").select("domain", "fold")
-    return materialize(each.join(both, ["domain", "fold"]).groupBy("domain", "fold", "point").applyInArrow(fit, FITS_SCHEMA))
+    held, train = F.col("held_out"), ~F.col("held_out")
+    sizes = rows.where("domain IS NOT NULL").groupBy("domain", "fold").agg(
+        F.count(F.when(held, 1)).alias("_a"), F.count(F.when(train, 1)).alias("_b"),
+        F.sum(F.when(held, F.col("label"))).alias("_c"), F.sum(F.when(train, F.col("label"))).alias("_d")).where("_a > 0 and _b > 0")
+    within = F.col("_a") + F.col("_b") <= task_rows
+    fits = each.join(sizes.where(within).select("domain", "fold"), ["domain", "fold"]).groupBy("domain", "fold", "point").applyInArrow(
+        fit, FITS_SCHEMA)
+    large = sizes.where(~within).collect()  # one row per domain and fold
+    return materialize(fits.unionByName(_joint(rows, large, edges, grid, rounds, patience)) if large else fits)
+
+
+def _joint(
+    rows: DataFrame, sizes: list, edges: dict[tuple[str, int], list[np.ndarray]], grid: Sequence[dict], rounds: int, patience: int
+) -> DataFrame:
+    """``FITS_SCHEMA`` rows of the folds in ``sizes``; the driver holds their trees."""
+    spark, names = rows.sparkSession, [f.split(" ")[0] for f in FITS_SCHEMA.split(", ")]
+    sound = sorted((r for r in sizes if r["_c"] and r["_d"]), key=lambda r: (r["domain"], r["fold"]))
+    keys = [(r["domain"], r["fold"]) for r in sound]
+    made = {}
+    if keys:
+        parts = spark.createDataFrame([(d, f, p) for p, (d, f) in enumerate(keys)], "domain string, fold int, part int")
+        made = fit_jointly(rows.join(parts, ["domain", "fold"]), keys, [r["_d"] / r["_b"] for r in sound], edges, grid, rounds, patience)
+    out = []
+    for r in sizes:
+        key = r["domain"], r["fold"]
+        for i in range(len(grid)):
+            nodes, base, best, score = made[keys.index(key), i] if key in keys else ({}, None, None, None)
+            values = [*key, i, r["_b"], r["_d"], r["_a"], r["_c"], best, score, base]
+            out.append(dict(zip(names, values)) | {c: None if not nodes else nodes[c].tolist() for c in names[len(values):]})
+    return spark.createDataFrame(out, FITS_SCHEMA)
 
 
 def as_booster(row) -> Booster:

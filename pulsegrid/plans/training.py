@@ -12,7 +12,7 @@ from pulsegrid.functions.scratch import materialize
 from pulsegrid.operators.booster import Booster
 from pulsegrid.operators.calibration import fit_isotonic
 from pulsegrid.operators.evaluation import CV_FOLDS, average_precision, brier, ts_folds
-from pulsegrid.operators.supervised import FIT_ROWS, as_booster, fit_boosters, param_grid, supervised_score
+from pulsegrid.operators.supervised import as_booster, fit_boosters, param_grid, supervised_score
 
 MIN_ROWS = 200
 REPORT_SCHEMA = (
@@ -47,7 +47,7 @@ def best_points(fits: DataFrame, grid: Sequence[dict]) -> dict[str, tuple[int, f
 
 
 def grid_search(
-    folds: DataFrame, grid: list[dict] | None = None, rounds: int = 300, fit_rows: int = FIT_ROWS
+    folds: DataFrame, grid: list[dict] | None = None, rounds: int = 300, fit_rows: int | None = None
 ) -> tuple[dict[str, tuple[int, float]], DataFrame]:
     """Every grid point on every fold of every domain in one job: the best points, and the table of fits.
 
@@ -66,7 +66,7 @@ def _sizes(df: DataFrame, *keys: str) -> dict[tuple, tuple[int, int]]:
 
 def train_supervised(
     vectors: DataFrame, domains: Sequence[str], min_rows: int = MIN_ROWS, grid: list[dict] | None = None, rounds: int = 300,
-    fit_rows: int = FIT_ROWS,
+    fit_rows: int | None = None,
 ) -> dict[str, Trained]:
     """Train all domains: search, take the best point's fit of the last fold, calibrate and report on all its held-out rows.
 

@@ -169,6 +169,28 @@ def test_a_large_domain_is_fitted_on_a_bounded_sample(spark, trained):
     assert all(60 <= r["train_rows"] + r["test_rows"] <= 180 for r in fits)
 
 
+def test_fits_of_all_tasks_equal_those_of_one(spark):
+    folds = ts_folds(labelled(spark, 600).unionByName(labelled(spark, 400, domain="market", seed=5)))
+    points = [*SMALL, {"max_depth": 1, "step_size": 0.5, "min_child": 5}]
+
+    def fits(df, task_rows):
+        found = fit_boosters(df, points, rounds=6, patience=2, task_rows=task_rows)
+        return [r.asDict() for r in found.orderBy("domain", "fold", "point").collect()]
+
+    one, some, every = fits(folds, 600), fits(folds.repartition(3), 250), fits(folds.repartition(7), 0)
+    real = ("aucpr", "base", "threshold", "value", "cover")
+    for a, b, c in zip(one, some, every, strict=True):
+        assert b == c or (b["fold"], b["domain"]) == (0, "market")  # 200 rows: one task the first time
+        for other in (b, c):
+            assert all(a[k] == other[k] for k in a if k not in real)
+            assert all(a[k] == pytest.approx(other[k], abs=1e-6) for k in real)
+
+
+def test_joint_fits_without_positives_have_no_trees(spark):
+    fits = fit_boosters(ts_folds(labelled(spark, positives=False)), SMALL, rounds=1, task_rows=0)
+    assert fits.count() == 3 * len(SMALL) and fits.where("aucpr is not null or roots is not null").count() == 0
+
+
 def test_grid_has_every_combination():
     assert len(param_grid()) == 18 and param_grid()[0] == {"max_depth": 3, "step_size": 0.05, "min_child": 1}
 
