@@ -191,6 +191,17 @@ def test_joint_fits_without_positives_have_no_trees(spark):
     assert fits.count() == 3 * len(SMALL) and fits.where("aucpr is not null or roots is not null").count() == 0
 
 
+def test_a_large_domain_is_searched_on_all_rows(spark):
+    n = 104_000
+    x = [F.rand(i) for i in range(8)]
+    rows = spark.range(n).select(
+        F.lit("payments").alias("domain"), F.lit("e").alias("entity_key"), F.timestamp_seconds("id").alias("window_end"),
+        F.array(*x).alias("vector"), (x[0] + x[3] > 1.4).cast("int").alias("label"))
+    _best, fits = grid_search(ts_folds(rows), SMALL[:1], rounds=2)
+    got = {r["fold"]: (r["train_rows"], r["test_rows"], len(r["roots"]) > 0) for r in fits.collect()}
+    assert got == {f: (n * (f + 1) // 4, n // 4, True) for f in range(3)}
+
+
 def test_grid_has_every_combination():
     assert len(param_grid()) == 18 and param_grid()[0] == {"max_depth": 3, "step_size": 0.05, "min_child": 1}
 
