@@ -43,6 +43,8 @@ CELL_ROWS, MOST_WORDS = 64, 256
 LLOYD_STEPS = 8
 #: Cells visited at most in each round but the last, which has no limit.
 VISITS = (16, 128)
+#: Pops of a heap after which all cells are put in order at once.
+HEAP_POPS = 512
 SHARD_VALUES, GROUP_VALUES = 1 << 20, 1 << 19
 _EXACT = float(1 << 53)
 _NONE = -(1 << 62)
@@ -199,11 +201,14 @@ def choose(index: Index, anchor: np.ndarray, wants: list[Want], seen: int, most:
     fit = [(w @ h[0]) for h, w in zip(a, index.words, strict=True)]
     least = min(w.least for w in wants)
     slack = 1.0 + 1e-9 * (norm[0] + norm[1] + 1.0) * (abs(fit[0]).max() + abs(fit[1]).max() + 1.0)
+    up1, up2 = fit[0] + norm[0] * index.reach[0], fit[1] + norm[1] * index.reach[1]
     n2, chosen, pops = len(index.words[1]), [], 0
-    for bound, cell in visits(fit[0] + norm[0] * index.reach[0], fit[1] + norm[1] * index.reach[1]):
+    for bound, cell in visits(up1, up2) if most is not None else ():
         if bound + slack < least:
             return chosen, pops, True
         pops += 1
+        if pops > HEAP_POPS:
+            break
         if pops <= seen or not index.rows[cell]:
             continue
         middle = fit[0][cell // n2] + fit[1][cell % n2]
@@ -212,7 +217,21 @@ def choose(index: Index, anchor: np.ndarray, wants: list[Want], seen: int, most:
             chosen.append(cell)
             if most is not None and len(chosen) >= most:
                 return chosen, pops, False
-    return chosen, pops, True
+    if most is not None and pops <= HEAP_POPS:
+        return chosen, pops, True
+    # The same cells in the same order, from whole columns: a search that goes on for long would spend its time on the heap.
+    total = (up1[:, None] + up2[None, :]).ravel()
+    cells = np.flatnonzero(total + slack >= least)
+    place1, place2 = (np.argsort(np.argsort(-up, kind="stable"), kind="stable") for up in (up1, up2))
+    cells = cells[np.lexsort((place2[cells % n2], place1[cells // n2], -total[cells]))]
+    middle = fit[0][cells // n2] + fit[1][cells % n2]
+    span = norm[0] * index.radius[cells, 0] + norm[1] * index.radius[cells, 1] + slack
+    fits = np.logical_or.reduce([(middle + span >= w.least) & (middle - span <= w.high) for w in wants])
+    fits &= (index.rows[cells] > 0) & (np.arange(len(cells)) >= seen)
+    at = np.flatnonzero(fits)
+    if most is not None and len(at) >= most:
+        return cells[at[:most]].tolist(), int(at[most - 1]) + 1, False
+    return cells[at].tolist(), len(cells), True
 
 
 def best_per_row(scores: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +274,9 @@ def _ask(open_anchors: DataFrame, index: Index, most: int | None, wants_of) -> D
         if out:
             yield packed(out)
 
-    return materialize(open_anchors.mapInArrow(
+    # Anchors are a small table whose search is long: every core has its share of them.
+    cores = open_anchors.sparkSession.sparkContext.defaultParallelism
+    return materialize(open_anchors.repartition(2 * cores, "anchor_id").mapInArrow(
         ask, "anchor_id long, label string, v array<long>, scores array<long>, shard int, cells array<int>, pops long, certain boolean"))
 
 
@@ -287,17 +308,36 @@ def _solver(index: Index, k: int, windows: tuple[int, int] | None):
         step = max(1, (1 << 21) // max(1, len(xid)))
         for at in range(0, len(aid) if len(xid) else 0, step):
             here = slice(at, at + step)
-            scores = inner_products(a[here], x)
-            free = wanted[here][:, cell] & (aid[here][:, None] != xid[None, :])
-            same = mine[here][:, None] == theirs[None, :]
             if windows is None:
-                r, c = best_per_row(scores, free & same, k)
-                out.append(np.stack((aid[here][r], np.zeros(len(r), np.int64), xid[c], scores[r, c]), axis=1))
+                for own in np.unique(mine[here]):
+                    i, j = at + np.flatnonzero(mine[here] == own), np.flatnonzero(theirs == own)
+                    if not len(j):
+                        continue
+                    scores = inner_products(a[i], x[j])
+                    r, c = best_per_row(scores, wanted[i][:, cell[j]] & (aid[i][:, None] != xid[j][None, :]), k)
+                    out.append(np.stack((aid[i][r], np.zeros(len(r), np.int64), xid[j][c], scores[r, c]), axis=1))
                 continue
-            free &= ~same
+            scores = inner_products(a[here], x)
+            free = wanted[here][:, cell] & (aid[here][:, None] != xid[None, :])
+            free &= mine[here][:, None] != theirs[None, :]
+            # Windows overlap: what lies in none of an anchor's is put aside once, and the rest in order once unless it is much.
+            low, high = (np.array([f([w * p for p in s], default=none) for s in scores_of[here]], np.int64)
+                         for f, w, none in ((min, windows[0], 1), (max, windows[1], 0)))
+            free &= (100 * scores >= low[:, None]) & (100 * scores <= high[:, None])
+            few = 8 * np.count_nonzero(free) <= free.size
+            if few:
+                fr, fc = np.nonzero(free)
+                order = np.lexsort((-scores[fr, fc], fr))
+                fr, fc = fr[order], fc[order]
+                score = scores[fr, fc]
             for nth in range(max(map(len, scores_of[here]), default=0)):
                 has = np.array([len(s) > nth for s in scores_of[here]])
                 p = np.array([s[nth] if len(s) > nth else 0 for s in scores_of[here]], np.int64)
+                if few:
+                    kept = np.flatnonzero(has[fr] & (100 * score >= (windows[0] * p)[fr]) & (100 * score <= (windows[1] * p)[fr]))
+                    kept = kept[np.arange(len(kept)) - np.searchsorted(fr[kept], fr[kept]) < k]
+                    out.append(np.stack((aid[here][fr[kept]], p[fr[kept]], xid[fc[kept]], score[kept]), axis=1))
+                    continue
                 inside = (100 * scores >= (windows[0] * p)[:, None]) & (100 * scores <= (windows[1] * p)[:, None])
                 r, c = best_per_row(scores, free & inside & has[:, None], k)
                 out.append(np.stack((aid[here][r], p[r], xid[c], scores[r, c]), axis=1))

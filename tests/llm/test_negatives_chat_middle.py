@@ -82,6 +82,55 @@ def test_cells_are_visited_by_falling_bound():
     assert [s for s, _ in order] == sorted((x + y for x in a for y in b), reverse=True)
 
 
+def plain_choose(index, anchor, wants, seen, most):
+    """Cells of a search by the heap alone."""
+    a = hard_negatives.halves(anchor[None, :].astype(float))
+    norm = [float(np.sqrt((h * h).sum())) for h in a]
+    fit = [w @ h[0] for h, w in zip(a, index.words, strict=True)]
+    slack = 1.0 + 1e-9 * (norm[0] + norm[1] + 1.0) * (abs(fit[0]).max() + abs(fit[1]).max() + 1.0)
+    chosen, pops = [], 0
+    for bound, cell in hard_negatives.visits(*(f + n * r for f, n, r in zip(fit, norm, index.reach, strict=True))):
+        if bound + slack < min(w.least for w in wants):
+            break
+        pops += 1
+        i, j = divmod(cell, len(index.words[1]))
+        span = norm[0] * index.radius[cell, 0] + norm[1] * index.radius[cell, 1] + slack
+        middle = fit[0][i] + fit[1][j]
+        if pops > seen and index.rows[cell] and any(middle + span >= w.least and middle - span <= w.high for w in wants):
+            chosen.append(cell)
+            if len(chosen) == most:
+                return chosen, pops, False
+    return chosen, pops, True
+
+
+@pytest.mark.parametrize("heap_pops", [0, 9, 512])
+def test_a_long_search_is_that_of_the_heap(heap_pops, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "HEAP_POPS", heap_pops)
+    rng = np.random.default_rng(heap_pops)
+    for n in range(60):
+        words = tuple(rng.integers(-3, 4, (6, 2)).astype(float) for _ in range(2))  # equal sums are common
+        radius = rng.integers(0, 3, (36, 2)).astype(float)
+        grid = radius.reshape(6, 6, 2)
+        index = hard_negatives.Index(words, (grid[:, :, 0].max(axis=1), grid[:, :, 1].max(axis=0)), radius, rng.integers(0, 2, 36),
+                                     np.zeros(36, int), np.ones(36, int), 4)
+        low = float(rng.integers(-20, 20))
+        wants = [hard_negatives.Want(low, low + 8, [low + 3, -np.inf][n % 2]), hard_negatives.Want(low + 4, np.inf, -np.inf)][:1 + n % 2]
+        for seen, most in ((0, 4), (7, 9), (3, None), (50, None), (0, None)):
+            anchor = rng.integers(-3, 4, 4)
+            assert hard_negatives.choose(index, anchor, wants, seen, most) == plain_choose(index, anchor, wants, seen, most)
+
+
+def test_anchors_are_searched_by_every_core(spark):
+    rng = np.random.default_rng(2)
+    index = hard_negatives.Index(tuple(rng.normal(size=(2, 1)) for _ in range(2)), (np.ones(2), np.ones(2)), np.ones((4, 2)),
+                                 np.ones(4, int), np.zeros(4, int), np.ones(4, int), 2)
+    rows = spark.createDataFrame([(i, "a", [i % 3, 1], [], 0) for i in range(400)],
+                                 "anchor_id long, label string, v array<long>, scores array<long>, seen long").coalesce(1)
+    asked = hard_negatives._ask(rows, index, None, lambda row: [hard_negatives.Want(-np.inf, np.inf, -np.inf)])
+    files = [r["n"] for r in asked.where("shard IS NULL").groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(files) == 400 and len(files) >= 4 and max(files) < 200
+
+
 # --- chat formatting ----------------------------------------------------------------------------------------------------
 
 SAID = "conv_id long, turn long, role string, text string, part int, block int, segments string"
